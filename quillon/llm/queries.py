@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, simhash
+from quillon.llm import bpe, exact_dedup, language_id, mixing, simhash
 from quillon.session import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.weigh(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select(
+        "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"),
+        F.round("__weight", 9).alias("weight"), F.round("__probability", 9).alias("probability"),
+        F.col("__sampled").alias("sampled"),
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -25,10 +34,28 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select(
+        "doc_id", F.col("lang").alias("declared"), F.col("__language").alias("language"),
+        F.col("__text_language").alias("text_language"), F.round("__posterior", 6).alias("posterior"),
+        F.col("__accepted").alias("accepted"),
+    )
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", "lang")
+    out = language_id.identify_pages(table(spark, sf_dir, "pages"), labelled)
+    return out.withColumn("posterior", F.round("posterior", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_language_id": op10_language_id,
+    "pages_language_id": pages_language_id,
 }
 
 ORACLES: dict[str, str] = {
