@@ -1,26 +1,30 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-Texts are cut into pre-tokens by the tokenizer's pattern. While that is done, documents gather in
-buckets of bounded size; a bucket numbers its distinct words and keeps each document as the sequence
-of word numbers in order of position. Only a bucket's distinct words leave it: they are shuffled by
-word, each distinct word of the corpus is encoded once, and its ids are joined back to the buckets
-that asked for it. A bucket's documents then meet its dictionary and are reassembled by position.
-Decoding looks up every id in the table of token bytes, which is as large as the vocabulary and no
-larger, and joins the bytes.
-
-The cut-up buckets are written to shared storage first, so that their numbering stays put when a
-task runs again.
-
-Edge cases: a null or empty text has no ids and decodes to no bytes. A very long text makes a bucket
-of its own; nothing is cut off. Repeated rows are encoded each for itself; ids and other columns of
-the input may be null or repeat. An empty table gives an empty result. Special tokens are ordinary
-text. Invalid ids fail when decoded.
+Texts are cut into pre-tokens by the tokenizer's pattern. A document becomes the sequence, in order
+of position, of the numbers of its words. Its distinct words are exploded with the document's key
+and their number, shuffled by word over the whole corpus, and each distinct word is encoded once;
+the ids are joined back to the documents by key and reassembled by position. Decoding looks up every
+id in the table of token bytes, which is as large as the vocabulary and no larger, and joins the
+bytes.
+
+Words that a sample of SAMPLE_DOCS documents holds more than once are hot keys of that shuffle. At
+most COMMON_WORDS of them are encoded once beforehand and shipped to all tasks; only the others
+travel. Which words those are changes the traffic, never the result.
+
+Word numbers are a function of the document alone, so a task that runs again gives the same ones.
+
+Edge cases: a null or empty text has no ids and decodes to no bytes. Very long texts and words are
+encoded whole. Repeated rows are encoded each for itself; ids and other columns of the input may be
+null or repeat. An empty table gives an empty result. Special tokens are ordinary text. Unknown ids
+fail when decoded.
 """
 
 from __future__ import annotations
 
 import base64
-import uuid
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
-
-#: Code points after which a bucket is closed.
-BUCKET_CHARS = 4_000_000
+#: Documents of the sample that common words are found on, about, and most common words.
+SAMPLE_DOCS, COMMON_WORDS = 8000, 300_000
 
 
 def vocabulary_path() -> str:
@@ -67,116 +69,157 @@ def _encoder(path: str):
 
 
 @lru_cache(maxsize=1)
-def _pattern():
+def _cutter():
+    """A function from a text to its pre-tokens.
+
+    Texts of printable ASCII and Latin letters take an equivalent pattern of the faster re module.
+    """
     import regex
     from public_tokenizers import PATTERN
 
-    return regex.compile(PATTERN)
+    letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+    own = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+"
+    known = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    full = regex.compile(PATTERN).findall
+    if PATTERN != known:
+        return full
+    plain, odd = re.compile(own).findall, re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]").search
+    return lambda text: full(text) if odd(text) else plain(text)
 
 
 def _utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def pretokens(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """Documents as word numbers, and the words of each bucket.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a key: the id and, as ids may repeat, a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"),
+        F.xxhash64(text).alias("salt"),
+        text.alias("text"),
+    )
+
+
+def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """The rows, sorted by word, with ids (little-endian unsigned 32-bit integers) in place of the word.
 
-    Rows with a null word are documents: key is the row's id column, seq its word numbers as
-    little-endian integers of width bytes. Other rows give the word with that number in its bucket.
+    Equal words are neighbours: each is encoded once.
     """
+    schema = words.withColumn("ids", F.lit(b"")).drop("word").schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = _pattern().findall
-
-        def flush(docs_, numbers):
-            bucket = uuid.uuid4().hex
-            width = 2 if len(numbers) <= 65536 else 4
-            kind = "<u2" if width == 2 else "<u4"
-            yield pd.DataFrame(
-                {
-                    "bucket": bucket,
-                    "key": pd.array([k for k, _ in docs_], "Int64"),
-                    "width": np.int32(width),
-                    "seq": [s.astype(kind).tobytes() for _, s in docs_],
-                    "word": None,
-                    "number": np.int32(0),
-                }
-            )
-            words = list(numbers)
-            for lo in range(0, len(words), 20_000):
-                part = words[lo : lo + 20_000]
-                yield pd.DataFrame(
-                    {
-                        "bucket": bucket,
-                        "key": pd.array([None] * len(part), "Int64"),
-                        "width": np.int32(0),
-                        "seq": None,
-                        "word": [_utf8(w) for w in part],
-                        "number": np.arange(lo, lo + len(part), dtype=np.int32),
-                    }
-                )
-
-        held, numbers, chars = [], {}, 0
+        encode = _encoder(vocabulary)
+        last, ids = None, b""
         for b in batches:
-            for key, text in zip(b["key"], b["text"], strict=True):
-                found = cut(text or "")
-                get = numbers.setdefault
-                seq = np.fromiter((get(w, len(numbers)) for w in found), np.uint32, len(found))
-                held.append((None if pd.isna(key) else int(key), seq))
-                chars += len(text or "") + 64
-                if chars >= bucket_chars:
-                    yield from flush(held, numbers)
-                    held, numbers, chars = [], {}, 0
-        if held:
-            yield from flush(held, numbers)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
-    return rows.mapInPandas(run, "bucket string, key long, width int, seq binary, word binary, number int")
+            out = []
+            for word in b["word"]:
+                if word != last:
+                    last, ids = word, np.array(encode(bytes(word)), "<u4").tobytes()
+                out.append(ids)
+            yield b.drop(columns="word").assign(ids=out)
 
+    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, schema)
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """word and ids (little-endian unsigned 32-bit integers in one binary) for distinct words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary)
+def common_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = COMMON_WORDS) -> dict[str, int]:
+    """Words that a sample of documents holds more than once, numbered; the most frequent ones if too many."""
+    total = docs.count()
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53))
+    part = docs.filter(unit < min(1.0, sample_docs / max(total, 1))).select("text")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = _cutter()
         for b in batches:
-            yield b.assign(ids=[np.array(encode(bytes(w)), "<u4").tobytes() for w in b["word"]])
-
-    return words.mapInPandas(run, "word binary, ids binary")
-
-
-def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Ids of the documents of one bucket."""
-    flat_words = [b""] * (int(words["number"].max()) + 1 if len(words) else 0)
-    for number, ids in zip(words["number"], words["ids"], strict=True):
-        flat_words[number] = ids
-    sizes = np.array([len(x) // 4 for x in flat_words], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    flat = np.frombuffer(b"".join(flat_words), "<u4")
-    out = []
-    for seq, width in zip(docs["seq"], docs["width"], strict=True):
-        numbers = np.frombuffer(seq, "<u2" if width == 2 else "<u4")
-        n = sizes[numbers]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts[numbers] - (ends - n), n)
-        out.append(flat[at].tobytes())
-    return pd.DataFrame({"doc_id": docs["key"].astype("Int64"), "ids": out})
-
-
-def encode(docs: DataFrame, vocabulary: str | None = None, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+            found = Counter(w for text in b["text"] for w in cut(text or ""))
+            yield pd.DataFrame({"word": [_utf8(w) for w in found], "n": list(found.values())})
+
+    counted = part.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").toPandas()
+    return {bytes(w).decode("utf-8", "surrogatepass"): i for i, w in enumerate(top["word"])}
+
+
+def _numbered(text: str, common: dict[str, int]) -> tuple[np.ndarray, list[str]]:
+    """Word numbers by position; numbers from len(common) on are the distinct other words, in order."""
+    words = _cutter()(text)
+    numbers = list(map(common.get, words))
+    others: dict[str, int] = {}
+    first = len(common)
+    for i, n in enumerate(numbers):
+        if n is None:
+            numbers[i] = others.setdefault(words[i], first + len(others))
+    return np.array(numbers, np.uint32), list(others)
+
+
+def _gather(
+    numbers: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, extra: list[np.ndarray]
+) -> np.ndarray:
+    """Ids of a sequence of word numbers: common ones lie in flat, the document's own in extra."""
+    other = numbers >= len(sizes)
+    tail = np.array([len(x) for x in extra], np.int64)
+    n, begin = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+    n[~other], begin[~other] = sizes[numbers[~other]], starts[numbers[~other]]
+    mine = numbers[other] - len(sizes)
+    n[other], begin[other] = tail[mine], (np.cumsum(tail) - tail)[mine] + len(flat)
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(begin - (ends - n), n)
+    out = np.empty(len(at), "<u4")
+    inner = at < len(flat)
+    out[inner] = flat[at[inner]]
+    if extra:
+        out[~inner] = np.concatenate(extra)[at[~inner] - len(flat)]
+    return out
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers), a row for each row of docs."""
     vocabulary = vocabulary or vocabulary_path()
-    cut = materialize(pretokens(docs, bucket_chars), "pretokens")
-    asked = cut.filter("word is not null").select("word", "bucket", "number")
-    known = materialize(encode_words(asked.select("word").distinct(), vocabulary), "words")
-    answered = asked.join(known, "word").select(F.col("bucket").alias("in_bucket"), "number", "ids")
-    sequences = cut.filter("word is null").select("bucket", "key", "width", "seq")
-    return (
-        sequences.groupBy("bucket")
-        .cogroup(answered.groupBy("in_bucket"))
-        .applyInPandas(_assemble, "doc_id long, ids binary")
+    spark = docs.sparkSession
+    keyed = _keyed(docs)
+    common = common_words(keyed, sample_docs)
+    encode_one = _encoder(vocabulary)
+    common_ids = [np.array(encode_one(_utf8(w)), "<u4") for w in common]
+    table = spark.sparkContext.broadcast((common, common_ids))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, salts, numbers, words = [], [], [], []
+            for key, salt, text in zip(b["key"], b["salt"], b["text"], strict=True):
+                others = _numbered(text, table.value[0])[1]
+                keys += [key] * len(others)
+                salts += [salt] * len(others)
+                numbers += range(len(others))
+                words += map(_utf8, others)
+            yield pd.DataFrame({"key": keys, "salt": salts, "number": np.array(numbers, np.int32), "word": words})
+
+    def sequence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seqs = [zlib.compress(_numbered(x, table.value[0])[0].tobytes(), 1) for x in b["text"]]
+            yield b.drop(columns="text").assign(doc_id=b["doc_id"].astype("Int64"), seq=seqs)
+
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = table.value[1]
+        sizes = np.array([len(x) for x in known], np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.concatenate([*known, np.zeros(0, "<u4")])
+        for b in batches:
+            out = []
+            for seq, found in zip(b["seq"], b["found"], strict=True):
+                numbers = np.frombuffer(zlib.decompress(seq), np.uint32).astype(np.int64)
+                own = {} if found is None else {x["number"]: x["ids"] for x in found}
+                extra = [np.frombuffer(own[i], "<u4") for i in range(len(own))]
+                out.append(_gather(numbers, sizes, starts, flat, extra).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": out})
+
+    asked = keyed.select("key", "salt", "text").mapInPandas(ask, "key long, salt long, number int, word binary")
+    answered = (
+        encode_words(asked, vocabulary)
+        .groupBy(F.col("key").alias("k"), F.col("salt").alias("s"))
+        .agg(F.collect_list(F.struct("number", "ids")).alias("found"))
     )
+    sequences = keyed.mapInPandas(sequence, "doc_id long, key long, salt long, seq binary")
+    both = sequences.join(answered, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")), "left")
+    return both.select("doc_id", "seq", "found").mapInPandas(assemble, "doc_id long, ids binary")
 
 
 def decode(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
