@@ -27,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of the sample that common words are found on, about, and most common words.
-SAMPLE_DOCS, COMMON_WORDS = 8000, 300_000
+SAMPLE_DOCS, COMMON_WORDS = 12_000, 300_000
+#: Type of ids in the payload of a word.
+WIRE = "<u4"
+#: Documents that a task handles at once, and bytes of ids after which rows are handed on.
+ROWS, FLUSH_BYTES = 500, 16_000_000
+#: Key of a null doc_id; sequences come after the words of their document.
+NO_ID, LAST = -(2**63), 2**31 - 1
 
 
 def vocabulary_path() -> str:
@@ -92,18 +99,16 @@ def _utf8(text: str) -> bytes:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key: the id and, as ids may repeat, a hash of the text."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"),
-        F.xxhash64(text).alias("salt"),
-        text.alias("text"),
+    """key (the id), salt and text. Only if an id repeats is the salt a hash of the text, otherwise it is 0."""
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text")
     )
+    unique = rows.groupBy("key").count().filter("count > 1").isEmpty()
+    return rows.withColumn("salt", F.lit(0).cast("long") if unique else F.xxhash64("text"))
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows, sorted by word, with ids (little-endian unsigned 32-bit integers) in place of the word.
+    """The rows, sorted by word, with ids (integers of type WIRE) in place of the word.
 
     Equal words are neighbours: each is encoded once.
     """
@@ -116,7 +121,7 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
             out = []
             for word in b["word"]:
                 if word != last:
-                    last, ids = word, np.array(encode(bytes(word)), "<u4").tobytes()
+                    last, ids = word, np.array(encode(bytes(word)), WIRE).tobytes()
                 out.append(ids)
             yield b.drop(columns="word").assign(ids=out)
 
@@ -126,13 +131,15 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
 def common_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = COMMON_WORDS) -> dict[str, int]:
     """Words that a sample of documents holds more than once, numbered; the most frequent ones if too many."""
     total = docs.count()
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) / F.lit(float(1 << 53))
+    unit = F.shiftrightunsigned(F.xxhash64("key", F.lit(3)), 11) / F.lit(float(1 << 53))
     part = docs.filter(unit < min(1.0, sample_docs / max(total, 1))).select("text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = _cutter()
         for b in batches:
-            found = Counter(w for text in b["text"] for w in cut(text or ""))
+            found = Counter()
+            for text in b["text"]:
+                found.update(cut(text))
             yield pd.DataFrame({"word": [_utf8(w) for w in found], "n": list(found.values())})
 
     counted = part.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -140,16 +147,28 @@ def common_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = CO
     return {bytes(w).decode("utf-8", "surrogatepass"): i for i, w in enumerate(top["word"])}
 
 
-def _numbered(text: str, common: dict[str, int]) -> tuple[np.ndarray, list[str]]:
-    """Word numbers by position; numbers from len(common) on are the distinct other words, in order."""
-    words = _cutter()(text)
-    numbers = list(map(common.get, words))
-    others: dict[str, int] = {}
-    first = len(common)
-    for i, n in enumerate(numbers):
-        if n is None:
-            numbers[i] = others.setdefault(words[i], first + len(others))
-    return np.array(numbers, np.uint32), list(others)
+def _other_words(words: list[str], common: dict[str, int]) -> list[str]:
+    """The distinct words that are not common, sorted: a word's place is its number."""
+    return sorted(set(words).difference(common))
+
+
+def _sequence(words: list[str], common: dict[str, int]) -> bytes:
+    """Word numbers by position, packed; numbers from len(common) on are the document's other words.
+
+    The bytes of the numbers are stored place by place: the upper ones hardly vary and pack well.
+    """
+    numbers = np.fromiter(map(common.get, words, repeat(-1)), np.int64, len(words))
+    missing = np.flatnonzero(numbers < 0).tolist()
+    if missing:
+        own = {w: len(common) + i for i, w in enumerate(_other_words(words, common))}
+        numbers[missing] = [own[words[i]] for i in missing]
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unpacked(seq: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(seq), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def _gather(
@@ -175,51 +194,62 @@ def _gather(
 def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers), a row for each row of docs."""
     vocabulary = vocabulary or vocabulary_path()
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     keyed = _keyed(docs)
     common = common_words(keyed, sample_docs)
     encode_one = _encoder(vocabulary)
-    common_ids = [np.array(encode_one(_utf8(w)), "<u4") for w in common]
-    table = spark.sparkContext.broadcast((common, common_ids))
+    ids = [np.array(encode_one(_utf8(w)), "<u4") for w in common]
+    numbers_of = context.broadcast(common)
+    ids_of = context.broadcast((np.array([len(x) for x in ids], np.int64), np.concatenate([*ids, np.zeros(0, "<u4")])))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, common = _cutter(), numbers_of.value
         for b in batches:
-            keys, salts, numbers, words = [], [], [], []
-            for key, salt, text in zip(b["key"], b["salt"], b["text"], strict=True):
-                others = _numbered(text, table.value[0])[1]
-                keys += [key] * len(others)
-                salts += [salt] * len(others)
-                numbers += range(len(others))
-                words += map(_utf8, others)
-            yield pd.DataFrame({"key": keys, "salt": salts, "number": np.array(numbers, np.int32), "word": words})
+            for lo in range(0, len(b), ROWS):
+                part = b.iloc[lo : lo + ROWS]
+                others = [_other_words(cut(x), common) for x in part["text"]]
+                n = [len(x) for x in others]
+                yield pd.DataFrame({
+                    "key": np.repeat(part["key"].to_numpy(), n),
+                    "salt": np.repeat(part["salt"].to_numpy(), n),
+                    "number": np.concatenate([np.arange(x, dtype=np.int32) for x in n]),
+                    "word": [_utf8(w) for x in others for w in x],
+                })
 
     def sequence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut, common = _cutter(), numbers_of.value
         for b in batches:
-            seqs = [zlib.compress(_numbered(x, table.value[0])[0].tobytes(), 1) for x in b["text"]]
-            yield b.drop(columns="text").assign(doc_id=b["doc_id"].astype("Int64"), seq=seqs)
+            for lo in range(0, len(b), ROWS):
+                part = b.iloc[lo : lo + ROWS]
+                seqs = [_sequence(cut(x), common) for x in part["text"]]
+                yield part[["key", "salt"]].assign(number=np.int32(LAST), ids=seqs)
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = table.value[1]
-        sizes = np.array([len(x) for x in known], np.int64)
-        starts, flat = np.cumsum(sizes) - sizes, np.concatenate([*known, np.zeros(0, "<u4")])
+        sizes, flat = ids_of.value
+        starts = np.cumsum(sizes) - sizes
+        at, words = None, []
         for b in batches:
-            out = []
-            for seq, found in zip(b["seq"], b["found"], strict=True):
-                numbers = np.frombuffer(zlib.decompress(seq), np.uint32).astype(np.int64)
-                own = {} if found is None else {x["number"]: x["ids"] for x in found}
-                extra = [np.frombuffer(own[i], "<u4") for i in range(len(own))]
-                out.append(_gather(numbers, sizes, starts, flat, extra).tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "ids": out})
-
-    asked = keyed.select("key", "salt", "text").mapInPandas(ask, "key long, salt long, number int, word binary")
-    answered = (
-        encode_words(asked, vocabulary)
-        .groupBy(F.col("key").alias("k"), F.col("salt").alias("s"))
-        .agg(F.collect_list(F.struct("number", "ids")).alias("found"))
-    )
-    sequences = keyed.mapInPandas(sequence, "doc_id long, key long, salt long, seq binary")
-    both = sequences.join(answered, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")), "left")
-    return both.select("doc_id", "seq", "found").mapInPandas(assemble, "doc_id long, ids binary")
+            keys, out, held = [], [], 0
+            for key, salt, number, data in zip(b["key"], b["salt"], b["number"], b["ids"], strict=True):
+                if at != (key, salt):
+                    at, words = (key, salt), []
+                if number == LAST:
+                    keys.append(None if key == NO_ID else key)
+                    out.append(_gather(_unpacked(data), sizes, starts, flat, words).tobytes())
+                    held += len(out[-1])
+                    if held > FLUSH_BYTES:
+                        yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out})
+                        keys, out, held = [], [], 0
+                elif number == len(words):  # a repeated row asks for the same words once more
+                    words.append(np.frombuffer(data, WIRE).astype("<u4"))
+            if out:
+                yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out})
+
+    asked = keyed.mapInPandas(ask, "key long, salt long, number int, word binary")
+    answered = encode_words(asked, vocabulary).select("key", "salt", "number", "ids")
+    sequences = keyed.mapInPandas(sequence, "key long, salt long, number int, ids binary")
+    met = answered.unionByName(sequences).repartition("key", "salt").sortWithinPartitions("key", "salt", "number")
+    return met.mapInPandas(assemble, "doc_id long, ids binary")
 
 
 def decode(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
