@@ -153,8 +153,8 @@ def read_back(segments: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def frame(rows):
-        made = pd.DataFrame(rows, columns=names)
-        return made.assign(conv_id=made["conv_id"].astype("Int64"))
+        ids = pd.array([r[0] for r in rows], "Int64")
+        return pd.DataFrame([r[1:] for r in rows], columns=names[1:]).assign(conv_id=ids)[names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None

@@ -131,6 +131,10 @@ def _runs(batches: Iterator[pd.DataFrame], most: int | None) -> Iterator[tuple[i
 def _links(indexed: DataFrame, most: int | None) -> DataFrame:
     """Verified links (a, b) of the rows under each key; a null a names an oversized key in b."""
 
+    def frame(rows: list[tuple[int | None, int]]) -> pd.DataFrame:
+        # Made column by column: integers beside nulls must not pass through floats.
+        return pd.DataFrame({c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate("ab")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int | None, int]] = []
         for key, fps in _runs(batches, most):
@@ -141,10 +145,10 @@ def _links(indexed: DataFrame, most: int | None) -> DataFrame:
                 signed = own.astype(np.int64)
                 out += [(int(signed[i]), int(signed[j])) for i, j in _forest(own)]
             if len(out) >= 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"], dtype="Int64")
+                yield frame(out)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="Int64")
+            yield frame(out)
 
     dealt = indexed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(run, "a long, b long")
@@ -202,11 +206,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach), a row for each row of docs."""
     prints = materialize(fingerprints(docs), "simhash")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = links(classes.select("fp"))
+    found = links(classes.select("fp"), bucket_rows)
     reps = classes.filter("rep is not null")
     edges = (
         found.filter("a is not null")

@@ -194,8 +194,8 @@ def compare(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                     out.append(made(held, row))
                 held = None if ahead else row
             if out:
-                frame = pd.DataFrame(out, columns=names)
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                ids = pd.array([r[0] for r in out], "Int64")
+                yield pd.DataFrame([r[1:] for r in out], columns=names[1:]).assign(doc_id=ids)[names]
 
     return with_next(docs, range_rows).mapInPandas(
         run,
