@@ -119,8 +119,8 @@ def contained_terms(terms: DataFrame, docs: DataFrame, key_words: int = 4) -> Da
     """Pairs (term_id, id) where the term's text occurs in the row's text.
 
     Terms and rows meet by the first key_words words of the term (rows offer every window of so many
-    words); what meets is verified by the substring predicate. Terms of fewer words are compared by
-    a word that they start with.
+    words); what meets is verified by the substring predicate. Terms of fewer words meet by
+    their first characters; terms of one character find nothing.
     """
     def keys(tokens: Column, n: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(tokens) - n)
@@ -139,10 +139,18 @@ def contained_terms(terms: DataFrame, docs: DataFrame, key_words: int = 4) -> Da
     met = d.select("id", "key").join(long_.select("term_id", "key"), "key").select("id", "term_id").distinct()
     found = met.join(docs.select("id", "text"), "id").join(t.select("term_id", "needle"), "term_id")
     long_pairs = found.filter(F.col("text").contains(F.col("needle"))).select("term_id", "id")
+    # Terms of few words may begin and end inside words: they meet by the characters that they begin with.
     short = t.filter(F.size("inner") < key_words).select("term_id", "needle")
-    # Few words, few such terms: a join on nothing but the predicate, the terms' side being broadcast if small.
-    short_pairs = docs.select("id", "text").join(short, F.col("text").contains(F.col("needle"))).select("term_id", "id")
-    return long_pairs.unionByName(short_pairs)
+    pairs = long_pairs
+    for n in (3, 2):
+        of_size = short.filter(F.length("needle") >= 3 if n == 3 else F.length("needle") == 2)
+        offered = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        near = docs.select("id", F.explode(offered).alias("gram")).join(
+            of_size.select("term_id", F.substring("needle", 1, n).alias("gram")), "gram"
+        )
+        checked = near.join(docs.select("id", "text"), "id").join(of_size, "term_id")
+        pairs = pairs.unionByName(checked.filter(F.col("text").contains(F.col("needle"))).select("term_id", "id"))
+    return pairs
 
 
 def suppress_nested(matches: DataFrame) -> DataFrame:
