@@ -57,3 +57,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch that is sent to Python: whole texts are long, and a batch is held in memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's Arrow batch size to so many rows, if it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
