@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import bounded_batches
+
 #: Documents of the sample that common words are found on, about, and most common words.
 SAMPLE_DOCS, COMMON_WORDS = 12_000, 300_000
 #: Type of ids in the payload of a word.
@@ -194,6 +196,7 @@ def _gather(
 def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers), a row for each row of docs."""
     vocabulary = vocabulary or vocabulary_path()
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     keyed = _keyed(docs)
     common = common_words(keyed, sample_docs)
@@ -255,6 +258,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SA
 def decode(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The rows with a column decoded: the bytes of their ids, from the table of token bytes."""
     vocabulary = vocabulary or vocabulary_path()
+    bounded_batches(ids.sparkSession)
     schema = ids.withColumn("decoded", F.lit(b"")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

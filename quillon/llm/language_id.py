@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import bounded_batches, materialize
 
 #: Labelled rows of one language that trigram tables are fitted on, about.
 TRAIN_ROWS = 2000
@@ -76,6 +76,7 @@ class Model:
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from rows (key, text, lang); rows without a language are left out."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.filter("lang is not null")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
@@ -148,6 +149,7 @@ def identify(
     rows: DataFrame, model: Model, text: str, declared: Column, host: Column, suffix: Column
 ) -> DataFrame:
     """The rows with __language, __posterior, __text_language and __accepted added."""
+    bounded_batches(rows.sparkSession)
     langs = F.array(*[F.lit(x) for x in model.languages])
     zero = F.array(*[F.lit(0.0)] * len(model.languages))
     facts = {

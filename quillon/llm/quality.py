@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import bounded_batches, materialize
 
 FEATURES = 1 << 16
 NGRAMS = (2, 3, 4)
@@ -110,6 +110,7 @@ def _calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from documents and labels (doc_id, quality)."""
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & ~is_held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")
     )
@@ -176,6 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [model.score(x) for x in b["text"]]})
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInPandas(run, "doc_id long, score double")
     return scored.select(

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import bounded_batches, materialize
 
 #: Bytes of a repeated string; bytes of a gram.
 LENGTH, GRAM = 200, 32
@@ -243,6 +243,7 @@ def _cut(keyed: DataFrame, covers: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row for each row of docs."""
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
     heads = materialize(keyed.select("doc_id", "t", "n_bytes", "sha"), "heads")
     texts = materialize(

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import bounded_batches
+
 #: Code points in a gram, and grams in a window.
 GRAM, WINDOW = 24, 64
 #: Multiplier of the rolling hash.
@@ -125,6 +127,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
     Rows with ahead set are only there to be read by the row before them.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
     ranges = min(MAX_RANGES, max(1, n // range_rows))
