@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import policy
 from quillon.functions import text as tx
-from quillon.operators import analytics, dictionary, etl, fusion, graph, integrity, lexical, logs, selection, vector
+from quillon.operators import analytics, dictionary, etl, fusion, graph, integrity, lexical, linking, logs, selection, vector
 from quillon.plans import query_plan
 from quillon.session import table
 from quillon.streaming import trending
@@ -737,3 +738,90 @@ def json_props_extract(spark, sf):
 def windowed_trending(spark, sf):
     out = trending.windowed_counts(query_logs(spark, sf))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# Linking and chat context
+
+@query("""WITH d AS (SELECT doc_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+    SELECT id, length(t) >= 40 AND (regexp_matches(t, '[。！？；.!?]') OR regexp_matches(t, '[，、：:;；,]') AND length(t) >= 80) AS signal FROM d""")
+def high_signal_chunks(spark, sf):
+    return docs(spark, sf).select("id", linking.high_signal(F.col("text")).alias("signal"))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, source, contains(text, '$$$') AS keep FROM documents), a AS (SELECT *, bool_or(keep) OVER (PARTITION BY source) AS any_kept FROM d) SELECT id, source FROM a WHERE keep OR NOT any_kept""")
+def filter_with_fallback(spark, sf):
+    rows = docs(spark, sf).select("id", F.col("book_key").alias("source"), "text")
+    return linking.with_fallback(rows, F.col("text").contains("$$$"), ["source"]).select("id", "source")
+
+
+@query(f"""WITH {TOKENS}, c AS (SELECT * FROM (VALUES ('the'), ('of the'), ('that'), ('und der'), ('der')) v(concept)), w AS (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(text), '\\p{{L}}+'), ' ') || ' ' AS t FROM documents),
+    m AS (SELECT DISTINCT id, concept FROM w JOIN c ON contains(t, ' ' || concept || ' ')) SELECT id, concept FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.id = m.id AND o.concept <> m.concept AND contains(o.concept, m.concept))""")
+def concept_matches(spark, sf):
+    c = spark.createDataFrame([(x,) for x in ("the", "of the", "that", "und der", "der")], "concept string")
+    return linking.match_concepts(docs(spark, sf), c)
+
+
+@query(f"""WITH {CLUSTERS}, q AS (SELECT p_partkey AS id, p_type AS concept FROM part WHERE p_partkey % 50 = 0)
+    SELECT DISTINCT q.id, q.concept, o.concept AS expanded FROM q JOIN clusters c ON c.concept = q.concept JOIN clusters o ON o.cluster = c.cluster WHERE o.concept <> q.concept""")
+def cross_subject_expansion(spark, sf):
+    q = table(spark, sf, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("concept"))
+    return linking.expand_through_clusters(q, clusters(spark, sf).select("cluster", "concept").distinct())
+
+
+@query("""WITH w AS (SELECT doc_id AS id, lang AS subject, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents), posts AS (SELECT id, subject, term, count(*) AS tf FROM w GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
+    t AS (SELECT p.id AS qid, p.subject AS qsubject, p.term FROM posts p JOIN df USING (term) WHERE p.id % 50 = 0 AND length(term) >= 3 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY tf::DOUBLE / df DESC, term) <= 30),
+    s AS (SELECT qid, qsubject, p.id, p.subject, count(*) AS n_terms FROM t JOIN posts p ON p.term = t.term AND p.id <> t.qid GROUP BY ALL),
+    k AS (SELECT *, subject = qsubject AS same_subject, CAST(least(35, 6 * n_terms) + CASE WHEN subject = qsubject THEN 15 ELSE 0 END AS BIGINT) AS score FROM s)
+    SELECT qid, id, same_subject, score, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY qid, same_subject ORDER BY score DESC, n_terms DESC, id) AS rn FROM k WHERE score >= 15) WHERE rn <= 5""")
+def exam_textbook_links(spark, sf):
+    d = docs(spark, sf)
+    return linking.link_by_terms(d.filter("id % 50 = 0"), d, 30, 15, 5)
+
+
+@query()
+def chat_search_terms(spark, sf):
+    c = table(spark, sf, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return linking.chat_terms(c, ["the", "and", "of", "die", "der", "les", "des"]).select("id", F.array_join("terms", "|").alias("terms"))
+
+
+@query("""WITH r AS (SELECT doc_id AS id, lang AS subject, source AS title, n_chars AS page, text, count(*) OVER (PARTITION BY lang) AS group_total, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents)
+    SELECT subject, group_total, string_agg('[' || subject || '·' || title || '·p' || CAST(page AS VARCHAR) || '] ' || substr(text, 1, 60), chr(10) ORDER BY rn) AS context FROM r WHERE rn <= 2 GROUP BY ALL""")
+def chat_context_groups(spark, sf):
+    rows = docs(spark, sf).select("id", "subject", F.col("book_key").alias("title"), F.col("n_chars").alias("page"), "text")
+    return linking.context_groups(rows)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_brand = 'Brand#11' OR (p_type LIKE 'PROMO%' AND p_brand = 'Brand#12') ELSE p_brand = 'Brand#11' END AS shown FROM part""")
+def edition_policy(spark, sf):
+    p = table(spark, sf, "part")
+    edition = F.when(F.col("p_brand") == "Brand#11", policy.MAIN_EDITION).when(F.col("p_brand") == "Brand#12", "鲁科版").otherwise("other")
+    subject = F.when(F.col("p_type").startswith("PROMO"), "化学").otherwise("语文")
+    phase = F.when(F.col("p_size") % 2 == 0, "高中").otherwise("初中")
+    return p.select(F.col("p_partkey").alias("id"), policy.edition_allowed(phase, subject, edition).alias("shown"))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, md5(event_type || ':' || CAST(user_id AS VARCHAR)) AS digest FROM events""")
+def record_digests(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), F.md5(F.concat_ws(":", "event_type", F.col("user_id").cast("string"))).alias("digest"))
+
+
+@query("""SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z]+ License|License, Version [0-9.]+')) AS mark FROM documents""")
+def emphasis_tokens(spark, sf):
+    return docs(spark, sf).select("id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ License|License, Version [0-9.]+"), F.lit(0))).alias("mark"))
+
+
+@query("""WITH s AS (SELECT doc_id AS id, string_split(text, chr(10))[2:] AS l FROM documents), u AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) % 3 AS number FROM s)
+    SELECT id, CAST(number AS BIGINT) AS number, line FROM u QUALIFY row_number() OVER (PARTITION BY id, number ORDER BY length(line) DESC, line) = 1""")
+def longest_sections(spark, sf):
+    lines = docs(spark, sf).select("id", F.posexplode(F.slice(F.split("text", "\n"), 2, 1_000_000)).alias("pos", "text"))
+    rows = lines.select("id", ((F.col("pos") + 1) % 3).cast("long").alias("number"), "text")
+    return etl.longest_section(rows).withColumnRenamed("text", "line")
+
+
+@query("""SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty, max(l_linenumber) AS max_section, count(DISTINCT l_linenumber) AS sections FROM lineitem GROUP BY 1""")
+def book_sections(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("qty"), F.max("l_linenumber").alias("max_section"), F.count_distinct("l_linenumber").alias("sections")
+    )
