@@ -37,9 +37,7 @@ from pyspark.sql import functions as F
 from quillon.session import bounded_batches
 
 #: Documents of the sample that common words are found on, about, and most common words.
-SAMPLE_DOCS, COMMON_WORDS = 12_000, 300_000
-#: Type of ids in the payload of a word.
-WIRE = "<u4"
+SAMPLE_DOCS, COMMON_WORDS = 25_000, 300_000
 #: Documents that a task handles at once, and bytes of ids after which rows are handed on.
 ROWS, FLUSH_BYTES = 500, 16_000_000
 #: Key of a null doc_id; sequences come after the words of their document.
@@ -77,6 +75,11 @@ def _encoder(path: str):
     return own._core_bpe.encode_single_piece
 
 
+def _wire(path: str) -> str:
+    """Type of the ids that travel: two bytes if the vocabulary fits."""
+    return "<u2" if len(_token_bytes(path)) <= 65536 else "<u4"
+
+
 @lru_cache(maxsize=1)
 def _cutter():
     """A function from a text to its pre-tokens.
@@ -110,20 +113,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows, sorted by word, with ids (integers of type WIRE) in place of the word.
+    """The rows, sorted by word, with ids (integers as wide as the vocabulary needs) in place of the word.
 
     Equal words are neighbours: each is encoded once.
     """
     schema = words.withColumn("ids", F.lit(b"")).drop("word").schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary)
+        encode, wire = _encoder(vocabulary), _wire(vocabulary)
         last, ids = None, b""
         for b in batches:
             out = []
             for word in b["word"]:
                 if word != last:
-                    last, ids = word, np.array(encode(bytes(word)), WIRE).tobytes()
+                    last, ids = word, np.array(encode(bytes(word)), wire).tobytes()
                 out.append(ids)
             yield b.drop(columns="word").assign(ids=out)
 
@@ -228,7 +231,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SA
                 yield part[["key", "salt"]].assign(number=np.int32(LAST), ids=seqs)
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes, flat = ids_of.value
+        (sizes, flat), wire = ids_of.value, _wire(vocabulary)
         starts = np.cumsum(sizes) - sizes
         at, words = None, []
         for b in batches:
@@ -244,7 +247,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SA
                         yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out})
                         keys, out, held = [], [], 0
                 elif number == len(words):  # a repeated row asks for the same words once more
-                    words.append(np.frombuffer(data, WIRE).astype("<u4"))
+                    words.append(np.frombuffer(data, wire).astype("<u4"))
             if out:
                 yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out})
 
