@@ -116,10 +116,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _find_anchors(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for t, n, data in zip(b["t"], b["n_bytes"], b["data"], strict=True):
-                h, at, first, last = anchors(bytes(data))
-                if len(h):
-                    yield pd.DataFrame({"h": h, "t": t, "n_bytes": n, "at": at, "p1": first, "p2": last})
+            found = [anchors(bytes(data)) for data in b["data"]]
+            n = [len(f[0]) for f in found]
+            h, at, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+            yield pd.DataFrame({
+                "h": h, "t": np.repeat(b["t"].to_numpy(), n), "n_bytes": np.repeat(b["n_bytes"].to_numpy(), n),
+                "at": at, "p1": first, "p2": last,
+            })
 
     rows = keyed.filter(F.col("n_bytes") >= LENGTH).select("t", "n_bytes", "data")
     return rows.mapInPandas(run, "h long, t long, n_bytes long, at long, p1 long, p2 long")
@@ -196,6 +199,7 @@ def _resolve(stretches: DataFrame) -> DataFrame:
 
 def _resolve_hot(stretches: DataFrame) -> DataFrame:
     """The same for grams with too many anchors for one task: strings are counted by content."""
+    # These tables pack so well that their file size says nothing of their size in memory: no broadcast.
     stretches = materialize(stretches.select("t", "n_bytes", "p1", "stretch").distinct(), "hot-stretches")
     distinct = stretches.groupBy("stretch").agg(F.count(F.lit(1)).alias("owners"))
     starts = F.sequence(F.lit(0), F.length("stretch") - LENGTH)
@@ -206,7 +210,7 @@ def _resolve_hot(stretches: DataFrame) -> DataFrame:
         strings.groupBy("string").agg(F.sum("owners").alias("n")).filter("n > 1").select("string"), "hot-strings"
     )
     found = strings.select("stretch", "s", "string").join(repeated, "string", "left_semi").select("stretch", "s")
-    return stretches.join(materialize(found, "hot-starts"), "stretch").select(
+    return stretches.join(materialize(found, "hot-starts").hint("merge"), "stretch").select(
         "t", "n_bytes", (F.col("p1") + F.col("s")).alias("lo"), (F.col("p1") + F.col("s") + LENGTH).alias("hi")
     )
 
