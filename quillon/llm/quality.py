@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 yield pd.DataFrame({"y": y, "feature": at.astype(np.int32), "n": df[y, at], "features": None})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(~is_held_out(F.col("id")))
-    joined = texts.join(known, "id").select("y", "picked", "text")
+    # Always a shuffled join: labels grow with the corpus, and small ones shall not take another path.
+    joined = texts.join(known.hint("merge"), "id").select("y", "picked", "text")
     counted = materialize(joined.mapInPandas(count, "y int, feature int, n long, features binary"), "quality-counts")
     # At most two rows for each feature, whatever the size of the corpus.
     table = counted.filter("features is null").groupBy("y", "feature").agg(F.sum("n").alias("n")).toPandas()
