@@ -72,14 +72,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda an expression would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def phrases(tokens: Column, longest: int = 6, joiner: str = "") -> Column:
     """Distinct concatenations of 1 to longest neighbouring tokens."""
-    def at(i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i))
-        return F.transform(sizes, lambda n: F.array_join(F.slice(tokens, i + 1, n), joiner))
 
-    starts = F.sequence(F.lit(0), F.size(tokens) - 1)
-    return F.when(F.size(tokens) > 0, F.array_distinct(F.flatten(F.transform(starts, at)))).otherwise(F.array().cast("array<string>"))
+    def of(ws: Column) -> Column:
+        def at(i: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i))
+            return F.transform(sizes, lambda n: F.array_join(F.slice(ws, i + 1, n), joiner))
+
+        starts = F.sequence(F.lit(0), F.size(ws) - 1)
+        some = F.array_distinct(F.flatten(F.transform(starts, at)))
+        return F.when(F.size(ws) > 0, some).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, of)
 
 
 def sentences(text: Column) -> Column:

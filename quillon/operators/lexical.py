@@ -123,10 +123,12 @@ def contained_terms(terms: DataFrame, docs: DataFrame, key_words: int = 4) -> Da
     their first characters; terms of one character find nothing.
     """
     def keys(tokens: Column, n: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(tokens) - n)
-        return F.when(
-            F.size(tokens) >= n, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, n), " ")))
-        ).otherwise(F.array().cast("array<bigint>"))
+        def of(ws: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.size(ws) - n)
+            hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, n), " ")))
+            return F.when(F.size(ws) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
+
+        return tx.bound(tokens, of)
 
     t = terms.select("term_id", F.col("text").alias("needle"), tx.words(F.col("text")).alias("ws")).filter("size(ws) > 0")
     # Inner words only: the first and last word of a term may be the end and the start of longer ones.
