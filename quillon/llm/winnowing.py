@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.session import bounded_batches
 
 #: Code points in a gram, and grams in a window.
-GRAM, WINDOW = 24, 64
+GRAM, WINDOW = 5, 8
 #: Multiplier of the rolling hash.
 BASE = 0x9E3779B97F4A7C15
 #: Documents of one range, about.
