@@ -116,9 +116,12 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rate:
 
 
 def _rake_distributed(
-    cells: DataFrame, targets: Mapping[str, DataFrame], rate: float = SAMPLE_RATE, sweeps: int = 30
+    cells: DataFrame, targets: Mapping[str, DataFrame], rate: float = SAMPLE_RATE, sweeps: int | None = None
 ) -> DataFrame:
-    """The same by joins, for more cells than a driver should hold; each sweep is one written table."""
+    """The same by joins, for more cells than a driver should hold; each sweep is one written table.
+
+    It ends by the rule of rake(), after at most so many sweeps (SWEEPS unless given).
+    """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     now = cells.withColumn("fitted", F.col("tokens") / total)
     for m in MARGINS:
@@ -126,14 +129,19 @@ def _rake_distributed(
         goals = targets[m].join(present, m)
         mass = goals.agg(F.sum("goal")).first()[0] or 1.0
         now = now.join(goals.select(m, (F.col("goal") / mass).alias(f"goal_{m}")), m, "left")
-    for _ in range(sweeps):
+    for _ in range(SWEEPS if sweeps is None else sweeps):
+        now = now.drop(*[f"own_{m}" for m in MARGINS])
         for m in MARGINS:
-            own = now.groupBy(m).agg(F.sum("fitted").alias("own"))
-            scaled = F.col("fitted") * F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) / F.col("own")
+            own = now.groupBy(m).agg(F.sum("fitted").alias(f"own_{m}"))
+            scaled = F.col("fitted") * F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) / F.col(f"own_{m}")
             capped = F.least(scaled, F.col("tokens") / (total * rate))
-            now = now.join(own, m).withColumn("fitted", F.when(F.col("own") > 0, capped).otherwise(0.0)).drop("own")
+            now = now.join(own, m).withColumn("fitted", F.when(F.col(f"own_{m}") > 0, capped).otherwise(0.0))
         now = materialize(now, "raking")
-    return now.drop(*[f"goal_{m}" for m in MARGINS])
+        errors = [F.abs(F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) - F.col(f"own_{m}")) for m in MARGINS]
+        off = now.agg(F.max(F.greatest(*errors))).first()[0]
+        if off is None or off < TOLERANCE:
+            break
+    return now.drop(*[f"{x}_{m}" for x in ("goal", "own") for m in MARGINS])
 
 
 def _default_targets(cells: DataFrame) -> dict[str, DataFrame]:
