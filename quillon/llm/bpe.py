@@ -1,47 +1,49 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-Texts are cut into pre-tokens by the tokenizer's pattern. A document becomes the sequence, in order
-of position, of the numbers of its words. Its distinct words are exploded with the document's key
-and their number, shuffled by word over the whole corpus, and each distinct word is encoded once;
-the ids are joined back to the documents by key and reassembled by position. Decoding looks up every
-id in the table of token bytes, which is as large as the vocabulary and no larger, and joins the
-bytes.
+Encoding:
 
-Words that a sample of SAMPLE_DOCS documents holds more than once are hot keys of that shuffle. At
-most COMMON_WORDS of them are encoded once beforehand and shipped to all tasks; only the others
-travel. Which words those are changes the traffic, never the result.
+1. Every text is cut into pre-tokens once. Documents are taken in batches of about BATCH_CHARS; a
+   batch numbers its distinct words in order of first use. Its words (batch, number, word) and, for
+   each document, the numbers of its words by position are written as one table.
+2. The words of all batches are shuffled, made distinct, and each distinct word is encoded once.
+3. The ids are joined back to the batches' words. A batch names a word once however often its texts
+   use it, so the most frequent word of a corpus has no more rows than there are batches.
+4. The words of a batch become one row, which meets the documents of the batch again, and the ids
+   are put together by position.
 
-Word numbers are a function of the document alone, so a task that runs again gives the same ones.
+Decoding meets the table of token bytes, which is as large as the vocabulary and no larger and goes
+to every task as a constant: each id of a document is looked up in its place, and the bytes are
+strung together in order.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes. Very long texts and words are
-encoded whole. Repeated rows are encoded each for itself; ids and other columns of the input may be
-null or repeat. An empty table gives an empty result. Special tokens are ordinary text. Unknown ids
-fail when decoded.
+encoded whole; a text longer than BATCH_CHARS is a batch of its own. Repeated rows are encoded each
+for itself; ids and other columns of the input may be null or repeat. An empty table gives an empty
+result. Special tokens are ordinary text. Unknown ids fail when decoded.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches
+from quillon.session import materialize
 
-#: Documents of the sample that common words are found on, about, and most common words.
-SAMPLE_DOCS, COMMON_WORDS = 25_000, 300_000
-#: Documents that a task handles at once, and bytes of ids after which rows are handed on.
-ROWS, FLUSH_BYTES = 500, 16_000_000
-#: Key of a null doc_id; sequences come after the words of their document.
-NO_ID, LAST = -(2**63), 2**31 - 1
+#: Characters of the documents that number their words together.
+BATCH_CHARS = 8_000_000
+#: Characters above which a text is cut piece by piece instead of into a list.
+LONG_TEXT = 4_000_000
+#: Bytes of ids or texts after which rows are handed on.
+FLUSH_BYTES = 16_000_000
 
 
 def vocabulary_path() -> str:
@@ -51,40 +53,25 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=4)
-def _token_bytes(path: str) -> list[bytes | None]:
-    ranks = _ranks(path)
-    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
-
-
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _encoder(path: str):
+    """A function from a whole word to its ids."""
     import tiktoken
-    from public_tokenizers import PATTERN
-
-    own = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
-    return own._core_bpe.encode_single_piece
 
-
-def _wire(path: str) -> str:
-    """Type of the ids that travel: two bytes if the vocabulary fits."""
-    return "<u2" if len(_token_bytes(path)) <= 65536 else "<u4"
+    return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=_ranks(path), special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=1)
-def _cutter():
-    """A function from a text to its pre-tokens.
+def _patterns():
+    """The tokenizer's pattern, and an equivalent one of the faster re module with a test for texts that it can read.
 
-    Texts of printable ASCII and Latin letters take an equivalent pattern of the faster re module.
+    These are texts of printable ASCII and Latin letters.
     """
     import regex
     from public_tokenizers import PATTERN
@@ -92,192 +79,155 @@ def _cutter():
     letters = "A-Za-zÀ-ÖØ-öø-ÿ"
     own = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[0-9]+| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+"
     known = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    full = regex.compile(PATTERN).findall
-    if PATTERN != known:
-        return full
-    plain, odd = re.compile(own).findall, re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]").search
-    return lambda text: full(text) if odd(text) else plain(text)
+    full = regex.compile(PATTERN)
+    return full, re.compile(own) if PATTERN == known else full, re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 
 
-def _utf8(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass")
+def pretokens(text: str) -> Iterator[str] | list[str]:
+    """The pre-tokens of a text in order."""
+    full, plain, odd = _patterns()
+    pattern = full if odd.search(text) else plain
+    return pattern.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in pattern.finditer(text))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """key (the id), salt and text. Only if an id repeats is the salt a hash of the text, otherwise it is 0."""
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    unique = rows.groupBy("key").count().filter("count > 1").isEmpty()
-    return rows.withColumn("salt", F.lit(0).cast("long") if unique else F.xxhash64("text"))
+class _Numbers(dict):
+    """Numbers of words, given in order of first use."""
 
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows, sorted by word, with ids (integers as wide as the vocabulary needs) in place of the word.
 
-    Equal words are neighbours: each is encoded once.
-    """
-    schema = words.withColumn("ids", F.lit(b"")).drop("word").schema
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed plane by plane of their bytes: the upper ones hardly vary."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, wire = _encoder(vocabulary), _wire(vocabulary)
-        last, ids = None, b""
-        for b in batches:
-            out = []
-            for word in b["word"]:
-                if word != last:
-                    last, ids = word, np.array(encode(bytes(word)), wire).tobytes()
-                out.append(ids)
-            yield b.drop(columns="word").assign(ids=out)
 
-    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, schema)
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def common_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = COMMON_WORDS) -> dict[str, int]:
-    """Words that a sample of documents holds more than once, numbered; the most frequent ones if too many."""
-    total = docs.count()
-    unit = F.shiftrightunsigned(F.xxhash64("key", F.lit(3)), 11) / F.lit(float(1 << 53))
-    part = docs.filter(unit < min(1.0, sample_docs / max(total, 1))).select("text")
+def cut(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """Words and documents of batches: batch, number and word; or batch, number (null), doc_id and sequence."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, done = TaskContext.get().partitionId() << 32, 0
+        numbers, ids, sequences, held = _Numbers(), [], [], 0
+
+        def closed() -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({
+                "batch": task + done, "number": pd.array(range(len(numbers)), "Int32"),
+                "word": [w.encode("utf-8", "surrogatepass") for w in numbers], "doc_id": pd.array([None] * len(numbers), "Int64"), "sequence": None,
+            })
+            yield pd.DataFrame({
+                "batch": task + done, "number": pd.array([None] * len(ids), "Int32"), "word": None,
+                "doc_id": pd.array(ids, "Int64"), "sequence": sequences,
+            })
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = _cutter()
         for b in batches:
-            found = Counter()
-            for text in b["text"]:
-                found.update(cut(text))
-            yield pd.DataFrame({"word": [_utf8(w) for w in found], "n": list(found.values())})
+            for key, text in zip(b["doc_id"], b["text"], strict=True):
+                if ids and held + len(text) > batch_chars:
+                    yield from closed()
+                    numbers, ids, sequences, held, done = _Numbers(), [], [], 0, done + 1
+                ids.append(None if pd.isna(key) else int(key))
+                sequences.append(_packed(np.fromiter(map(numbers.__getitem__, pretokens(text)), np.uint32)))
+                held += len(text)
+        if ids:
+            yield from closed()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Written, so that a batch stays as it is whatever is computed again.
+    return materialize(rows.mapInPandas(run, "batch long, number int, word binary, doc_id long, sequence binary"), "pretokens")
 
-    counted = part.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").toPandas()
-    return {bytes(w).decode("utf-8", "surrogatepass"): i for i, w in enumerate(top["word"])}
 
+def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
+    """word and ids (32-bit integers) of each distinct word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = _encoder(vocabulary)
+        for b in batches:
+            ids = [one(bytes(w).decode("utf-8", "surrogatepass")) for w in b["word"]]
+            yield b.assign(ids=[np.array(x, "<u4").tobytes() for x in ids])
 
-def _other_words(words: list[str], common: dict[str, int]) -> list[str]:
-    """The distinct words that are not common, sorted: a word's place is its number."""
-    return sorted(set(words).difference(common))
+    return words.select("word").distinct().mapInPandas(run, "word binary, ids binary")
 
 
-def _sequence(words: list[str], common: dict[str, int]) -> bytes:
-    """Word numbers by position, packed; numbers from len(common) on are the document's other words.
+def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """doc_id, ids (in order of position) and ids_sha256, a row for each row of docs.
 
-    The bytes of the numbers are stored place by place: the upper ones hardly vary and pack well.
+    ids_sha256 is the digest of the ids as little-endian unsigned 32-bit integers.
     """
-    numbers = np.fromiter(map(common.get, words, repeat(-1)), np.int64, len(words))
-    missing = np.flatnonzero(numbers < 0).tolist()
-    if missing:
-        own = {w: len(common) + i for i, w in enumerate(_other_words(words, common))}
-        numbers[missing] = [own[words[i]] for i in missing]
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(planes.tobytes(), 1)
-
-
-def _unpacked(seq: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(seq), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
-
-
-def _gather(
-    numbers: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray, extra: list[np.ndarray]
-) -> np.ndarray:
-    """Ids of a sequence of word numbers: common ones lie in flat, the document's own in extra."""
-    other = numbers >= len(sizes)
-    tail = np.array([len(x) for x in extra], np.int64)
-    n, begin = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-    n[~other], begin[~other] = sizes[numbers[~other]], starts[numbers[~other]]
-    mine = numbers[other] - len(sizes)
-    n[other], begin[other] = tail[mine], (np.cumsum(tail) - tail)[mine] + len(flat)
-    ends = np.cumsum(n)
-    at = np.arange(n.sum()) + np.repeat(begin - (ends - n), n)
-    out = np.empty(len(at), "<u4")
-    inner = at < len(flat)
-    out[inner] = flat[at[inner]]
-    if extra:
-        out[~inner] = np.concatenate(extra)[at[~inner] - len(flat)]
-    return out
-
-
-def encode(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers), a row for each row of docs."""
     vocabulary = vocabulary or vocabulary_path()
-    bounded_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    keyed = _keyed(docs)
-    common = common_words(keyed, sample_docs)
-    encode_one = _encoder(vocabulary)
-    ids = [np.array(encode_one(_utf8(w)), "<u4") for w in common]
-    numbers_of = context.broadcast(common)
-    ids_of = context.broadcast((np.array([len(x) for x in ids], np.int64), np.concatenate([*ids, np.zeros(0, "<u4")])))
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, common = _cutter(), numbers_of.value
-        for b in batches:
-            for lo in range(0, len(b), ROWS):
-                part = b.iloc[lo : lo + ROWS]
-                others = [_other_words(cut(x), common) for x in part["text"]]
-                n = [len(x) for x in others]
-                yield pd.DataFrame({
-                    "key": np.repeat(part["key"].to_numpy(), n),
-                    "salt": np.repeat(part["salt"].to_numpy(), n),
-                    "number": np.concatenate([np.arange(x, dtype=np.int32) for x in n]),
-                    "word": [_utf8(w) for x in others for w in x],
-                })
-
-    def sequence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, common = _cutter(), numbers_of.value
-        for b in batches:
-            for lo in range(0, len(b), ROWS):
-                part = b.iloc[lo : lo + ROWS]
-                seqs = [_sequence(cut(x), common) for x in part["text"]]
-                yield part[["key", "salt"]].assign(number=np.int32(LAST), ids=seqs)
+    table = cut(docs, batch_chars)
+    words = table.filter("word is not null").select("batch", "number", "word")
+    answered = words.join(encode_words(words, vocabulary).hint("merge"), "word")
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (sizes, flat), wire = ids_of.value, _wire(vocabulary)
-        starts = np.cumsum(sizes) - sizes
-        at, words = None, []
+        flat, sizes, starts = None, None, None
         for b in batches:
-            keys, out, held = [], [], 0
-            for key, salt, number, data in zip(b["key"], b["salt"], b["number"], b["ids"], strict=True):
-                if at != (key, salt):
-                    at, words = (key, salt), []
-                if number == LAST:
-                    keys.append(None if key == NO_ID else key)
-                    out.append(_gather(_unpacked(data), sizes, starts, flat, words).tobytes())
-                    held += len(out[-1])
-                    if held > FLUSH_BYTES:
-                        yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out})
-                        keys, out, held = [], [], 0
-                elif number == len(words):  # a repeated row asks for the same words once more
-                    words.append(np.frombuffer(data, wire).astype("<u4"))
-            if out:
-                yield pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out})
-
-    asked = keyed.mapInPandas(ask, "key long, salt long, number int, word binary")
-    answered = encode_words(asked, vocabulary).select("key", "salt", "number", "ids")
-    sequences = keyed.mapInPandas(sequence, "key long, salt long, number int, ids binary")
-    met = answered.unionByName(sequences).repartition("key", "salt").sortWithinPartitions("key", "salt", "number")
-    return met.mapInPandas(assemble, "doc_id long, ids binary")
-
-
-def decode(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The rows with a column decoded: the bytes of their ids, from the table of token bytes."""
-    vocabulary = vocabulary or vocabulary_path()
-    bounded_batches(ids.sparkSession)
-    schema = ids.withColumn("decoded", F.lit(b"")).schema
+            keys, out, digests, held = [], [], [], 0
+
+            def frame() -> pd.DataFrame:
+                return pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out, "ids_sha256": digests})  # noqa: B023
+
+            for numbers, data, key, packed in zip(b["numbers"], b["ids"], b["doc_id"], b["sequence"], strict=True):
+                if packed is None:  # the words of a batch, which come before its documents
+                    parts = np.empty(len(data), object)
+                    parts[numbers] = data
+                    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+                    starts = np.cumsum(sizes) - sizes
+                    flat = np.frombuffer(b"".join(parts), "<u4")
+                    continue
+                sequence = _unpacked(packed)
+                ids = np.zeros(0, "<u4")
+                if len(sequence):
+                    n = sizes[sequence]
+                    ends = np.cumsum(n)
+                    ids = flat[np.arange(n.sum()) + np.repeat(starts[sequence] - (ends - n), n)]
+                keys.append(None if pd.isna(key) else int(key))
+                out.append(ids.astype(np.int32))
+                digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                held += ids.nbytes
+                if held > FLUSH_BYTES:
+                    yield frame()
+                    keys, out, digests, held = [], [], [], 0
+            if keys:
+                yield frame()
+
+    none = F.lit(None)
+    packs = answered.groupBy("batch").agg(F.collect_list("number").alias("numbers"), F.collect_list("ids").alias("ids"))
+    met = packs.withColumns({"doc_id": none.cast("long"), "sequence": none.cast("binary")}).unionByName(
+        table.filter("word is null").select(
+            "batch", none.cast("array<int>").alias("numbers"), none.cast("array<binary>").alias("ids"), "doc_id", "sequence"
+        )
+    )
+    placed = met.repartition("batch").sortWithinPartitions("batch", F.asc_nulls_first("sequence"))
+    return placed.select("numbers", "ids", "doc_id", "sequence").mapInPandas(
+        assemble, "doc_id long, ids array<int>, ids_sha256 string"
+    )
+
+
+def token_table(vocabulary: str) -> Column:
+    """The bytes of every token in hex, as a constant array by id; an id without a token has no hex in its place."""
+    ranks = _ranks(vocabulary)
+    pieces = ["-"] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    return F.split(F.lit(" ".join(pieces)), " ")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = _token_bytes(vocabulary).__getitem__
-        for b in batches:
-            yield b.assign(decoded=[b"".join(map(get, np.frombuffer(x, "<u4").tolist())) for x in b["ids"]])
 
-    return ids.mapInPandas(run, schema)
+def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The rows of encoded (with a column ids) with a column decoded, the bytes of their ids."""
+    table = token_table(vocabulary or vocabulary_path())
+    pieces = F.transform(F.coalesce(F.col("ids"), F.array().cast("array<int>")), lambda i: F.get(table, i))
+    found = F.unhex(F.array_join(pieces, "", "-"))
+    unknown = F.raise_error(F.lit("ids that the vocabulary does not have")).cast("binary")
+    return encoded.withColumn("decoded", F.coalesce(found, unknown))
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding every row."""
-    both = decode(encode(docs, vocabulary), vocabulary)
-    return both.select(
-        "doc_id",
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    return decode(encode(docs, vocabulary), vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
