@@ -2,14 +2,17 @@
 
 Encoding:
 
-1. Every text is cut into pre-tokens once. Documents are taken in batches of about BATCH_CHARS; a
-   batch numbers its distinct words in order of first use. Its words (batch, number, word) and, for
-   each document, the numbers of its words by position are written as one table.
-2. The words of all batches are shuffled, made distinct, and each distinct word is encoded once.
-3. The ids are joined back to the batches' words. A batch names a word once however often its texts
-   use it, so the most frequent word of a corpus has no more rows than there are batches.
-4. The words of a batch become one row, which meets the documents of the batch again, and the ids
-   are put together by position.
+1. Texts are cut into pre-tokens. Documents are taken in batches of about BATCH_CHARS; a batch numbers
+   its distinct words in order of first use, and a document becomes the numbers of its words by
+   position. A batch names a word once however often its texts use it, so the most frequent word of
+   a corpus has no more rows than there are batches.
+2. The words of all batches (batch, number, word) are shuffled by word and sorted, so that equal ones
+   are neighbours, and each distinct word is encoded once.
+3. The ids go back to the batches, where they meet the documents and are put together by position.
+
+Words and documents are two passes over the same rows, which must come in the same order both times,
+as rows read from files do. A batch's key holds a digest of its words in order: rows that came in
+another order would not meet their words, and the query fails instead of mixing them up.
 
 Decoding meets the table of token bytes, which is as large as the vocabulary and no larger and goes
 to every task as a constant: each id of a document is looked up in its place, and the bytes are
@@ -26,7 +29,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,10 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
-
 #: Characters of the documents that number their words together.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 32_000_000
+#: Words of a batch that are handed on at once.
+WORD_ROWS = 50_000
 #: Characters above which a text is cut piece by piece instead of into a list.
 LONG_TEXT = 4_000_000
 #: Bytes of ids or texts after which rows are handed on.
@@ -108,49 +112,84 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def cut(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """Words and documents of batches: batch, number and word; or batch, number (null), doc_id and sequence."""
+def _batched(batches: Iterator[pd.DataFrame], batch_chars: int, number: Callable) -> Iterator[tuple]:
+    """(key, words in order of their numbers, doc_ids, what number() made of each text) of each batch of documents."""
+    task, numbers, ids, made, held = TaskContext.get().partitionId(), _Numbers(), [], [], 0
+
+    def closed() -> tuple:
+        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
+        digest = hashlib.blake2b(b"\0".join(words), digest_size=8, key=task.to_bytes(8))
+        return int.from_bytes(digest.digest(), signed=True), words, ids, made
+
+    for b in batches:
+        for key, text in zip(b["doc_id"], b["text"], strict=True):
+            if ids and held + len(text) > batch_chars:
+                yield closed()
+                numbers, ids, made, held = _Numbers(), [], [], 0
+            ids.append(None if pd.isna(key) else int(key))
+            made.append(number(map(numbers.__getitem__, pretokens(text))))
+            held += len(text)
+    if ids:
+        yield closed()
+
+
+def cut_words(rows: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """batch, number and word of the distinct words of each batch of rows (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, done = TaskContext.get().partitionId() << 32, 0
-        numbers, ids, sequences, held = _Numbers(), [], [], 0
-
-        def closed() -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame({
-                "batch": task + done, "number": pd.array(range(len(numbers)), "Int32"),
-                "word": [w.encode("utf-8", "surrogatepass") for w in numbers], "doc_id": pd.array([None] * len(numbers), "Int64"), "sequence": None,
-            })
-            yield pd.DataFrame({
-                "batch": task + done, "number": pd.array([None] * len(ids), "Int32"), "word": None,
-                "doc_id": pd.array(ids, "Int64"), "sequence": sequences,
-            })
+        for key, words, _, _ in _batched(batches, batch_chars, lambda numbers: deque(numbers, maxlen=0)):
+            for at in range(0, len(words), WORD_ROWS):
+                part = words[at : at + WORD_ROWS]
+                yield pd.DataFrame({"batch": key, "number": np.arange(at, at + len(part), dtype=np.int32), "word": part})
 
-        for b in batches:
-            for key, text in zip(b["doc_id"], b["text"], strict=True):
-                if ids and held + len(text) > batch_chars:
-                    yield from closed()
-                    numbers, ids, sequences, held, done = _Numbers(), [], [], 0, done + 1
-                ids.append(None if pd.isna(key) else int(key))
-                sequences.append(_packed(np.fromiter(map(numbers.__getitem__, pretokens(text)), np.uint32)))
-                held += len(text)
-        if ids:
-            yield from closed()
+    return rows.mapInPandas(run, "batch long, number int, word binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # Written, so that a batch stays as it is whatever is computed again.
-    return materialize(rows.mapInPandas(run, "batch long, number int, word binary, doc_id long, sequence binary"), "pretokens")
+
+def cut_documents(rows: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
+    """batch, doc_id and packed (the numbers of its words by position) of each row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, _, ids, made in _batched(batches, batch_chars, lambda numbers: _packed(np.fromiter(numbers, np.uint32))):
+            yield pd.DataFrame({"batch": key, "doc_id": pd.array(ids, "Int64"), "packed": made})
+
+    return rows.mapInPandas(run, "batch long, doc_id long, packed binary")
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """word and ids (32-bit integers) of each distinct word."""
+    """batch and packed answers: numbers of its words, how many ids each has, and the ids.
+
+    Rows are dealt out and sorted by word, so equal words are neighbours and each is encoded once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = _encoder(vocabulary)
-        for b in batches:
-            ids = [one(bytes(w).decode("utf-8", "surrogatepass")) for w in b["word"]]
-            yield b.assign(ids=[np.array(x, "<u4").tobytes() for x in ids])
+        found: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        last, ids, held = None, b"", 0
 
-    return words.select("word").distinct().mapInPandas(run, "word binary, ids binary")
+        def packs() -> pd.DataFrame:
+            out = []
+            for numbers, each in found.values():
+                sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+                facts = np.concatenate([[len(each)], numbers, sizes, np.frombuffer(b"".join(each), "<u4")])
+                out.append(_packed(facts))
+            return pd.DataFrame({"batch": list(found), "answers": out})
+
+        for b in batches:
+            for batch, number, word in zip(b["batch"].tolist(), b["number"].tolist(), b["word"], strict=True):
+                if word != last:
+                    last, ids = word, np.array(one(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+                numbers, each = found[batch]
+                numbers.append(number)
+                each.append(ids)
+                held += 64 + len(ids)
+            if held > FLUSH_BYTES:
+                yield packs()
+                found.clear()
+                held = 0
+        if found:
+            yield packs()
+
+    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "batch long, answers binary")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
@@ -158,33 +197,43 @@ def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BA
 
     ids_sha256 is the digest of the ids as little-endian unsigned 32-bit integers.
     """
-    vocabulary = vocabulary or vocabulary_path()
-    table = cut(docs, batch_chars)
-    words = table.filter("word is not null").select("batch", "number", "word")
-    answered = words.join(encode_words(words, vocabulary).hint("merge"), "word")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    answers = encode_words(cut_words(rows, batch_chars), vocabulary or vocabulary_path())
+
+    def table(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids, their place and all ids of the words of a batch, by number."""
+        facts = [_unpacked(x) for x in packs]
+        counts = [int(f[0]) for f in facts] or [0]
+        number = np.concatenate([f[1 : 1 + n] for f, n in zip(facts, counts, strict=False)] or [np.zeros(0, "<u4")])
+        size = np.concatenate([f[1 + n : 1 + 2 * n] for f, n in zip(facts, counts, strict=False)] or [np.zeros(0, "<u4")]).astype(np.int64)
+        flat = np.concatenate([f[1 + 2 * n :] for f, n in zip(facts, counts, strict=False)] or [np.zeros(0, "<u4")])
+        sizes, starts = np.zeros(sum(counts), np.int64), np.zeros(sum(counts), np.int64)
+        sizes[number], starts[number] = size, np.cumsum(size) - size
+        return sizes, starts, flat
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, sizes, starts = None, None, None
+        at, packs, known = None, [], None
         for b in batches:
             keys, out, digests, held = [], [], [], 0
 
             def frame() -> pd.DataFrame:
                 return pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "ids": out, "ids_sha256": digests})  # noqa: B023
 
-            for numbers, data, key, packed in zip(b["numbers"], b["ids"], b["doc_id"], b["sequence"], strict=True):
-                if packed is None:  # the words of a batch, which come before its documents
-                    parts = np.empty(len(data), object)
-                    parts[numbers] = data
-                    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-                    starts = np.cumsum(sizes) - sizes
-                    flat = np.frombuffer(b"".join(parts), "<u4")
+            for batch, key, packed, answer in zip(b["batch"].tolist(), b["doc_id"], b["packed"], b["answers"], strict=True):
+                if batch != at:
+                    at, packs, known = batch, [], None
+                if packed is None:  # the words of a batch come before its documents
+                    packs.append(answer)
                     continue
+                if known is None:
+                    known, packs = table(packs), []
+                sizes, starts, flat = known
                 sequence = _unpacked(packed)
-                ids = np.zeros(0, "<u4")
-                if len(sequence):
-                    n = sizes[sequence]
-                    ends = np.cumsum(n)
-                    ids = flat[np.arange(n.sum()) + np.repeat(starts[sequence] - (ends - n), n)]
+                if len(sequence) and int(sequence.max()) >= len(sizes):
+                    raise ValueError("rows came in another order the second time: write them to a table first")
+                n = sizes[sequence]
+                ends = np.cumsum(n)
+                ids = flat[np.arange(n.sum()) + np.repeat(starts[sequence] - (ends - n), n)]
                 keys.append(None if pd.isna(key) else int(key))
                 out.append(ids.astype(np.int32))
                 digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
@@ -195,17 +244,9 @@ def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BA
             if keys:
                 yield frame()
 
-    none = F.lit(None)
-    packs = answered.groupBy("batch").agg(F.collect_list("number").alias("numbers"), F.collect_list("ids").alias("ids"))
-    met = packs.withColumns({"doc_id": none.cast("long"), "sequence": none.cast("binary")}).unionByName(
-        table.filter("word is null").select(
-            "batch", none.cast("array<int>").alias("numbers"), none.cast("array<binary>").alias("ids"), "doc_id", "sequence"
-        )
-    )
-    placed = met.repartition("batch").sortWithinPartitions("batch", F.asc_nulls_first("sequence"))
-    return placed.select("numbers", "ids", "doc_id", "sequence").mapInPandas(
-        assemble, "doc_id long, ids array<int>, ids_sha256 string"
-    )
+    met = cut_documents(rows, batch_chars).unionByName(answers, allowMissingColumns=True)
+    placed = met.repartition("batch").sortWithinPartitions("batch", F.col("packed").isNotNull())
+    return placed.mapInPandas(assemble, "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def token_table(vocabulary: str) -> Column:

@@ -427,11 +427,24 @@ def library():
     return tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("sample_docs", [0, 5, 1000])
-def test_bpe_is_the_library(edge, library, sample_docs):
-    got = sorted((str(r["doc_id"]), bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.decode(bpe.encode(edge, sample_docs=sample_docs)).collect())
-    want = sorted((str(k), np.array(library.encode_ordinary(t), "<u4").tobytes(), t.encode()) for k, t in collected(edge))
-    assert got == want
+@pytest.mark.parametrize("batch_chars", [1, 1000, bpe.BATCH_CHARS])
+def test_bpe_is_the_library(edge, library, batch_chars):
+    out = bpe.decode(bpe.encode(edge, batch_chars=batch_chars)).collect()
+    got = sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in out)
+    assert got == sorted((str(k), library.encode_ordinary(t), t.encode()) for k, t in collected(edge))
+
+
+def test_bpe_unknown_ids_fail(spark):
+    for ids in ([0, 10**6], [-1]):
+        with pytest.raises(Exception, match="ids that the vocabulary does not have"):
+            bpe.decode(spark.createDataFrame([(1, ids)], "doc_id long, ids array<int>")).collect()
+
+
+def test_bpe_long_texts_are_cut_alike(monkeypatch, library):
+    text = "don't  stop 12345 é½ \n\n" * 50
+    whole = list(bpe.pretokens(text))
+    monkeypatch.setattr(bpe, "LONG_TEXT", 10)
+    assert list(bpe.pretokens(text)) == whole and "".join(whole) == text
 
 
 def test_bpe_query(spark, library):
