@@ -1,15 +1,20 @@
 """Chat formatting from event logs.
 
-A conversation's log is a set of events in order of sequence. An event of kind
-
-* ``message`` opens a message (or replaces the one of the same message_id),
-* ``delta`` appends its text to its message,
-* ``edit`` replaces the text of its message and discards every message that was opened after it,
-* ``regenerate`` empties its message, which later deltas fill again, and discards later messages too.
-
-Events are folded by windows over (conversation, sequence) and (conversation, message): what stands
-of a message is the text of its last resetting event followed by the deltas after it. The folded
-messages are rendered one segment each: a turn is
+A conversation's log is a set of events in order of sequence. The events of a message_id act on the
+message that stands under it, if there is one. An event of kind
+
+* ``message`` opens a message, or gives the standing one a new role and text in its old place,
+* ``delta`` appends its text,
+* ``edit`` replaces the text and discards every message that was opened after it,
+* ``regenerate`` empties the text, which later deltas fill again, and discards later messages too.
+
+An event whose message does not stand, because it was never opened or has been discarded, opens one
+at its own place; an edit or a regeneration then discards nothing. A message is so known by its
+conversation and the place where it was opened. A streaming pass over the sorted log finds that place
+for the events of ids that occur more than once; it holds the open messages of one conversation
+(places, no texts). All else is done by windows: what stands of a message is the text of its last
+resetting event followed by the deltas after it, unless a later cut fell on a message before it. The
+folded messages are rendered one segment each: a turn is
 ``<|im_start|>role\\n`` + text + ``<|im_end|>\\n``. Inside roles and texts the character ``<`` before
 ``|`` or before a run of backslashes that ends in ``|`` gets one backslash more after it
 (``<|`` is written ``<\\|``), which cannot be mistaken for a control string and is undone by taking
@@ -19,9 +24,10 @@ No conversation is gathered in one row or group: segments stay rows, and what ha
 order (digests) streams over rows sorted by conversation.
 
 Edge cases: null texts and roles count as empty. Events that share a sequence number are ordered by
-role and text. Repeated rows are turns of their own. A null conv_id is a conversation of its own.
-Events of unknown kinds count as messages; deltas, edits and regenerations of a message that was
-never opened open it. An empty log gives an empty result. Other columns are never looked at.
+role, text, message_id and kind. Repeated rows of a conversation table are turns of their own;
+repeated events act twice. A null conv_id is a conversation of its own, a null message_id an id like
+others. Events of unknown kinds count as messages. An empty log gives an empty result. Other columns
+are never looked at.
 """
 
 from __future__ import annotations
@@ -31,66 +37,88 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Kinds of events that discard later messages.
+CUTS = ("edit", "regenerate")
 #: Role whose texts are trained on.
 LOSS_ROLE = "assistant"
 
 
+def _opened(events: DataFrame) -> DataFrame:
+    """The events (conv_id, place, kind, message_id, ...) with opened, the place where their message was opened."""
+    schema = StructType([*events.schema.fields, StructField("opened", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, standing = object(), {}
+        for b in batches:
+            opened = []
+            facts = (b.column(c).to_pylist() for c in ("conv_id", "place", "kind", "message_id"))
+            for conv, place, kind, key in zip(*facts, strict=True):
+                if conv != at:
+                    at, standing = conv, {}  # in order of opening
+                since = standing.setdefault(key, place)
+                if kind in CUTS:
+                    while next(reversed(standing.values())) > since:
+                        standing.popitem()
+                opened.append(since)
+            names = [*b.schema.names, "opened"]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(opened, pa.int64())], names=names)
+
+    return events.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(run, schema)
+
+
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, position, role and text of the messages that stand at the end of the log.
 
     events: conv_id, seq, kind, message_id, role, text.
     """
-    kind = F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message")
+    kind = F.when(F.col("kind").isin("delta", *CUTS), F.col("kind")).otherwise("message")
     rows = events.select(
         "conv_id", "seq", kind.alias("kind"), "message_id",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = [F.col("seq"), F.col("role"), F.col("text")]
-    message = Window.partitionBy("conv_id", "message_id").orderBy(*order)
-    so_far = message.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    resets = F.col("kind") != "delta"
+    order = Window.partitionBy("conv_id").orderBy("seq", "role", "text", "message_id", "kind")
     rows = rows.withColumns(
         {
-            "version": F.sum(resets.cast("int")).over(so_far),
-            "opened": F.min("seq").over(Window.partitionBy("conv_id", "message_id")),
-            "role": F.first("role").over(so_far),
+            "place": F.row_number().over(order).cast("long"),
+            "alone": F.count(F.lit(1)).over(Window.partitionBy("conv_id", "message_id")) == 1,
         }
+    ).drop("seq")
+    # An event that is its message's only one opens it and cuts nothing.
+    single = rows.filter("alone").select(
+        "conv_id", F.col("place").alias("opened"), "role",
+        F.when(F.col("kind") == "regenerate", "").otherwise(F.col("text")).alias("text"), F.lit(None).cast("long").alias("cut_at"),
     )
-    # A message falls if an edit or a regeneration of an earlier message comes after it was opened.
-    cuts = (
-        rows.filter(F.col("kind").isin("edit", "regenerate"))
-        .select("conv_id", F.col("seq").alias("cut_seq"), F.col("opened").alias("cut_opened"))
-    )
-    texts = rows.groupBy("conv_id", "message_id", "version").agg(
-        F.min("opened").alias("opened"),
-        F.min("role").alias("role"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("kind") != "regenerate", F.struct("seq", "text")))),
-                lambda x: x["text"],
-            ),
-            "",
-        ).alias("text"),
+    acting = _opened(rows.filter("not alone").drop("alone"))
+    message = Window.partitionBy("conv_id", "opened").orderBy("place")
+    acting = acting.withColumn("version", F.sum((F.col("kind") != "delta").cast("int")).over(message))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("kind") != "regenerate", F.struct("place", "text"))))
+    versions = acting.groupBy("conv_id", "opened", "version").agg(
+        F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"),
+        F.min_by("role", "place").alias("first_role"),
+        F.max_by("role", F.when(F.col("kind") == "message", F.col("place"))).alias("told_role"),
+        F.max(F.when(F.col("kind").isin(*CUTS), F.col("place"))).alias("cut_at"),
     )
-    last = Window.partitionBy("conv_id", "message_id").orderBy(F.desc("version"))
-    final = texts.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn")
-    # For each message the latest cut of any earlier message: a running maximum in order of opening.
-    marks = cuts.groupBy("conv_id", F.col("cut_opened").alias("opened")).agg(F.max("cut_seq").alias("cut_seq"))
-    before = Window.partitionBy("conv_id").orderBy("opened").rangeBetween(Window.unboundedPreceding, -1)
-    together = final.withColumn("cut_seq", F.lit(None).cast("long")).unionByName(
-        marks.select(
-            "conv_id", F.lit(None).cast(final.schema["message_id"].dataType).alias("message_id"),
-            F.lit(0).cast("long").alias("version"), "opened", F.lit("").alias("role"), F.lit(None).cast("string").alias("text"), "cut_seq",
-        )
+    # The last version has the text; the last message event has the role, or else the first event.
+    told = F.max_by("told_role", F.when(F.col("told_role").isNotNull(), F.col("version")))
+    folded = versions.groupBy("conv_id", "opened").agg(
+        F.coalesce(told, F.min_by("first_role", "version")).alias("role"),
+        F.max_by("text", "version").alias("text"),
+        F.max("cut_at").alias("cut_at"),
     )
-    standing = together.withColumn("cut", F.max("cut_seq").over(before)).filter("text is not null").filter(
-        "cut is null or cut < opened"
+    # A message falls if one that was opened before it is cut after it was opened.
+    before = Window.partitionBy("conv_id").orderBy("opened").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        folded.unionByName(single)
+        .withColumn("cut", F.max("cut_at").over(before))
+        .filter("cut is null or cut < opened")
+        .select("conv_id", F.col("opened").alias("position"), "role", "text")
     )
-    return standing.select("conv_id", F.col("opened").alias("position"), "role", "text")
 
 
 def escaped(text: Column) -> Column:

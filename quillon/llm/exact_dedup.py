@@ -8,13 +8,14 @@ step trusts a hash.
 
 The sort is dealt out by a 64-bit hash of what is named: a name is (hash bucket, rank in the sorted
 bucket), so rows that share a hash but not their content get different ranks. Names depend on the
-content alone, so a task that runs again gives the same names. A block that makes up at least
-1/HOT_SHARE of all rows (there are at most HOT_SHARE such) is not sent to one bucket: its distinct
-contents are named once and looked up by a broadcast join whose size is counted first.
+content alone, so a task that runs again gives the same names. A block that makes up 1/HOT_SHARE of
+all rows, or HOT_ROWS rows, is not sent to one bucket: its distinct contents are named once and
+looked up by a join, which is a broadcast one only if its counted size allows it.
 
 Edge cases: a null text counts as empty, and all empty texts are equal. A null doc_id is kept as it
 is and sorts before other ids when ties are broken. Of rows repeated with the same doc_id and text
-one is kept. An empty table gives an empty result. Other columns are never looked at.
+one is kept: the first by original text, then by its other columns. An empty table gives an empty
+result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import materialize
+from quillon.session import materialize, unused
 
 #: Characters in a block of the first level.
 BLOCK_CHARS = 4096
-#: A name with at least this share (one in so many) of the rows is hot.
-HOT_SHARE = 256
-#: Largest table of hot contents that is broadcast; beyond it the join is shuffled.
-HOT_ROWS_BROADCAST = 1024
+#: A name with at least this share (one in so many) of the rows, or with so many rows, is hot.
+HOT_SHARE, HOT_ROWS = 256, 20_000
+#: Largest tables of hot names, and of their contents, that are broadcast; beyond them joins are shuffled.
+HOT_NAMES_BROADCAST, HOT_CONTENTS_BROADCAST = 200_000, 1024
 
 _KEY = ["doc_key", "sha"]
 
@@ -62,19 +63,20 @@ def _named(rows: DataFrame, content: list[str], hashes: DataFrame, total: int) -
     rows has the columns of content and h, their hash; hashes is any table with the same h values,
     row for row, that is cheaper to read.
     """
-    least = max(64, total // HOT_SHARE)
+    least = min(max(64, total // HOT_SHARE), HOT_ROWS)
     hot = materialize(hashes.groupBy("h").count().filter(F.col("count") >= least).select("h"), "hot")
     within = Window.partitionBy("h").orderBy(*content)
     rest = [c for c in rows.columns if c not in content]
     if hot.isEmpty():
         return rows.withColumn("rank", F.dense_rank().over(within)).select(*rest, "rank")
-    marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "h", "left")
+    flags = hot.withColumn("is_hot", F.lit(True))
+    marked = rows.join(F.broadcast(flags) if hot.count() <= HOT_NAMES_BROADCAST else flags.hint("merge"), "h", "left")
     cold = marked.filter("is_hot is null").withColumn("rank", F.dense_rank().over(within))
     names = materialize(
         marked.filter("is_hot").select("h", *content).distinct().withColumn("rank", F.dense_rank().over(within)),
         "hot-names",
     )
-    side = F.broadcast(names) if names.count() <= HOT_ROWS_BROADCAST else names
+    side = F.broadcast(names) if names.count() <= HOT_CONTENTS_BROADCAST else names.hint("merge")
     looked_up = marked.filter("is_hot").join(side, ["h", *content])
     return cold.select(*rest, "rank").unionByName(looked_up.select(*rest, "rank"))
 
@@ -161,19 +163,21 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 def keep_one(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents without exact copies, with all their columns."""
-    names = {"doc_key": "__kept_key", "sha": "__kept_sha", "n_chars": "__kept_chars"}
-    kept = materialize(
-        exact_groups(docs, block_chars).filter("kept").select(*names, "copies").withColumnsRenamed(names), "kept"
+    mine = {
+        unused(docs, "own_key"): F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
+        unused(docs, "own_sha"): F.unhex(F.sha2(normalised(F.col("text")), 256)),
+        unused(docs, "own_chars"): F.length(F.coalesce(F.col("text"), F.lit(""))),
+    }
+    theirs = [unused(docs, f"kept_{c}") for c in ("key", "sha", "chars")]
+    kept = exact_groups(docs, block_chars).filter("kept").select(
+        *[F.col(c).alias(n) for c, n in zip(("doc_key", "sha", "n_chars"), theirs, strict=True)], "copies"
     )
-    keyed = docs.withColumns(
-        {
-            "__doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-            "__doc_sha": F.unhex(F.sha2(normalised(F.col("text")), 256)),
-            "__doc_chars": F.length(F.coalesce(F.col("text"), F.lit(""))),
-        }
-    )
-    on = [F.col(f"__doc_{x}") == F.col(f"__kept_{x}") for x in ("key", "sha", "chars")]
-    found = keyed.join(kept, on, "left_semi")
+    kept = materialize(kept, "kept")
+    on = [F.col(a) == F.col(b) for a, b in zip(mine, theirs, strict=True)]
+    found = docs.withColumns(mine).join(kept, on, "left_semi")
     if not kept.filter("copies > 1").isEmpty():
-        found = found.dropDuplicates(["__doc_key", "__doc_sha", "__doc_chars"])
+        place = unused(docs, "place")
+        others = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind and c != "text"]
+        first = Window.partitionBy(*mine).orderBy("text", *others)
+        found = found.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
     return found.select(*docs.columns)

@@ -12,23 +12,29 @@ Declaration tables and priors are counted from the text likelihoods of all rows
 aggregation. An unknown class ("und") with uniform trigrams competes with the languages: what no
 language explains is rejected, as are texts without a letter.
 
-The trigram tables are fitted on at most TRAIN_ROWS labelled rows of a language, picked by a hash of
-doc_id; everything else covers all rows.
+The trigram tables are fitted on about TRAIN_ROWS labelled rows of a language, picked by a hash of
+their key; everything else covers all rows. Where the rows to identify are the labelled ones, they are
+dealt into two folds and the text of a row is read with tables of the other fold, so its own label
+is evidence as a declaration only. Codes are taken without region or script (``en-GB`` is ``en``) and
+all of them are fitted: a table takes 128 kB for each language and fold.
 
 Edge cases: null and empty texts give no text evidence and are rejected as "und". A null declaration
 is no evidence; null hosts and suffixes are a group of their own. Very long texts are read whole.
 Repeated rows count as often as they occur. Ties go to the language that sorts first. With no
-labelled row at all everything is "und". Other columns pass through untouched.
+labelled row at all everything is "und". A language with labelled rows in one fold only is not told by
+the text in the other. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches, materialize
+from quillon.session import materialize, unused
 
 #: Labelled rows of one language that trigram tables are fitted on, about.
 TRAIN_ROWS = 2000
@@ -42,8 +48,8 @@ SUFFIX_PRIOR, HOST_PRIOR, DECLARED_PRIOR = 20.0, 20.0, 1.0
 UNKNOWN_PRIOR = 0.001
 #: Hosts up to which their priors are broadcast; with more the join is shuffled.
 BROADCAST_HOSTS = 50_000
-#: Most languages of a model, by number of rows.
-MAX_LANGUAGES = 200
+#: Folds of labelled rows that are identified themselves.
+FOLDS = 2
 
 UNKNOWN = "und"
 
@@ -74,123 +80,139 @@ class Model:
         return (total / len(g) * min(len(g), EFFECTIVE_GRAMS)).tolist()
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from rows (key, text, lang); rows without a language are left out."""
-    bounded_batches(labelled.sparkSession)
-    labelled = labelled.filter("lang is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+def code(lang: Column) -> Column:
+    """A language code without region and script, in lower case; null if nothing is left."""
+    return F.nullif(F.lower(F.trim(F.regexp_extract(lang.cast("string"), r"^([^-_]*)", 1))), F.lit(""))
+
+
+def _fold(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(13)), F.lit(FOLDS)).cast("int")
+
+
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, crossed: bool = False) -> list[Model]:
+    """Models from rows (key, text, lang), without those that have no language.
+
+    One model, or if crossed one for each fold of keys, fitted on the rows of the others.
+    """
+    rows = labelled.select("key", "text", code(F.col("lang")).alias("lang")).filter("lang is not null")
+    sizes = rows.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in sizes.collect())
+    folds = FOLDS if crossed else 1
     if not languages:
-        return Model([], np.zeros((0, GRAMS)))
-    share = {r["lang"]: train_rows / r["count"] for r in sizes}
-    picked = F.lit(False)
+        return [Model([], np.zeros((0, GRAMS)))] * folds
     unit = F.shiftrightunsigned(F.xxhash64("key", F.lit(7)), 11) / F.lit(float(1 << 53))
-    for lang, part in share.items():
-        picked = picked | ((F.col("lang") == lang) & (unit < part))
+    picked = rows.join(F.broadcast(sizes), "lang").filter(unit < F.lit(float(train_rows)) / F.col("count"))
+    picked = picked.select("lang", _fold(F.col("key")).alias("fold") if crossed else F.lit(0).alias("fold"), "text")
 
     def count(batches):
         found = {}
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
+            for lang, fold, text in zip(b["lang"], b["fold"], b["text"], strict=True):
                 n = np.bincount(grams(text), minlength=GRAMS)
-                found[lang] = found.get(lang, 0) + n
-        for lang, n in found.items():
+                found[lang, fold] = found.get((lang, fold), 0) + n
+        for (lang, fold), n in found.items():
             at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "gram": at.astype(np.int32), "n": n[at].astype(np.int64)})
+            yield pd.DataFrame({"lang": lang, "fold": fold, "gram": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
-    counted = labelled.filter(picked).select("lang", "text").mapInPandas(count, "lang string, gram int, n long")
-    # At most MAX_LANGUAGES x GRAMS rows, whatever the size of the corpus.
-    table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages), GRAMS))
+    counted = picked.mapInPandas(count, "lang string, fold int, gram int, n long")
+    # At most GRAMS rows for each language and fold, whatever the size of the corpus.
+    table = counted.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((folds, len(languages), GRAMS))
     at = {x: i for i, x in enumerate(languages)}
-    counts[table["lang"].map(at).to_numpy(), table["gram"].to_numpy()] = table["n"].to_numpy()
-    return Model(languages, counts)
+    counts[table["fold"].to_numpy(), table["lang"].map(at).to_numpy(int), table["gram"].to_numpy()] = table["n"].to_numpy()
+    return [Model(languages, counts.sum(0) - (counts[i] if crossed else 0)) for i in range(folds)]
 
 
-def _text_evidence(model: Model, text: Column) -> Column:
-    score = F.pandas_udf(lambda s: pd.Series([model.evidence(x) for x in s]), "array<double>")
-    return score(text)
+def _text_evidence(models: list[Model], text: Column, fold: Column) -> Column:
+    score = F.pandas_udf(lambda s, f: pd.Series([models[i].evidence(x) for x, i in zip(s, f, strict=True)]), "array<double>")
+    return score(text, fold)
 
 
-def _soft(ll: Column) -> Column:
+def _soft(ll: np.ndarray) -> np.ndarray:
     """Probabilities from log values."""
-    e = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    e = np.exp(ll - ll.max())
+    return e / e.sum()
+
+
+def _arrays(of: Callable[..., np.ndarray], *columns: Column) -> Column:
+    """A column of arrays that a function of each row's arrays gives."""
+    return F.pandas_udf(lambda *c: pd.Series([of(*map(np.asarray, x)) for x in zip(*c, strict=True)], dtype=object), "array<double>")(*columns)
 
 
 def _priors(cells: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """Log priors by host, and log probabilities of declarations; both as arrays over classes."""
-    k = len(model.languages)
-    names = [f"c{i}" for i in range(k)]
+    names = [f"c{i}" for i in range(len(model.languages))]
     add = [F.sum(c).alias(c) for c in names]
-    total = cells.agg(*add).first()
-    mass = sum(total[c] or 0.0 for c in names[:-1]) or 1.0
-    base = [((total[c] or 0.0) / mass + 1e-6) * (1 - UNKNOWN_PRIOR) for c in names[:-1]] + [UNKNOWN_PRIOR]
-    size = lambda p: sum((F.col(f"{p}{c}") for c in names[:-1]), F.lit(0.0))
-    suffix = cells.groupBy("suffix").agg(*add).withColumnsRenamed({c: f"s_{c}" for c in names})
-    host = cells.groupBy("suffix", "host").agg(*add).withColumnsRenamed({c: f"h_{c}" for c in names})
-    smooth = {}
-    for c, b in zip(names, base, strict=True):
-        of_suffix = (F.col(f"s_{c}") + SUFFIX_PRIOR * b) / (size("s_") + SUFFIX_PRIOR)
-        of_host = (F.col(f"h_{c}") + HOST_PRIOR * of_suffix) / (size("h_") + HOST_PRIOR)
-        smooth[c] = F.log(of_host) if c != names[-1] else F.lit(float(np.log(UNKNOWN_PRIOR)))
-    hosts = host.join(suffix, "suffix").select("suffix", "host", F.array(*smooth.values()).alias("log_prior"))
+    total = np.array([x or 0.0 for x in cells.agg(*add).first()])
+    mass = total[:-1].sum() or 1.0
+    base = np.append((total[:-1] / mass + 1e-6) * (1 - UNKNOWN_PRIOR), UNKNOWN_PRIOR)
+
+    def smoothed(host: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        of_suffix = (suffix + SUFFIX_PRIOR * base) / (suffix[:-1].sum() + SUFFIX_PRIOR)
+        of_host = (host + HOST_PRIOR * of_suffix) / (host[:-1].sum() + HOST_PRIOR)
+        return np.log(np.append(of_host[:-1], UNKNOWN_PRIOR))
+
+    suffix = cells.groupBy("suffix").agg(*add).select("suffix", F.array(*names).alias("of_suffix"))
+    host = cells.groupBy("suffix", "host").agg(*add).select("suffix", "host", F.array(*names).alias("of_host"))
+    hosts = host.join(suffix, "suffix").select("suffix", "host", _arrays(smoothed, F.col("of_host"), F.col("of_suffix")).alias("log_prior"))
     declared = cells.filter("declared is not null").groupBy("declared").agg(*add)
-    sums = declared.agg(*add, F.count(F.lit(1)).alias("kinds")).first()
-    kinds = float(sums["kinds"] or 1)
-    told = [
-        F.log((F.col(c) + DECLARED_PRIOR) / ((sums[c] or 0.0) + DECLARED_PRIOR * kinds)) if c != names[-1] else F.log(F.lit(1.0 / kinds))
-        for c in names
-    ]
-    return hosts, declared.select("declared", F.array(*told).alias("log_declared"))
+    sums = declared.agg(F.count(F.lit(1)), *add).first()
+    kinds, seen = float(sums[0] or 1), np.array([x or 0.0 for x in sums[1:]])
+
+    def told(own: np.ndarray) -> np.ndarray:
+        out = np.log((own + DECLARED_PRIOR) / (seen + DECLARED_PRIOR * kinds))
+        return np.append(out[:-1], -np.log(kinds))
+
+    return hosts, declared.select("declared", _arrays(told, F.array(*names)).alias("log_declared"))
 
 
 def identify(
-    rows: DataFrame, model: Model, text: str, declared: Column, host: Column, suffix: Column
+    rows: DataFrame, models: list[Model], text: str, declared: Column, host: Column, suffix: Column, key: Column | None = None
 ) -> DataFrame:
-    """The rows with __language, __posterior, __text_language and __accepted added."""
-    bounded_batches(rows.sparkSession)
-    langs = F.array(*[F.lit(x) for x in model.languages])
-    zero = F.array(*[F.lit(0.0)] * len(model.languages))
+    """The rows with a last column identified: language, posterior, text_language and accepted.
+
+    The column has another name (identified_ and so on) where rows has one of this name. Rows are read
+    with the model of the fold of their key if there are several.
+    """
+    names = models[0].languages
+    langs, zero = F.array(*[F.lit(x) for x in names]), F.array(*[F.lit(0.0)] * len(names))
     facts = {
-        "__declared": declared,
-        "__host": F.coalesce(host, F.lit("")),
-        "__suffix": F.coalesce(suffix, F.lit("")),
-        "__ll": _text_evidence(model, F.col(text)),
+        "declared": declared,
+        "host": F.coalesce(host, F.lit("")),
+        "suffix": F.coalesce(suffix, F.lit("")),
+        "ll": _text_evidence(models, F.col(text), _fold(key) if len(models) > 1 else F.lit(0)),
     }
-    seen = rows.select(*[c.alias(n) for n, c in facts.items()]).withColumn("p", _soft(F.col("__ll")))
+    facts = [c.alias(n) for n, c in facts.items()]
+    seen = rows.select(*facts).withColumn("p", _arrays(_soft, F.col("ll")))
     cells = materialize(
-        seen.groupBy(F.col("__declared").alias("declared"), F.col("__host").alias("host"), F.col("__suffix").alias("suffix")).agg(
-            *[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(len(model.languages))]
-        ),
-        "evidence",
+        seen.groupBy("declared", "host", "suffix").agg(*[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(len(names))]), "evidence"
     )
-    hosts, told = _priors(cells, model)
+    hosts, told = _priors(cells, models[0])
     hosts, told = materialize(hosts, "host-priors"), materialize(told, "declarations")
-    side = F.broadcast if max(hosts.count(), told.count()) <= BROADCAST_HOSTS else (lambda x: x)
-    hosts = hosts.withColumnsRenamed({"suffix": "__suffix", "host": "__host", "log_prior": "__log_prior"})
-    told = told.withColumnsRenamed({"declared": "__declared", "log_declared": "__log_declared"})
+    side = F.broadcast if max(hosts.count(), told.count()) <= BROADCAST_HOSTS else (lambda x: x.hint("merge"))
+    letters = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}").alias("letters")
     fused = (
-        rows.withColumns(facts)
-        .join(side(hosts), ["__suffix", "__host"], "left")
-        .join(side(told), "__declared", "left")
-        .withColumn(
-            "__log_post",
-            F.zip_with(
-                F.zip_with("__ll", F.coalesce("__log_prior", zero), lambda a, b: a + b),
-                F.coalesce("__log_declared", zero),
-                lambda a, b: a + b,
-            ),
-        )
+        rows.select(F.struct(*rows.columns).alias("row"), letters, *facts)
+        .join(side(hosts), ["suffix", "host"], "left")
+        .join(side(told), "declared", "left")
+    )
+    add = lambda a, b: a + b
+    post = F.zip_with(F.zip_with("ll", F.coalesce("log_prior", zero), add), F.coalesce("log_declared", zero), add)
+    # The greatest value is bound once and the row's probability follows from it.
+    peak = lambda c, m: F.struct(
+        langs[F.array_position(c, m).cast("int") - 1].alias("language"),
+        (1.0 / F.aggregate(c, F.lit(0.0), lambda s, x: s + F.exp(x - m))).alias("posterior"),
     )
-    best = lambda c: langs[F.array_position(c, F.array_max(c)).cast("int") - 1]
-    letters = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
-    return fused.select(
-        *rows.columns,
-        F.when(letters, best(F.col("__log_post"))).otherwise(UNKNOWN).alias("__language"),
-        F.when(letters, F.array_max(_soft(F.col("__log_post")))).otherwise(F.lit(0.0)).alias("__posterior"),
-        F.when(letters, best(F.col("__ll"))).otherwise(UNKNOWN).alias("__text_language"),
-    ).withColumn("__accepted", F.col("__language") != UNKNOWN)
+    top = lambda c: F.transform(F.array(F.array_max(c)), lambda m: peak(c, m))[0]
+    fused = fused.withColumn("post", post).select("row", "letters", top(F.col("post")).alias("fused"), top(F.col("ll")).alias("read"))
+    known = lambda c: F.when(F.col("letters"), c).otherwise(UNKNOWN)
+    found = F.struct(
+        known(F.col("fused.language")).alias("language"),
+        F.when(F.col("letters"), F.col("fused.posterior")).otherwise(0.0).alias("posterior"),
+        known(F.col("read.language")).alias("text_language"),
+        (known(F.col("fused.language")) != UNKNOWN).alias("accepted"),
+    )
+    return fused.select("row.*", found.alias(unused(rows, "identified")))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -198,8 +220,9 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 
     A source may be an address: its last label is the suffix.
     """
-    model = fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
-    return identify(docs, model, "text", F.col("lang"), F.col("source"), _suffix(F.col("source")))
+    models = fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"), crossed=True)
+    source = F.col("source")
+    return identify(docs, models, "text", code(F.col("lang")), source, _suffix(source), F.col("doc_id"))
 
 
 def _suffix(host: Column) -> Column:
@@ -225,13 +248,10 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Pages with their language; trigrams come from labelled rows (key, text, lang)."""
     facts = page_evidence(pages)
     out = identify(facts, fit(labelled), "text", F.col("declared"), F.col("host"), F.col("suffix"))
-    return out.select(
-        "page_id", "host", "suffix", "declared", F.col("__language").alias("language"),
-        F.col("__text_language").alias("text_language"), F.col("__posterior").alias("posterior"),
-        F.col("__accepted").alias("accepted"),
-    )
+    return out.select("page_id", "host", "suffix", "declared", "identified.*")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is known, with all their columns."""
-    return identify_documents(docs).filter("__accepted").select(*docs.columns)
+    out = identify_documents(docs)
+    return out.filter(F.col(f"{out.columns[-1]}.accepted")).select(*docs.columns)

@@ -9,8 +9,11 @@ the tokens that it has, and its margins are made up by other cells (where a targ
 than there is, the nearest mixture is found). Whether a document is drawn depends on a hash of its doc_id
 and a seed alone.
 
-Where no topic column is given, words of more than five characters are dealt by a hash into TOPICS
-lexical fields, and a document's topic is the field that it uses most against the corpus.
+Where no topic column is given, topics come from the words that occur together. A document's profile
+is the random projection of its long words (more than five characters) on PROFILE axes, of unit
+length and less the mean profile of its language, so that topics do not just repeat languages. Its
+topic is the octant of the profile in the three leading principal axes of all profiles. Sums over the
+corpus are of integers, so topics do not depend on the order of addition.
 
 Targets default to the corpus shares raised to a power below one and normalised, which lifts small
 groups. Targets for groups that the corpus lacks are left out and the rest is normalised.
@@ -18,23 +21,27 @@ groups. Targets for groups that the corpus lacks are left out and the rest is no
 Edge cases: null sources, languages and topics are a group of their own (''); null and empty texts
 have no tokens and take the weight of their cell, one if the whole cell has none. Repeated rows
 count as often as they occur and are drawn together. A null doc_id is drawn like an id of its own.
-An empty table gives an empty result. Ties between topics go to the lower number.
+An empty table gives an empty result. A profile on the border of octants counts as the upper one;
+texts without a long word have the topic ''. Other columns pass through untouched, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches, materialize
+from quillon.session import materialize, unused
 
-#: Lexical fields of the default topics.
-TOPICS = 8
+#: Axes of a profile, units in its length, and leading axes that topics are octants of.
+PROFILE, UNIT, AXES = 32, 1000, 3
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 20_000
 #: Powers of the default targets.
 SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER = 0.7, 0.7, 0.5
 #: Share of all tokens that a sample is to have.
@@ -48,48 +55,88 @@ DRIVER_CELLS = 50_000
 MARGINS = ("source", "lang", "topic")
 
 
-def _counts(texts: pd.Series) -> pd.DataFrame:
-    tokens, fields = [], []
+def _profiles(texts: pd.Series) -> Iterator[tuple[int, np.ndarray | None]]:
+    """Number of tokens and profile (integers) of each text; no profile without a long word."""
     known: dict[str, int] = {}
     for text in texts:
         words = (text or "").split()
-        n = [0] * TOPICS
+        codes = []
         for w in words:
             if len(w) > 5:
-                f = known.get(w)
-                if f is None:
-                    if len(known) > 500_000:
+                code = known.get(w)
+                if code is None:
+                    if len(known) >= KNOWN_WORDS:
                         known.clear()
-                    f = known[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % TOPICS
-                n[f] += 1
-        tokens.append(len(words))
-        fields.append(n)
-    return pd.DataFrame({"tokens": tokens, "fields": fields})
-
-
-def _topic(fields: Column, shares: list[float]) -> Column:
-    """The field that stands out most against its share of the corpus."""
-    lift = F.zip_with(fields, F.array(*[F.lit(max(s, 1e-12)) for s in shares]), lambda n, s: n / s)
-    best = F.array_position(lift, F.array_max(lift)).cast("int") - 1
-    return F.when(F.aggregate(fields, F.lit(0), lambda s, x: s + x) > 0, best.cast("string")).otherwise("")
-
-
-def _with_groups(docs: DataFrame, shares: list[float] | None, topic: str | None) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    count = F.pandas_udf(_counts, "struct<tokens:long,fields:array<int>>")
-    facts = docs.withColumn("__counts", count(F.col("text")))
-    named = F.coalesce(F.col(topic).cast("string"), F.lit("")) if topic else None
-    out = facts.withColumns(
-        {
-            "__source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "__tokens": F.col("__counts.tokens"),
-            "__fields": F.col("__counts.fields"),
-        }
-    )
-    if named is not None or shares is not None:
-        out = out.withColumn("__topic", named if named is not None else _topic(F.col("__fields"), shares))
-    return out
+                    code = known[w] = xxhash.xxh32_intdigest(w.lower().encode("utf-8", "surrogatepass"))
+                codes.append(code)
+        if not codes:
+            yield len(words), None
+            continue
+        bits = np.unpackbits(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4), axis=1)
+        v = 2.0 * bits.sum(0, dtype=np.int64) - len(codes)
+        norm = float(np.linalg.norm(v))
+        yield len(words), np.rint(v * (UNIT / norm)).astype(np.int64) if norm else np.zeros(PROFILE, np.int64)
+
+
+def _counts(texts: pd.Series) -> pd.DataFrame:
+    found = list(_profiles(texts))
+    return pd.DataFrame({"tokens": [n for n, _ in found], "profile": [p for _, p in found]})
+
+
+class Topics:
+    """Mean profile of each language and the principal axes."""
+
+    def __init__(self, means: dict[str, np.ndarray], axes: np.ndarray):
+        self.means, self.axes = means, axes
+
+    def of(self, profile, lang: str) -> str:
+        if profile is None:
+            return ""
+        at = (np.asarray(profile) - self.means.get(lang, 0.0)) @ self.axes
+        return str(int(((at >= 0) << np.arange(len(at))).sum()))
+
+
+def fit_topics(profiles: DataFrame) -> Topics:
+    """Topics from all rows (lang, profile) that have a profile."""
+    at = np.triu_indices(PROFILE)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang, part in b.groupby("lang"):
+                x = np.stack(part["profile"].to_numpy()).astype(np.int64)
+                own = np.concatenate([[len(x)], x.sum(0), (x.T @ x)[at]])
+                found[lang] = found.get(lang, 0) + own
+        for lang, own in found.items():
+            yield pd.DataFrame({"lang": lang, "place": np.arange(len(own), dtype=np.int32), "n": own})
+
+    parts = profiles.filter("profile is not null").mapInPandas(sums, "lang string, place int, n long")
+    # A row for each language and pair of axes, whatever the size of the corpus.
+    table = parts.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
+    means, spread = {}, np.zeros((PROFILE, PROFILE))
+    for lang, own in sorted(table.groupby("lang")):
+        own = own.sort_values("place")["n"].to_numpy()
+        n, total, products = int(own[0]), own[1 : PROFILE + 1], np.zeros((PROFILE, PROFILE))
+        products[at] = own[PROFILE + 1 :]
+        means[lang] = total / n
+        spread += products - np.triu(np.outer(total, total) / n)
+    axes = np.linalg.eigh(spread + np.triu(spread, 1).T)[1][:, ::-1][:, :AXES]
+    return Topics(means, axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(AXES)]))
+
+
+def _grouped(docs: DataFrame, topic: str | None, topics: Topics | None = None) -> DataFrame:
+    """row (the columns of docs), source, lang and tokens of each document; its topic, or its profile if none is known yet."""
+    named = F.coalesce(F.col(topic).cast("string"), F.lit("")) if topic else F.lit(None).cast("string")
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    count = F.pandas_udf(_counts, "struct<tokens:long,profile:array<long>>")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), group("source").alias("source"), group("lang").alias("lang"), named.alias("topic"), count("text").alias("counts"))
+    rows = rows.select("row", "source", "lang", "topic", "counts.tokens", "counts.profile")
+    return _with_topics(rows, topics) if topics else rows
+
+
+def _with_topics(rows: DataFrame, topics: Topics) -> DataFrame:
+    of = F.pandas_udf(lambda p, g: pd.Series([topics.of(x, y) for x, y in zip(p, g, strict=True)], dtype=object), "string")
+    return rows.withColumn("topic", of("profile", "lang"))
 
 
 def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rate: float = SAMPLE_RATE) -> np.ndarray:
@@ -158,23 +205,15 @@ def cell_weights(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     topic: str | None = None,
     rate: float = SAMPLE_RATE,
-) -> tuple[DataFrame, list[float] | None]:
-    """A row for each cell (source, lang, topic, docs, tokens, fitted, weight, probability), and the field shares."""
-    facts = _with_groups(docs, None, topic)
-    keep = ["__source", "__lang", "__tokens", "__fields"] + (["__topic"] if topic else [])
-    facts = materialize(facts.select(*keep), "mixing-counts")
-    shares = None
+) -> tuple[DataFrame, Topics | None]:
+    """A row for each cell, and the topics: source, lang, topic, docs, tokens, fitted, weight and probability."""
+    facts = materialize(_grouped(docs, topic).drop("row"), "mixing-counts")
+    topics = None
     if topic is None:
-        sums = facts.agg(*[F.sum(F.col("__fields")[i]).alias(f"f{i}") for i in range(TOPICS)]).first()
-        total = sum(x or 0 for x in sums) or 1
-        shares = [(x or 0) / total for x in sums]
-        facts = facts.withColumn("__topic", _topic(F.col("__fields"), shares))
-    cells = materialize(
-        facts.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(
-            F.count(F.lit(1)).alias("docs"), F.sum("__tokens").alias("tokens")
-        ),
-        "cells",
-    )
+        topics = fit_topics(facts.select("lang", "profile"))
+        facts = _with_topics(facts, topics)
+    cells = facts.groupBy(*MARGINS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+    cells = materialize(cells, "cells")
     spark = docs.sparkSession
     if cells.count() <= DRIVER_CELLS:
         local = cells.orderBy(*MARGINS).toPandas()
@@ -195,7 +234,18 @@ def cell_weights(
         "weight", F.when(F.col("tokens") > 0, F.col("fitted") * float(total) / F.col("tokens")).otherwise(1.0)
     )
     weighed = materialize(weighed, "cell-weights")
-    return weighed.withColumn("probability", F.least(F.col("weight") * rate, F.lit(1.0))), shares
+    return weighed.withColumn("probability", F.least(F.col("weight") * rate, F.lit(1.0))), topics
+
+
+def margin_errors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> dict[str, float]:
+    """By how much the fitted shares miss the targets, at most, on each margin."""
+    out = {}
+    for m in MARGINS:
+        goals = cells.sparkSession.createDataFrame(list(targets[m].items()), f"{m} string, goal double")
+        got = cells.groupBy(m).agg(F.sum("fitted").alias("own"))
+        miss = F.abs(F.coalesce("own", F.lit(0.0)) - F.coalesce("goal", F.lit(0.0)))
+        out[m] = got.join(goals, m, "full").agg(F.max(miss)).first()[0] or 0.0
+    return out
 
 
 def weigh(
@@ -205,20 +255,16 @@ def weigh(
     rate: float = SAMPLE_RATE,
     seed: int = 1,
 ) -> DataFrame:
-    """The documents with __topic, __tokens, __weight, __probability and __sampled added."""
-    cells, shares = cell_weights(docs, targets, topic, rate)
-    side = cells.select(
-        F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"),
-        F.col("weight").alias("__weight"), F.col("probability").alias("__probability"),
-    )
-    if cells.count() <= DRIVER_CELLS:
-        side = F.broadcast(side)
-    unit = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return (
-        _with_groups(docs, shares, topic)
-        .join(side, ["__source", "__lang", "__topic"])
-        .withColumn("__sampled", unit < F.col("__probability"))
-    )
+    """The documents with a last column mix: topic, tokens, weight, probability and sampled.
+
+    The column has another name (mix_ and so on) where docs has one of this name.
+    """
+    cells, topics = cell_weights(docs, targets, topic, rate)
+    side = cells.select(*MARGINS, "weight", "probability")
+    side = F.broadcast(side) if cells.count() <= DRIVER_CELLS else side
+    unit = F.shiftrightunsigned(F.xxhash64(F.col("row.doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    mix = F.struct("topic", "tokens", "weight", "probability", (unit < F.col("probability")).alias("sampled"))
+    return _grouped(docs, topic, topics).join(side, list(MARGINS)).select("row.*", mix.alias(unused(docs, "mix")))
 
 
 def sample(
@@ -228,4 +274,5 @@ def sample(
     seed: int = 1,
 ) -> DataFrame:
     """The drawn documents, with all their columns."""
-    return weigh(docs, targets, rate=rate, seed=seed).filter("__sampled").select(*docs.columns)
+    drawn = weigh(docs, targets, rate=rate, seed=seed)
+    return drawn.filter(F.col(f"{drawn.columns[-1]}.sampled")).select(*docs.columns)

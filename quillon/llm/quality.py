@@ -2,8 +2,8 @@
 
 A text is the set of its byte n-grams (n in NGRAMS, hashed to FEATURES classes). Over all labelled
 training rows the document frequencies of the n-grams in either class give log-count ratios; a
-text's indicators are scaled by them and brought to unit length. On at most SAMPLE_ROWS training
-rows, as many of either class where there are enough, a linear hinge-loss model is fitted by dual
+text's indicators are scaled by them and brought to unit length. On about SAMPLE_ROWS training rows
+(each is drawn by a hash of its id), as many of either class where there are enough, a linear hinge-loss model is fitted by dual
 coordinate descent and interpolated with its mean magnitude; the other half of the sample
 calibrates its margins to probabilities.
 
@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches, materialize
+from quillon.session import materialize
 
 FEATURES = 1 << 16
 NGRAMS = (2, 3, 4)
-#: Rows of the fitted sample, both classes together.
+#: Rows of the fitted sample, both classes together, about.
 SAMPLE_ROWS = 3000
 #: Smoothing of document frequencies; weight of the fitted model against its mean magnitude.
 SMOOTHING, INTERPOLATION = 1.0, 0.25
@@ -110,7 +110,6 @@ def _calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from documents and labels (doc_id, quality)."""
-    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & ~is_held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")
     )
@@ -178,7 +177,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [model.score(x) for x in b["text"]]})
 
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = rows.mapInPandas(run, "doc_id long, score double")
     return scored.select(

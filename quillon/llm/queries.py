@@ -27,9 +27,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.weigh(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select(
-        "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"),
-        F.round("__weight", 9).alias("weight"), F.round("__probability", 9).alias("probability"),
-        F.col("__sampled").alias("sampled"),
+        "doc_id", "source", "lang", "mix.topic", "mix.tokens", F.round("mix.weight", 9).alias("weight"),
+        F.round("mix.probability", 9).alias("probability"), "mix.sampled",
     )
 
 
@@ -63,9 +62,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select(
-        "doc_id", F.col("lang").alias("declared"), F.col("__language").alias("language"),
-        F.col("__text_language").alias("text_language"), F.round("__posterior", 6).alias("posterior"),
-        F.col("__accepted").alias("accepted"),
+        "doc_id", F.col("lang").alias("declared"), "identified.language", "identified.text_language",
+        F.round("identified.posterior", 6).alias("posterior"), "identified.accepted",
     )
 
 

@@ -15,13 +15,14 @@ any group to 2**18 fingerprints. Components come from repeated large-star and sm
 Edge cases: a null text counts as empty; texts without words have the fingerprint zero and are
 linked like any others; with fewer than three words the whole sequence is the one shingle. Equal
 fingerprints are one node, so copies in any number cost nothing after the first step. Rows repeated
-with one doc_id stay separate rows with the same component. A null doc_id never names a component
-unless nothing else does. An empty table gives an empty result. Other columns are never looked at.
+with one doc_id stay separate rows, each in the component of its fingerprint. A null doc_id never
+names a component unless nothing else does, but its fingerprint links like any other. An empty table
+gives an empty result. Other columns are never looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches, materialize
+from quillon.session import materialize, unused
 
 #: Seed of XXH64.
 SEED = 42
@@ -70,7 +71,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x) for x in b["text"]], np.uint64).astype(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
@@ -207,26 +207,20 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, bucket_rows: int = BUCKET_ROWS, prints: Callable[[DataFrame], DataFrame] = fingerprints
+) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach), a row for each row of docs."""
-    prints = materialize(fingerprints(docs), "simhash")
+    prints = materialize(prints(docs), "simhash")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = links(classes.select("fp"), bucket_rows)
-    reps = classes.filter("rep is not null")
-    edges = (
-        found.filter("a is not null")
-        .distinct()
-        .join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a")
-        .join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    comps = components(edges)
-    named = materialize(
-        classes.join(comps, F.col("rep") == F.col("node"), "left").select(
-            "fp", F.coalesce("component", "rep").alias("component_id")
-        ),
-        "components",
+    # Fingerprints are the nodes, so that those whose rows have no doc_id still carry links.
+    found = components(links(classes.select("fp"), bucket_rows).filter("a is not null"))
+    grouped = classes.join(found.hint("merge"), F.col("fp") == F.col("node"), "left").select(
+        "fp", "rep", F.coalesce("component", "fp").alias("component")
     )
+    grouped = materialize(grouped, "groups")
+    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(grouped.join(least.hint("merge"), "component").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -235,6 +229,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay: nothing tells which of them to keep.
     """
-    ids = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(materialize(ids, "kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    ids = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(unused(docs, "kept"))).distinct()
+    kept = docs.join(materialize(ids, "kept"), F.col("doc_id").cast("long") == F.col(ids.columns[0]), "left_semi")
     return kept.unionByName(docs.filter("doc_id is null"))

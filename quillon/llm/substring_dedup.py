@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches, materialize
+from quillon.session import materialize
 
 #: Bytes of a repeated string; bytes of a gram.
 LENGTH, GRAM = 200, 32
@@ -106,11 +106,11 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, data (bytes), sha (their digest), n_bytes and t, a short key of the digest."""
+    """doc_id, data (bytes), sha (their digest), n_bytes and t and u, a key of 128 bits of the digest."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data")).withColumns(
         {"sha": F.unhex(F.sha2("data", 256)), "n_bytes": F.length("data").cast("long")}
-    ).withColumn("t", F.xxhash64("sha"))
+    ).withColumns({"t": F.xxhash64("sha"), "u": F.xxhash64("sha", F.lit(1))})
 
 
 def _find_anchors(keyed: DataFrame) -> DataFrame:
@@ -120,36 +120,36 @@ def _find_anchors(keyed: DataFrame) -> DataFrame:
             n = [len(f[0]) for f in found]
             h, at, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
             yield pd.DataFrame({
-                "h": h, "t": np.repeat(b["t"].to_numpy(), n), "n_bytes": np.repeat(b["n_bytes"].to_numpy(), n),
+                "h": h, "t": np.repeat(b["t"].to_numpy(), n), "u": np.repeat(b["u"].to_numpy(), n),
                 "at": at, "p1": first, "p2": last,
             })
 
-    rows = keyed.filter(F.col("n_bytes") >= LENGTH).select("t", "n_bytes", "data")
-    return rows.mapInPandas(run, "h long, t long, n_bytes long, at long, p1 long, p2 long")
+    rows = keyed.filter(F.col("n_bytes") >= LENGTH).select("t", "u", "data")
+    return rows.mapInPandas(run, "h long, t long, u long, at long, p1 long, p2 long")
 
 
 def _stretches(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, t, n_bytes, p1, off (place of the anchor) and stretch of the wanted anchors of each text."""
+    """h, t, u, p1, off (place of the anchor) and stretch of the wanted anchors of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, n, data, found in zip(b["t"], b["n_bytes"], b["data"], b["found"], strict=True):
+            for t, u, data, found in zip(b["t"], b["u"], b["data"], b["found"], strict=True):
                 data = bytes(data)
                 for a in found:
                     p1 = a["p1"]
-                    out.append((a["h"], t, n, p1, a["at"] - p1, data[p1 : a["p2"] + LENGTH]))
+                    out.append((a["h"], t, u, p1, a["at"] - p1, data[p1 : a["p2"] + LENGTH]))
             if out:
-                yield pd.DataFrame(out, columns=["h", "t", "n_bytes", "p1", "off", "stretch"])
+                yield pd.DataFrame(out, columns=["h", "t", "u", "p1", "off", "stretch"])
 
-    w = wanted.withColumnsRenamed({"t": "wt", "n_bytes": "wn"})
-    on = (F.col("t") == F.col("wt")) & (F.col("n_bytes") == F.col("wn")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    both = keyed.join(w, on).select("t", "n_bytes", "data", "found")
-    return both.mapInPandas(run, "h long, t long, n_bytes long, p1 long, off long, stretch binary")
+    w = wanted.withColumnsRenamed({"t": "wt", "u": "wu"})
+    on = (F.col("t") == F.col("wt")) & (F.col("u") == F.col("wu")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    both = keyed.join(w, on).select("t", "u", "data", "found")
+    return both.mapInPandas(run, "h long, t long, u long, p1 long, off long, stretch binary")
 
 
 def _resolve(stretches: DataFrame) -> DataFrame:
-    """t, n_bytes and intervals [lo, hi) of bytes to remove, from stretches that meet by gram."""
+    """t, u and intervals [lo, hi) of bytes to remove, from stretches that meet by gram."""
 
     def settle(groups: list[dict]) -> list[tuple[int, int, int, int]]:
         """groups: for each gram the texts and starts of each distinct stretch."""
@@ -158,23 +158,23 @@ def _resolve(stretches: DataFrame) -> DataFrame:
             several = len(g) > 1
             for (_, stretch), owners in g.items():
                 if len(owners) > 1:
-                    out += [(t, n, p, p + len(stretch)) for t, n, p in owners]
+                    out += [(t, u, p, p + len(stretch)) for t, u, p in owners]
                 if several:
                     open_.append((stretch, owners))
         if open_:
             for (_, owners), flags in zip(open_, repeated_starts([s for s, _ in open_]), strict=True):
                 if len(owners) == 1:
-                    ((t, n, p),) = owners
-                    out += [(t, n, p + lo, p + hi + LENGTH) for lo, hi in _runs(flags)]
+                    ((t, u, p),) = owners
+                    out += [(t, u, p + lo, p + hi + LENGTH) for lo, hi in _runs(flags)]
         return out
 
     def frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["t", "n_bytes", "lo", "hi"])
+        return pd.DataFrame(rows, columns=["t", "u", "lo", "hi"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, done, held = None, {}, [], 0
         for b in batches:
-            for h, t, n, p1, off, stretch in zip(*(b[c] for c in ("h", "t", "n_bytes", "p1", "off", "stretch")), strict=True):
+            for h, t, u, p1, off, stretch in zip(*(b[c] for c in ("h", "t", "u", "p1", "off", "stretch")), strict=True):
                 if h != key:
                     if group:
                         done.append(group)
@@ -185,22 +185,22 @@ def _resolve(stretches: DataFrame) -> DataFrame:
                 stretch = bytes(stretch)
                 owners = group.get((off, stretch))
                 if owners is None:
-                    group[(off, stretch)] = {(t, n, p1)}
+                    group[(off, stretch)] = {(t, u, p1)}
                     held += len(stretch)
                 else:
-                    owners.add((t, n, p1))
+                    owners.add((t, u, p1))
         if group:
             done.append(group)
         yield frame(settle(done))
 
     dealt = stretches.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInPandas(run, "t long, n_bytes long, lo long, hi long")
+    return dealt.mapInPandas(run, "t long, u long, lo long, hi long")
 
 
 def _resolve_hot(stretches: DataFrame) -> DataFrame:
     """The same for grams with too many anchors for one task: strings are counted by content."""
     # These tables pack so well that their file size says nothing of their size in memory: no broadcast.
-    stretches = materialize(stretches.select("t", "n_bytes", "p1", "stretch").distinct(), "hot-stretches")
+    stretches = materialize(stretches.select("t", "u", "p1", "stretch").distinct(), "hot-stretches")
     distinct = stretches.groupBy("stretch").agg(F.count(F.lit(1)).alias("owners"))
     starts = F.sequence(F.lit(0), F.length("stretch") - LENGTH)
     strings = distinct.select("stretch", "owners", F.explode(starts).alias("s")).withColumn(
@@ -211,17 +211,17 @@ def _resolve_hot(stretches: DataFrame) -> DataFrame:
     )
     found = strings.select("stretch", "s", "string").join(repeated, "string", "left_semi").select("stretch", "s")
     return stretches.join(materialize(found, "hot-starts").hint("merge"), "stretch").select(
-        "t", "n_bytes", (F.col("p1") + F.col("s")).alias("lo"), (F.col("p1") + F.col("s") + LENGTH).alias("hi")
+        "t", "u", (F.col("p1") + F.col("s")).alias("lo"), (F.col("p1") + F.col("s") + LENGTH).alias("hi")
     )
 
 
 def _cut(keyed: DataFrame, covers: DataFrame) -> DataFrame:
-    """t, n_bytes, n_removed, n_spans and kept_sha of the texts in covers (found: their intervals)."""
+    """t, u, n_removed, n_spans and kept_sha of the texts in covers (found: their intervals)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for t, n, data, found in zip(b["t"], b["n_bytes"], b["data"], b["found"], strict=True):
+            for t, u, data, found in zip(b["t"], b["u"], b["data"], b["found"], strict=True):
                 data, at, removed, spans = bytes(data), 0, 0, 0
                 digest = hashlib.sha256()
                 end = -1
@@ -236,28 +236,22 @@ def _cut(keyed: DataFrame, covers: DataFrame) -> DataFrame:
                         end = hi
                     at = end
                 digest.update(data[at:])
-                out.append((t, n, removed, spans, digest.digest()))
-            yield pd.DataFrame(out, columns=["t", "n_bytes", "n_removed", "n_spans", "kept_sha"])
+                out.append((t, u, removed, spans, digest.digest()))
+            yield pd.DataFrame(out, columns=["t", "u", "n_removed", "n_spans", "kept_sha"])
 
-    c = covers.withColumnsRenamed({"t": "ct", "n_bytes": "cn"})
-    both = keyed.join(c, (F.col("t") == F.col("ct")) & (F.col("n_bytes") == F.col("cn")))
-    rows = both.select("t", "n_bytes", "data", "found")
-    return rows.mapInPandas(run, "t long, n_bytes long, n_removed long, n_spans long, kept_sha binary")
+    c = covers.withColumnsRenamed({"t": "ct", "u": "cu"})
+    both = keyed.join(c, (F.col("t") == F.col("ct")) & (F.col("u") == F.col("cu")))
+    rows = both.select("t", "u", "data", "found")
+    return rows.mapInPandas(run, "t long, u long, n_removed long, n_spans long, kept_sha binary")
 
 
 def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row for each row of docs."""
-    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    heads = materialize(keyed.select("doc_id", "t", "n_bytes", "sha"), "heads")
+    heads = materialize(keyed.select("doc_id", "t", "u", "n_bytes", "sha"), "heads")
     texts = materialize(
-        heads.groupBy("t", "n_bytes").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sha").alias("s1"), F.max("sha").alias("s2")
-        ),
-        "texts",
+        heads.groupBy("t", "u").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "texts"
     )
-    if not texts.filter("s1 <> s2").isEmpty():
-        raise ValueError("two texts of equal length share a 64-bit key")
     found = materialize(_find_anchors(keyed), "anchors")
     counts = found.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in ("t", "at")]
@@ -268,9 +262,9 @@ def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     # Copies of one text give the same anchors: they are joined once, through the text's representative.
     wanted = (
         found.join(grams.select("h"), "h", "left_semi")
-        .groupBy("t", "n_bytes", "at").agg(F.first("h").alias("h"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-        .groupBy("t", "n_bytes").agg(F.collect_list(F.struct("h", "at", "p1", "p2")).alias("found"))
-        .join(texts.select("t", "n_bytes", "rep"), ["t", "n_bytes"])
+        .groupBy("t", "u", "at").agg(F.first("h").alias("h"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
+        .groupBy("t", "u").agg(F.collect_list(F.struct("h", "at", "p1", "p2")).alias("found"))
+        .join(texts.select("t", "u", "rep"), ["t", "u"])
     )
     stretches = _stretches(keyed, materialize(wanted, "wanted"))
     hot = materialize(grams.filter("hot").select("h"), "hot-grams")
@@ -282,16 +276,16 @@ def remove_repeats(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             _resolve_hot(stretches.join(hot, "h", "left_semi"))
         )
     covers = materialize(covers, "covers")
-    single = texts.filter("copies = 1").select("t", "n_bytes")
-    lists = covers.groupBy("t", "n_bytes").agg(F.collect_list(F.struct("lo", "hi")).alias("found")).join(
-        single, ["t", "n_bytes"], "left_semi"
+    single = texts.filter("copies = 1").select("t", "u")
+    lists = covers.groupBy("t", "u").agg(F.collect_list(F.struct("lo", "hi")).alias("found")).join(
+        single, ["t", "u"], "left_semi"
     )
     cut = materialize(_cut(keyed, materialize(lists, "cover-lists")), "cut")
     facts = materialize(
-        texts.select("t", "n_bytes", "copies").join(cut, ["t", "n_bytes"], "left"), "facts"
+        texts.select("t", "u", "copies").join(cut, ["t", "u"], "left"), "facts"
     )
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    return heads.join(facts, ["t", "n_bytes"]).select(
+    return heads.join(facts, ["t", "u"]).select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches
+from quillon.session import materialize
 
 #: Code points in a gram, and grams in a window.
 GRAM, WINDOW = 5, 8
@@ -37,8 +37,12 @@ BASE = 0x9E3779B97F4A7C15
 RANGE_ROWS = 1000
 #: Relative error of the range bounds.
 RANGE_ERROR = 0.0005
-#: Most ranges (their bounds and first ids are held on the driver).
-MAX_RANGES = 4096
+#: Ranges whose bounds are quantiles, held on the driver; where more are needed each is cut evenly.
+LEVEL_RANGES = 4096
+#: Ranges up to which their first ids are broadcast; with more the join is shuffled.
+BROADCAST_RANGES = 500_000
+#: Characters of fingerprints after which rows are handed on.
+FLUSH_CHARS = 16_000_000
 
 _MASK = (1 << 64) - 1
 
@@ -127,32 +131,43 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
     Rows with ahead set are only there to be read by the row before them.
     """
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = min(MAX_RANGES, max(1, n // range_rows))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    ranges = max(1, n // range_rows)
+    coarse = min(LEVEL_RANGES, ranges)
+    fine = -(-ranges // coarse)
     cuts = []
-    if ranges > 1:
-        cuts = sorted(set(rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], RANGE_ERROR)))
-    placed = rows.withColumn("bucket", _count_at_most(F.col("doc_id"), cuts))
-    # One row for each range, as many as the bounds on the driver.
-    nulls = F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")
-    firsts = placed.groupBy("bucket").agg(F.min("doc_id").alias("first"), nulls).orderBy("bucket").collect()
+    if coarse > 1:
+        cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / coarse for i in range(1, coarse)], RANGE_ERROR)})
+    span = _count_at_most(F.col("doc_id"), cuts)
+    part = F.lit(0)
+    if fine > 1:
+        bounds = F.array(*[F.lit(x) for x in (low, *cuts, high + 1)])
+        start, stop = F.get(bounds, F.col("span")), F.get(bounds, F.col("span") + 1)
+        share = (F.col("doc_id") - start) / F.greatest(stop - start, F.lit(1))
+        part = F.least(F.greatest(F.coalesce(F.floor(share * fine), F.lit(0)), F.lit(0)), F.lit(fine - 1))
+    placed = rows.withColumn("span", span).withColumn("bucket", F.col("span").cast("long") * fine + part)
+    nulls = F.max(F.col("doc_id").isNull()).alias("nulls")
+    firsts = materialize(placed.groupBy("bucket", "span").agg(F.min("doc_id").alias("first"), nulls), "range-heads")
     # The first document of a range is also sent to the range before, that of the first to the last.
-    sent = {}
-    for i, r in enumerate(firsts):
-        first = None if r["nulls"] else r["first"]
-        sent.setdefault(first, []).append(firsts[i - 1]["bucket"])
+    ends = firsts.groupBy("span").agg(F.max("bucket")).orderBy("span").collect()  # LEVEL_RANGES rows at most
     spark = docs.sparkSession
-    heads = spark.createDataFrame([(k, v) for k, vs in sent.items() for v in vs], "first long, to int")
-    ahead = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("first"))).select(
-        F.col("to").alias("bucket"), "doc_id", "text", F.lit(True).alias("ahead")
+    turns = [(r[0], ends[i - 1][1]) for i, r in enumerate(ends)]
+    turns = F.broadcast(spark.createDataFrame(turns, "span int, wrapped long"))
+    before = F.lag("bucket").over(Window.partitionBy("span").orderBy("bucket"))
+    heads = firsts.withColumn("before", before).join(turns, "span").select(
+        F.when(~F.col("nulls"), F.col("first")).alias("first"), F.coalesce("before", "wrapped").alias("to")
+    )
+    heads = F.broadcast(heads) if ranges <= BROADCAST_RANGES else heads.hint("merge")
+    ahead = (
+        rows.join(heads, F.col("doc_id").eqNullSafe(F.col("first")))
+        .groupBy(F.col("to").alias("bucket"), "doc_id").agg(F.min("text").alias("text")).withColumn("ahead", F.lit(True))
     )
     everything = placed.select("bucket", "doc_id", "text", F.lit(False).alias("ahead")).unionByName(ahead)
     return everything.repartition("bucket").sortWithinPartitions("bucket", "ahead", F.asc_nulls_first("doc_id"), "text")
 
 
-def _count_at_most(column, cuts: list[float]):
+def _count_at_most(column: Column, cuts: list[int]) -> Column:
     """How many of the sorted cuts are at most the value: a binary decision tree of comparisons."""
     if not cuts:
         return F.lit(0)
@@ -161,7 +176,7 @@ def _count_at_most(column, cuts: list[float]):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(column >= F.lit(int(cuts[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(column >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
 
@@ -187,18 +202,25 @@ def compare(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
             )
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        def frame(rows):
+            ids = pd.array([r[0] for r in rows], "Int64")
+            return pd.DataFrame([r[1:] for r in rows], columns=names[1:]).assign(doc_id=ids)[names]
+
         for b in batches:
-            out = []
+            out, size = [], 0
             for bucket, key, text, ahead in zip(b["bucket"], b["doc_id"], b["text"], b["ahead"], strict=True):
                 if held is None and ahead:
                     continue
                 row = (bucket, None if pd.isna(key) else int(key), text, winnow(text))
                 if held is not None:
                     out.append(made(held, row))
+                    size += len(out[-1][3]) + len(out[-1][4])
+                    if size > FLUSH_CHARS:
+                        yield frame(out)
+                        out, size = [], 0
                 held = None if ahead else row
             if out:
-                ids = pd.array([r[0] for r in out], "Int64")
-                yield pd.DataFrame([r[1:] for r in out], columns=names[1:]).assign(doc_id=ids)[names]
+                yield frame(out)
 
     return with_next(docs, range_rows).mapInPandas(
         run,

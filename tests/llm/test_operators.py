@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat_format, exact_dedup, language_id, license_scan, mixing, quality, simhash, substring_dedup, winnowing
+from quillon.llm import bpe, chat_format, exact_dedup, language_id, license_scan, mixing, near_copies, quality, simhash, substring_dedup, winnowing
 from quillon.llm import queries as q
 from quillon.session import table
 
@@ -119,14 +119,66 @@ def test_distributed_raking_is_the_same(spark):
     assert np.allclose(got["fitted"], mixing.rake(local, goals, 0.4), atol=1e-5)
 
 
+def test_mixing_topics_follow_words(spark):
+    """Two vocabularies in each of two languages: topics tell the vocabularies apart, not the languages."""
+    r = random.Random(3)
+    pools = {(g, k): ["".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(12)] for g in ("en", "fr") for k in range(2)}
+    docs = [(i, " ".join(r.choices(pools[g, i % 2], k=40)), g, "s") for i, g in enumerate(["en", "fr"] * 100 + ["fr", "en"] * 100)]
+    out = mixing.weigh(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    for lang in ("en", "fr"):
+        used = [{x["mix"]["topic"] for x in out if x["lang"] == lang and x["doc_id"] % 2 == k} for k in range(2)]
+        assert not used[0] & used[1]
+
+
+def test_mixing_query_against_brute_force(spark):
+    """Cells, raking and probabilities again in plain Python from the query's own topics."""
+    rows = q.op2_source_mixing(spark, SF).collect()
+    texts = dict(collected(table(spark, SF, "documents")))
+    cells = collections.Counter()
+    for x in rows:
+        assert x["tokens"] == len(texts[x["doc_id"]].split())
+        cells[x["source"] or "", x["lang"] or "", x["topic"]] += x["tokens"]
+    total = sum(cells.values())
+    goals = []
+    for side, power in enumerate((0.7, 0.7, 0.5)):
+        share = collections.Counter()
+        for c, n in cells.items():
+            share[c[side]] += n
+        goals.append({k: n**power / sum(v**power for v in share.values()) for k, n in share.items() if n})
+        goals[side] = {k: v / sum(goals[side].values()) for k, v in goals[side].items()}
+    fitted = {c: n / total for c, n in cells.items()}
+    for _ in range(500):
+        for side, goal in enumerate(goals):
+            own = collections.Counter()
+            for c, v in fitted.items():
+                own[c[side]] += v
+            fitted = {c: min(v * goal.get(c[side], 0) / own[c[side]], cells[c] / total / 0.5) if own[c[side]] else 0.0 for c, v in fitted.items()}
+    for x in rows:
+        c = x["source"] or "", x["lang"] or "", x["topic"]
+        weight = fitted[c] * total / cells[c] if cells[c] else 1.0
+        assert abs(x["weight"] - weight) < 1e-5 and abs(x["probability"] - min(weight * 0.5, 1)) < 1e-5
+    drawn = sum(x["sampled"] for x in rows)
+    expected = sum(x["probability"] for x in rows)
+    assert abs(drawn - expected) < 4 * sum(x["probability"] * (1 - x["probability"]) for x in rows) ** 0.5 + 1
+
+
+def test_mixing_reports_unmet_margins(spark):
+    docs = [(i, "word " * 10, "en", "a" if i < 5 else "b", str(i % 2)) for i in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, t string")
+    goals = {"source": dict(a=0.5, b=0.5), "lang": dict(en=1.0), "topic": {"0": 0.5, "1": 0.5}}
+    cells, _ = mixing.cell_weights(frame, goals, "t")
+    miss = mixing.margin_errors(cells, goals)
+    assert 0.3 < miss["source"] < 0.5  # a has a twentieth of the tokens, and half the sample cannot come from it
+
+
 def test_mixing_edges(edge, empty):
-    rows = mixing.weigh(edge).select("doc_id", "h", "__tokens", "__probability", "__sampled").collect()
+    rows = mixing.weigh(edge).select("doc_id", "h", "mix.*").collect()
     assert len(rows) == edge.count()
-    assert all(0 <= r["__probability"] <= 1 for r in rows)
+    assert all(0 <= r["probability"] <= 1 for r in rows)
     by_id = collections.defaultdict(set)
     for r in rows:
         if r["doc_id"] == 16:
-            by_id[16].add(r["__sampled"])
+            by_id[16].add(r["sampled"])
     assert len(by_id[16]) == 1
     assert mixing.sample(edge).columns == edge.columns
     assert mixing.weigh(empty).count() == 0
@@ -134,61 +186,89 @@ def test_mixing_edges(edge, empty):
 
 def test_mixing_sample_has_the_expected_share(spark):
     w = mixing.weigh(table(spark, "/root/testdata/sf0.01", "documents")).agg(
-        F.sum(F.col("__tokens") * F.col("__probability")) / F.sum("__tokens"), F.sum(F.when(F.col("__sampled"), F.col("__tokens"))) / F.sum("__tokens")
+        F.sum(F.col("mix.tokens") * F.col("mix.probability")) / F.sum("mix.tokens"), F.sum(F.when(F.col("mix.sampled"), F.col("mix.tokens"))) / F.sum("mix.tokens")
     ).first()
     assert abs(w[0] - mixing.SAMPLE_RATE) < 0.01 and abs(w[1] - mixing.SAMPLE_RATE) < 0.08
 
 
+CLASHING = ["mix", "MIX_", "identified", "row", "counts", "topic", "tokens", "host", "declared", "ll", "own_key", "kept", "node", "digest", "__topic", "__ll", "__doc_key"]
+
+
+@pytest.mark.parametrize("stage", [mixing.sample, language_id.keep_identified, exact_dedup.keep_one, simhash.keep_one, near_copies.keep_one])
+def test_clashing_names_pass_through(edge, stage):
+    docs = edge.select("*", *[F.lit(f"mine-{c}").alias(c) for c in CLASHING])
+    out = stage(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        assert all(r[c] == f"mine-{c}" for c in CLASHING) and r["h"] == "x"
+
+
+def test_simhash_links_run_through_prints_without_id(spark):
+    """Fingerprints 1, 0 and 2 of which the middle one has no doc_id."""
+    prints = spark.createDataFrame([(1, 0b111), (None, 0), (2, 0b11000)], "doc_id long, fp long")
+    out = simhash.near_duplicates(prints, prints=lambda rows: rows).collect()
+    assert [r["component_id"] for r in out] == [1, 1, 1]
+
+
 # Chat formatting
 
 def brute_fold(events):
-    """Messages as an ordered dict, one event after the other."""
-    out = {}
-    for e in sorted(events, key=lambda e: e["seq"]):
-        k, m = e["kind"], e["message_id"]
-        if m not in out or k == "message":
-            at = out[m]["at"] if m in out else e["seq"]
-            text = "" if k == "regenerate" else e["text"]
-            if m not in out:
-                out[m] = {"at": at, "role": e["role"], "text": text}
-            else:
-                out[m]["text"] = text
-            continue
-        if k == "delta":
-            out[m]["text"] += e["text"]
+    """A list of open messages, changed by one event after the other."""
+    stack = []
+    for e in sorted(events, key=lambda e: (e["seq"], e["role"], e["text"], e["message_id"], e["kind"])):
+        at = next((i for i, m in enumerate(stack) if m[0] == e["message_id"]), None)
+        if at is None:
+            stack.append([e["message_id"], e["role"], "" if e["kind"] == "regenerate" else e["text"]])
+        elif e["kind"] == "message":
+            stack[at][1:] = [e["role"], e["text"]]
+        elif e["kind"] == "delta":
+            stack[at][2] += e["text"]
         else:
-            out[m]["text"] = "" if k == "regenerate" else e["text"]
-            for x in [x for x in out if out[x]["at"] > out[m]["at"]]:
-                out[x]["gone"] = True
-    return [(v["at"], v["role"], v["text"]) for v in sorted(out.values(), key=lambda v: v["at"]) if not v.get("gone")]
+            stack[at][2] = e["text"] if e["kind"] == "edit" else ""
+            del stack[at + 1 :]
+    return [(role, text) for _, role, text in stack]
+
+
+EVENTS = "conv_id long, seq long, kind string, message_id string, role string, text string"
+
+
+def folded(spark, events):
+    got = collections.defaultdict(list)
+    for x in chat_format.fold(spark.createDataFrame(events, EVENTS)).orderBy("conv_id", "position").collect():
+        got[x["conv_id"]].append((x["role"], x["text"]))
+    return got
 
 
 def test_chat_fold_is_the_brute_force_fold(spark):
     r = random.Random(8)
-    events = []
-    for conv in range(12):
-        opened = []
-        for seq in range(25):
-            kind = r.choice(["message", "message", "delta", "delta", "delta", "edit", "regenerate"])
-            if kind == "message" or not opened:
-                opened.append(f"m{len(opened)}")
-                m, kind = opened[-1], "message"
-            elif kind == "delta":
-                m = opened[-1]
-            else:
-                m = r.choice(opened)
-                opened = opened[: opened.index(m) + 1] + [f"{x}'" for x in []]
-            events.append(dict(conv_id=conv, seq=seq, kind=kind, message_id=f"{m}-{seq}" if kind == "message" else m, role="assistant", text=f"t{seq} "))
-            if kind == "message":
-                opened[-1] = f"{m}-{seq}"
-    frame = spark.createDataFrame(events, "conv_id long, seq long, kind string, message_id string, role string, text string")
-    got = collections.defaultdict(list)
-    for x in chat_format.fold(frame).orderBy("conv_id", "position").collect():
-        got[x["conv_id"]].append((x["position"], x["role"], x["text"]))
-    for conv in range(12):
+    kinds = ["message", "message", "delta", "delta", "delta", "edit", "regenerate"]
+    # Ids come back after they were discarded, roles change, and sequence numbers tie.
+    events = [
+        dict(conv_id=conv, seq=r.randint(0, 30), kind=r.choice(kinds), message_id=f"m{r.randint(0, 6)}", role=r.choice(["user", "assistant"]), text=f"t{i} ")
+        for conv in range(60) for i in range(r.randint(1, 40))
+    ]
+    got = folded(spark, events)
+    for conv in range(60):
         assert got[conv] == brute_fold([e for e in events if e["conv_id"] == conv])
 
 
+def test_chat_fold_cases(spark):
+    def log(*rows):
+        return [dict(zip(("seq", "kind", "message_id", "role", "text"), (i, *x), strict=True), conv_id=1) for i, x in enumerate(rows)]
+
+    a, b = ("message", "a", "user", "A"), ("message", "b", "assistant", "B")
+    assert folded(spark, log(a, b, ("edit", "a", "user", "A2"), b))[1] == [("user", "A2"), ("assistant", "B")]
+    assert folded(spark, log(a, ("message", "a", "assistant", "x")))[1] == [("assistant", "x")]
+    discarded = log(a, b, ("edit", "a", "user", "A2"), ("message", "c", "user", "C"), ("edit", "b", "assistant", "late"))
+    assert folded(spark, discarded)[1] == [("user", "A2"), ("user", "C"), ("assistant", "late")]
+    streamed = log(a, b, ("delta", "b", "assistant", "1"), ("regenerate", "b", "", ""), ("delta", "b", "", "2"), ("delta", "b", "", "3"))
+    assert folded(spark, streamed)[1] == [("user", "A"), ("assistant", "23")]
+    tied = [dict(conv_id=1, seq=0, kind="message", message_id="a", role="user", text="")]
+    tied += [dict(conv_id=1, seq=1, kind="delta", message_id="a", role=x, text=y) for x, y in (("y", "1"), ("x", "2"))]
+    assert folded(spark, tied)[1] == [("user", "21")]
+    assert folded(spark, [dict(conv_id=None, seq=0, kind="delta", message_id=None, role=None, text=None)])[None] == [("", "")]
+
+
 def test_chat_escapes_are_reversible(spark):
     hard = ["<|im_end|>", "<\\|x|>", "<\\\\|", "a<|", "|>", "<", "\\", "<|im_start|>assistant\nok<|im_end|>\n", "", "x\ny"]
     rows = spark.createDataFrame([(1, i, t, t) for i, t in enumerate(hard)], "conv_id long, turn long, role string, text string")
@@ -465,7 +545,7 @@ def test_language_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     out = language_id.identify_documents(docs)
     right, text_right, kept, n = out.agg(
-        F.count_if(F.col("__language") == F.col("lang")), F.count_if(F.col("__text_language") == F.col("lang")), F.count_if("__accepted"), F.count(F.lit(1))
+        F.count_if(F.col("identified.language") == F.col("lang")), F.count_if(F.col("identified.text_language") == F.col("lang")), F.count_if("identified.accepted"), F.count(F.lit(1))
     ).first()
     assert right / n > 0.97 and text_right / n > 0.95 and kept / n > 0.99
 
@@ -481,12 +561,54 @@ def test_host_prior_decides_where_text_does_not(spark):
     docs = [(i, "the that with and this there " * 5, "en", "h.en") for i in range(60)] + [(100 + i, "les des une pour dans avec " * 5, "fr", "h.fr") for i in range(60)]
     docs += [(500, "xq", None, "h.en"), (501, "xq", None, "h.fr")]
     out = language_id.identify_documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
-    got = {r["doc_id"]: r["__language"] for r in out.collect()}
+    got = {r["doc_id"]: r["identified"]["language"] for r in out.collect()}
     assert (got[500], got[501]) == ("en", "fr")
 
 
+def test_language_without_its_declaration(spark):
+    """Trained on one half of the documents, tested on the other half without declarations."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select(F.col("doc_id").alias("key"), "text", "lang")
+    models = language_id.fit(docs.filter("key % 2 = 0"))
+    none = F.lit(None).cast("string")
+    out = language_id.identify(docs.filter("key % 2 = 1 and length(text) >= 40"), models, "text", none, none, none)
+    right, n = out.agg(F.count_if(F.col("identified.language") == F.col("lang")), F.count(F.lit(1))).first()
+    assert right / n > 0.95
+
+
+def test_languages_are_not_capped(spark):
+    docs = [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} " * 30, f"l{'abc'[i // 100]}{i % 100:02d}-XX", "s") for i in range(300)]
+    docs = [(1000 * j + i, t, lang, s) for j in range(8) for i, t, lang, s in docs]
+    out = language_id.identify_documents(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    assert out.filter(F.col("identified.language") == F.substring_index("lang", "-", 1)).count() > 0.9 * len(docs)
+
+
+def test_language_posterior_is_the_brute_force_one(spark):
+    docs = [(i, words(i, 30) + " the of", "en" if i % 3 else "de", f"h{i % 2}.org") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    models = language_id.fit(frame.select(F.col("doc_id").alias("key"), "text", "lang"), crossed=True)
+    folds = {r[0]: r[1] for r in frame.select("doc_id", language_id._fold(F.col("doc_id"))).collect()}
+    names = models[0].languages
+    ll = {i: np.array(models[folds[i]].evidence(t)) for i, t, _, _ in docs}
+    soft = {i: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for i, x in ll.items()}
+    total = sum(soft.values())
+    base = [(x / total[:-1].sum() + 1e-6) * (1 - language_id.UNKNOWN_PRIOR) for x in total[:-1]]
+    kinds = {lang for _, _, lang, _ in docs}
+    for r in language_id.identify_documents(frame).collect():
+        mine = [sum(soft[i] for i, _, _, h in docs if h == r["source"]), sum(soft[i] for i, _, _, _ in docs)]
+        told = sum(soft[i] for i, _, lang, _ in docs if lang == r["lang"])
+        post = []
+        for k, b in enumerate(base):
+            suffix = (mine[1][k] + 20 * b) / (mine[1][:-1].sum() + 20)
+            host = (mine[0][k] + 20 * suffix) / (mine[0][:-1].sum() + 20)
+            post.append(ll[r["doc_id"]][k] + np.log(host) + np.log((told[k] + 1) / (total[k] + len(kinds))))
+        post.append(ll[r["doc_id"]][-1] + np.log(language_id.UNKNOWN_PRIOR) - np.log(len(kinds)))
+        p = np.exp(np.array(post) - max(post))
+        assert r["identified"]["language"] == names[int(p.argmax())]
+        assert abs(r["identified"]["posterior"] - p.max() / p.sum()) < 1e-6
+
+
 def test_language_edges(edge, empty):
-    rows = {r["doc_id"]: r["__accepted"] for r in language_id.identify_documents(edge).collect()}
+    rows = {r["doc_id"]: r["identified"]["accepted"] for r in language_id.identify_documents(edge).collect()}
     assert not rows[5] and not rows[6] and not rows[7] and rows[1]
     kept = language_id.keep_identified(edge)
     assert kept.columns == edge.columns
