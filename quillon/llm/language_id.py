@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize, unused
+from quillon.session import bounded_batches, materialize, unused
 
 #: Labelled rows of one language that trigram tables are fitted on, about.
 TRAIN_ROWS = 2000
@@ -94,6 +94,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, crossed: bool = False
 
     One model, or if crossed one for each fold of keys, fitted on the rows of the others.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select("key", "text", code(F.col("lang")).alias("lang")).filter("lang is not null")
     sizes = rows.groupBy("lang").count()
     languages = sorted(r["lang"] for r in sizes.collect())
@@ -123,8 +124,14 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, crossed: bool = False
     return [Model(languages, counts.sum(0) - (counts[i] if crossed else 0)) for i in range(folds)]
 
 
-def _text_evidence(models: list[Model], text: Column, fold: Column) -> Column:
-    score = F.pandas_udf(lambda s, f: pd.Series([models[i].evidence(x) for x, i in zip(s, f, strict=True)]), "array<double>")
+def _text_evidence(models: list[Model], text: Column, fold: Column, soft: bool = False) -> Column:
+    """Tempered log likelihoods of the classes, or if soft the probabilities that follow from them."""
+
+    def one(text: str | None, i: int) -> np.ndarray | list[float]:
+        ll = models[i].evidence(text)
+        return _soft(np.array(ll)) if soft else ll
+
+    score = F.pandas_udf(lambda s, f: pd.Series([one(x, i) for x, i in zip(s, f, strict=True)], dtype=object), "array<double>")
     return score(text, fold)
 
 
@@ -176,14 +183,10 @@ def identify(
     """
     names = models[0].languages
     langs, zero = F.array(*[F.lit(x) for x in names]), F.array(*[F.lit(0.0)] * len(names))
-    facts = {
-        "declared": declared,
-        "host": F.coalesce(host, F.lit("")),
-        "suffix": F.coalesce(suffix, F.lit("")),
-        "ll": _text_evidence(models, F.col(text), _fold(key) if len(models) > 1 else F.lit(0)),
-    }
-    facts = [c.alias(n) for n, c in facts.items()]
-    seen = rows.select(*facts).withColumn("p", _arrays(_soft, F.col("ll")))
+    bounded_batches(rows.sparkSession)
+    facts = [declared.alias("declared"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix")]
+    fold = _fold(key) if len(models) > 1 else F.lit(0)
+    seen = rows.select(*facts, _text_evidence(models, F.col(text), fold, soft=True).alias("p"))
     cells = materialize(
         seen.groupBy("declared", "host", "suffix").agg(*[F.sum(F.col("p")[i]).alias(f"c{i}") for i in range(len(names))]), "evidence"
     )
@@ -192,7 +195,7 @@ def identify(
     side = F.broadcast if max(hosts.count(), told.count()) <= BROADCAST_HOSTS else (lambda x: x.hint("merge"))
     letters = F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}").alias("letters")
     fused = (
-        rows.select(F.struct(*rows.columns).alias("row"), letters, *facts)
+        rows.select(F.struct(*rows.columns).alias("row"), letters, *facts, _text_evidence(models, F.col(text), fold).alias("ll"))
         .join(side(hosts), ["suffix", "host"], "left")
         .join(side(told), "declared", "left")
     )

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize, unused
+from quillon.session import bounded_batches, materialize, unused
 
 #: Axes of a profile, units in its length, and leading axes that topics are octants of.
 PROFILE, UNIT, AXES = 32, 1000, 3
@@ -126,12 +126,21 @@ def fit_topics(profiles: DataFrame) -> Topics:
 
 def _grouped(docs: DataFrame, topic: str | None, topics: Topics | None = None) -> DataFrame:
     """row (the columns of docs), source, lang and tokens of each document; its topic, or its profile if none is known yet."""
-    named = F.coalesce(F.col(topic).cast("string"), F.lit("")) if topic else F.lit(None).cast("string")
+    bounded_batches(docs.sparkSession)
     group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    count = F.pandas_udf(_counts, "struct<tokens:long,profile:array<long>>")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), group("source").alias("source"), group("lang").alias("lang"), named.alias("topic"), count("text").alias("counts"))
-    rows = rows.select("row", "source", "lang", "topic", "counts.tokens", "counts.profile")
-    return _with_topics(rows, topics) if topics else rows
+    lang = group("lang")
+    if topics:
+        # One function for both facts: a second one would need a Python process of its own in every task.
+        def facts(texts, langs):
+            found = [(n, topics.of(p, g)) for (n, p), g in zip(_profiles(texts), langs, strict=True)]
+            return pd.DataFrame(found, columns=["tokens", "topic"])
+
+        counts = F.pandas_udf(facts, "struct<tokens:long,topic:string>")("text", lang)
+    else:
+        counts = F.pandas_udf(_counts, "struct<tokens:long,profile:array<long>>")("text")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), group("source").alias("source"), lang.alias("lang"), counts.alias("counts"))
+    rows = rows.select("row", "source", "lang", "counts.*")
+    return rows.withColumn("topic", F.coalesce(F.col(f"row.{topic}").cast("string"), F.lit(""))) if topic else rows
 
 
 def _with_topics(rows: DataFrame, topics: Topics) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialize, unused
+from quillon.session import bounded_batches, materialize, unused
 
 #: Seed of XXH64.
 SEED = 42
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(x) for x in b["text"]], np.uint64).astype(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
 
 
