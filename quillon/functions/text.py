@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,3 +174,76 @@ def sigmoid(value: Column) -> Column:
 def count_in(text: Column, needles: list[str]) -> Column:
     """How many of some literals occur in the text."""
     return sum((text.contains(n).cast("int") for n in needles), F.lit(0))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form; Spark has no expression for it, so Arrow batches go through Python."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string")(text)
+
+
+def unaccented(text: Column) -> Column:
+    """Lower case without diacritics: decomposed, combining marks dropped."""
+
+    def fold(x: str | None) -> str | None:
+        return x if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower()
+
+    return F.pandas_udf(lambda s: s.map(fold), "string")(text)
+
+
+def contains_cjk(text: Column) -> Column:
+    return text.rlike(r"[\x{4e00}-\x{9fff}]")
+
+
+def english_lines(text: Column) -> Column:
+    """The lines of running English of a text in one line: no images, file names, formulas, page lists, glosses or headings."""
+    out = text
+    for p in (
+        r"!\[[^\]]*\]\([^)]*\)", r"(?i)\bimages/[A-Za-z0-9._/-]+\b", r"(?i)\b[A-Za-z0-9_-]+\.(?:jpg|jpeg|png|webp|gif)\b",
+        r"\$[^$\n]{0,160}\$", r"\\[A-Za-z]+",
+    ):
+        out = F.regexp_replace(out, p, " ")
+    lines = F.transform(F.split(out, r"[\r\n]+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+    def good(line: Column) -> Column:
+        n = F.regexp_count(line, F.lit(ENGLISH_WORD))
+        upper = F.regexp_count(line, F.lit(r"\b[A-Z][A-Z'-]*[A-Z]\b"))
+        gloss = contains_cjk(line) & (line.rlike(r"/[^/\n]{1,40}/") | line.rlike(r"(?i)\b(?:adj|adv|prep|pron|conj|noun|verb|phrase|phr|vt|vi)\b"))
+        heads = F.regexp_count(line, F.lit(r"\b(?:UNIT|Unit|LESSON|Lesson)\b"))
+        pages = F.regexp_count(line, F.lit(r"(?i)\bpp?\.\s*\d"))
+        return (n > 0) & (pages < 2) & ~gloss & ~((n >= 6) & (upper / n >= 0.6) & ~line.rlike("[.!?]")) & (heads < 2)
+
+    return F.array_join(F.filter(lines, good), " ")
+
+
+def english_tokens(text: Column, stopwords: list[str], acronyms: list[str] = ()) -> Column:
+    """Valid English words of cleaned lines in order: 3 to 32 letters, lower case, no stop words; acronyms in upper case."""
+    found = F.regexp_extract_all(english_lines(text), F.lit(ENGLISH_WORD), F.lit(0))
+    bare = F.transform(found, lambda w: F.regexp_replace(w, r"(?i)'s$", ""))
+    if acronyms:
+        shown = F.transform(bare, lambda w: F.when(F.upper(w).isin(*acronyms), F.upper(w)).otherwise(F.lower(w)))
+        return F.filter(shown, lambda w: w.isin(*acronyms) | F.length(w).between(3, 32) & ~F.lower(w).isin(stopwords))
+    return F.filter(F.transform(bare, F.lower), lambda w: F.length(w).between(3, 32) & ~w.isin(stopwords))
+
+
+def reference_page(text: Column) -> Column:
+    """title and page of references such as '《title》第12页' or 'title p. 12'; nulls where there is none."""
+    title = F.coalesce(F.nullif(F.regexp_extract(text, "《([^》]+)》", 1), F.lit("")), F.nullif(F.trim(F.regexp_extract(text, r"^(.*?)\s*(?:第|[Pp]{1,2}\.?)\s*\d+", 1)), F.lit("")))
+    page = F.nullif(F.regexp_extract(text, r"(?:第|\b[Pp]{1,2}\.?)\s*(\d+)", 1), F.lit("")).cast("int")
+    return F.struct(title.alias("title"), page.alias("page"))
+
+
+def labelled(title: Column, edition: Column) -> Column:
+    """A title with its edition in brackets, unless it names it already."""
+    named = F.coalesce(title.contains(edition), F.lit(True)) | (edition == "")
+    return F.when(named, title).otherwise(F.concat(title, F.lit("（"), edition, F.lit("）")))
+
+
+def canonical_pattern(text: Column) -> Column:
+    """Wordings alike but for digits and blanks have one form: digits become 0, blanks one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\d+", "0"), r"\s+", " "))
+
+
+def gloss(text: Column) -> Column:
+    """The explanation after a colon, without options that follow it and closing punctuation."""
+    after = F.regexp_extract(text, r"^[^:：]{1,40}[:：]\s*(.+)$", 1)
+    return F.regexp_replace(F.regexp_replace(after, r"\s+[A-D][.．]\s.*$", ""), r"[。；;.\s]+$", "")

@@ -78,3 +78,102 @@ def status_rollup(entries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("verified")).alias("verified"),
         F.count_if(~F.col("verified")).alias("candidates"),
     )
+
+
+def ranked_lookup(entries: DataFrame, key: str, columns: list[str], limit: int) -> DataFrame:
+    """Entries where a column equals the key, or else holds it; earlier columns first, then shorter headwords."""
+    k = key.lower()
+    folded = [tx.ascii_fold(F.col(c)) for c in columns]
+    exact = [F.when(c == k, F.lit(i)) for i, c in enumerate(folded)]
+    inside = [F.when(c.contains(k), F.lit(len(columns) + i)) for i, c in enumerate(folded)]
+    tier = F.coalesce(*exact, *inside)
+    return entries.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.length(columns[0]), "id").limit(limit)
+
+
+def map_lookup(entries: DataFrame, key: str, limit: int) -> DataFrame:
+    """Headwords (id, source, page, headwords) equal to the key; only where there are none, those that hold it."""
+    rows = entries.select("id", "source", "page", F.explode("headwords").alias("headword"))
+    h = tx.compact(F.lower("headword"))
+    k = "".join(key.lower().split())
+    found = rows.withColumn("exact", h == k).filter(h.contains(k))
+    best = found.agg(F.max("exact").alias("any_exact"))
+    kept = found.join(F.broadcast(best), found["exact"] == best["any_exact"]).drop("any_exact")  # one row
+    return kept.orderBy("source", "page", "headword", "id").limit(limit)
+
+
+def sections(records: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """id and the cleaned sections of JSON records (id, record): each is the first non-empty one of its fields."""
+    fields = F.from_json("record", "map<string,string>")
+
+    def cleaned(field: str) -> Column:
+        out = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("fields")[field], F.lit("")), r"_x[0-9A-Fa-f]{4}_", ""), r"\*\d+\*|#", "")
+        return F.nullif(F.trim(out), F.lit(""))
+
+    return records.select("id", fields.alias("fields")).select("id", *[F.coalesce(*map(cleaned, fs)).alias(n) for n, fs in names.items()])
+
+
+def unfolded_lines(text: Column) -> Column:
+    """Single line breaks taken out, several made one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\u0001"), "\n", ""), "\u0001", "\n"))
+
+
+def converted(text: Column, pairs: dict[str, str]) -> Column:
+    """Characters replaced by a map of single characters, such as simplified to traditional ones; an empty map changes nothing."""
+    return F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
+
+
+def reference_cards(queries: DataFrame, sites: dict[str, str]) -> DataFrame:
+    """query, site, item and url: a card for each distinct character of a query, and one for the whole query if it has several.
+
+    {} in a site's address is the item, escaped with %20 for blanks.
+    """
+    chars = F.array_distinct(F.filter(F.split(F.regexp_replace("query", r"\s+", ""), ""), lambda c: c != ""))
+    items = F.array_distinct(F.concat(F.when(F.size(chars) > 1, F.array(F.trim("query"))).otherwise(F.array().cast("array<string>")), chars))
+    rows = queries.select("query", F.posexplode(items).alias("place", "item"))
+    addresses = F.array(*[F.struct(F.lit(n).alias("site"), F.lit(u).alias("address")) for n, u in sites.items()])
+    escaped = F.replace(F.url_encode("item"), F.lit("+"), F.lit("%20"))
+    return rows.withColumn("s", F.explode(addresses)).select("query", "place", "item", "s.site", F.replace("s.address", F.lit("{}"), escaped).alias("url"))
+
+
+def resolve_books(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows (id, content_id, title, subject, edition) with the book_key that they name in a registry of the same columns.
+
+    Levels in turn: content_id; title, subject and edition; title and subject; title. A level counts only
+    if its entry is the only one.
+    """
+    levels = [["content_id"], ["title", "subject", "edition"], ["title", "subject"], ["title"]]
+    out = rows
+    for i, keys in enumerate(levels):
+        one = registry.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("book_key").alias(f"found{i}")).filter("n = 1").drop("n")
+        out = out.join(one.withColumnsRenamed({k: f"r_{k}" for k in keys}), [F.col(k) == F.col(f"r_{k}") for k in keys], "left").drop(*[f"r_{k}" for k in keys])
+    found = [F.col(f"found{i}") for i in range(len(levels))]
+    level = F.coalesce(*[F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(found)])
+    return out.select(*rows.columns, F.coalesce(*found).alias("book_key"), level.alias("level"))
+
+
+def overlaid(rows: DataFrame, key: str, layers: list[DataFrame], columns: list[str]) -> DataFrame:
+    """Rows with columns taken from the first layer (key, columns) that has a value, else their own."""
+    out = rows
+    for i, layer in enumerate(layers):
+        named = layer.select(F.col(key).alias(f"k{i}"), *[F.col(c).alias(f"{c}_{i}") for c in columns])
+        out = out.join(named, F.col(key) == F.col(f"k{i}"), "left").drop(f"k{i}")
+    chosen = {c: F.coalesce(*[F.col(f"{c}_{i}") for i in range(len(layers))], F.col(c)) for c in columns}
+    return out.withColumns(chosen).select(*rows.columns)
+
+
+def pages_by_bin(pages: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
+    """pages_in_ranges for many ranges of a book: both sides meet by book and bin of pages, so that no book is compared whole."""
+    binned = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    own = pages.withColumn("bin", F.floor(F.col("page") / width))
+    r = binned.withColumnRenamed("book_key", "range_book")
+    near = (own["bin"] == r["bin"]) & (F.col("book_key") == F.col("range_book")) & F.col("page").between(F.col("lo"), F.col("hi"))
+    return own.join(r, near).drop("bin", "range_book")
+
+
+def sample_check(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected (headword, page) and whether it was found there, elsewhere or not at all."""
+    own = found.groupBy("headword").agg(F.collect_set("page").alias("pages"))
+    return expected.join(own, "headword", "left").select(
+        "headword", "page",
+        F.when(F.col("pages").isNull(), "missing").when(F.array_contains("pages", F.col("page")), "found").otherwise("elsewhere").alias("state"),
+    )

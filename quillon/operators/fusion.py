@@ -41,48 +41,101 @@ def coverage_bonus(query: str, reference: Column) -> Column:
     return F.when(reference == "", 0.0).otherwise(tx.clamp(bonus, -18.0, 68.0))
 
 
-def definition_bonus(target: str, title: Column, text: Column) -> Column:
-    """Bonus of texts that define the target; between -24 and 54."""
-    # Wordings that define, announce and question a term.
-    anchored = [
-        rf"(?:^|[。！？；：\n])(?:什么是)?\Q{target}\E(?:通常)?是指",
-        rf"(?:^|[。！？；：\n])(?:什么是)?\Q{target}\E(?:通常)?指",
-        rf"(?:^|[。！？；：\n])\Q{target}\E(?:是|叫做|称为)",
-        rf"(?:把|将)[^。！？；：\n]{{0,40}}(?:称为|叫做)\Q{target}\E",
-    ]
-    told = [f"{target}是指", f"{target}通常指", f"{target}称为", f"{target}叫做", f"什么是{target}", f"称为{target}", f"{target}概念"]
-    asked = ["什么样的", "究竟什么", "有什么不同", "为什么"]
-    bonus = sum((F.when(text.rlike(p), 22.0).otherwise(0.0) for p in anchored), F.lit(0.0))
-    bonus = bonus + tx.count_in(tx.compact(text), told) * 10.0
-    bonus = bonus - F.when(tx.count_in(text, asked) > 0, 12.0).otherwise(0.0)
-    bonus = bonus + F.when(title.contains("定义") | title.contains("概念"), 10.0).otherwise(0.0)
-    bonus = bonus + F.when(title.contains(target), 6.0).otherwise(0.0)
+# Wordings that define a term (T), with their weight, where they are looked for, and questions.
+_STOP = r"(?:^|[。！？；：\n])"
+DEFINING: list[tuple[str, float, str]] = [
+    ("text", 22.0, _STOP + "(?:什么是)?T(?:通常)?是指"),
+    ("text", 22.0, _STOP + "(?:什么是)?T(?:通常)?指"),
+    ("text", 22.0, _STOP + "T(?:是|叫做|称为)"),
+    ("text", 22.0, r"(?:把|将)[^。！？；：\n]{0,40}(?:称为|叫做)T"),
+    ("text", 22.0, r"[^。！？；：\n]{0,40}物质(?:称为|叫做)T"),
+    ("text", 22.0, "什么样的物质才能称为T"),
+    ("text", 22.0, "才能称为T"),
+    ("flat", 10.0, "T是指"),
+    ("flat", 10.0, "T通常指"),
+    ("flat", 10.0, "T称为"),
+    ("flat", 10.0, "T叫做"),
+    ("flat", 10.0, "什么是T"),
+    ("flat", 10.0, "称为T"),
+    ("flat", 10.0, "才能称为T"),
+    ("flat", 10.0, "什么样的物质才能称为T"),
+    ("flat", 10.0, "T概念"),
+    ("text", -12.0, "什么样的|究竟什么|有什么不同|为什么"),
+    ("text", -14.0, r"(?:称为|叫做)T[A-Za-z0-9\x{4e00}-\x{9fff}]"),
+    ("title", 10.0, "定义|概念"),
+    ("title", 6.0, "T"),
+]
+# Rules of evidence spans by intent, and the weight of a marker word.
+EVIDENCE: dict[str, list[tuple[float, str]]] = {
+    "definition": [
+        (30.0, "(?:^|[。！？；：])(?:什么是)?T(?:通常)?是指"),
+        (30.0, "(?:^|[。！？；：])(?:什么是)?T(?:通常)?指"),
+        (30.0, "(?:^|[。！？；：])T(?:是|叫做|称为)"),
+        (30.0, "(?:把|将)[^。！？；：]{0,40}(?:称为|叫做)T"),
+        (30.0, "[^。！？；：]{0,40}物质(?:称为|叫做)T"),
+        (30.0, "什么样的物质才能称为T"),
+        *[(10.0, m) for m in ("是指", "通常指", "称为", "叫做", "是什么", "概念", "定义")],
+        (-10.0, "什么样的|为什么|有什么不同"),
+        (-16.0, r"(?:称为|叫做)T[A-Za-z0-9\x{4e00}-\x{9fff}]"),
+    ],
+    "comparison": [(8.0, m) for m in ("区别", "不同", "相同", "联系", "相比", "而", "但是")],
+    "example": [(8.0, m) for m in ("例如", "比如", "如", "实例", "例子", "典型")],
+    "reason": [(8.0, m) for m in ("原因", "因为", "由于", "所以", "导致")],
+    "process": [(7.0, m) for m in ("过程", "步骤", "先", "然后", "接着", "最后")],
+}
+
+
+def rule_points(rules: list[tuple[float, str]], text: Column, target: str) -> Column:
+    """Sum of the weights of the patterns that a text matches; T stands for the target."""
+    said = lambda p: p.replace("T", rf"\Q{target}\E")
+    return sum((F.when(text.rlike(said(p)), w).otherwise(0.0) for w, p in rules), F.lit(0.0))
+
+
+def definition_bonus(target: str, title: Column, text: Column, matched: Column | None = None) -> Column:
+    """Bonus of texts that define the target; between -24 and 54.
+
+    A row that was found by the bare target (matched) and defines nothing loses 24.
+    """
+    places = {"text": text, "flat": tx.compact(text), "title": tx.compact(title)}
+    bonus = sum((rule_points([(w, p) for at, w, p in DEFINING if at == place], c, target) for place, c in places.items()), F.lit(0.0))
+    if matched is not None:
+        bonus = tx.bound(bonus, lambda b: b - F.when((tx.compact(matched) == target) & (b <= 0), 24.0).otherwise(0.0))
     return tx.clamp(bonus, -24.0, 54.0)
 
 
-def span_score(span: Column, target: str, term: str, query: str, markers: list[str], weight: float = 8.0) -> Column:
-    """Score of an evidence span: what it holds of target, term and query, marker words, length."""
+def span_score(
+    span: Column, target: str, term: str, query: str, markers: list[str] | None = None, weight: float = 8.0, intent: str = "lookup"
+) -> Column:
+    """Score of an evidence span: what it holds of target, term and query, the rules of the intent, length.
+
+    markers are more words that count, each with the same weight.
+    """
     flat = tx.ascii_fold(span)
     holds = lambda t, w: F.when(flat.contains(t.lower()), w).otherwise(0.0) if t else F.lit(0.0)
     return (
         holds(target, 22.0) + holds(term, 12.0) + holds(query, 8.0)
-        + tx.count_in(flat, markers) * weight
+        + tx.count_in(flat, markers or []) * weight
+        + rule_points(EVIDENCE.get(intent, []), span, target)
         - F.greatest(F.lit(0.0), (F.length(span) - 120) * 0.08)
         - F.when(F.length(span) < 10, 8.0).otherwise(0.0)
     )
 
 
-def best_evidence(rows: DataFrame, target: str, term: str, query: str, markers: list[str], least: float = 18.0) -> DataFrame:
-    """For each row (id, text) its best sentence, the first of equal ones; below the least score the beginning of the text."""
-    spans = rows.select("id", "text", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "span")).filter(
-        F.length("span").between(4, 260)
-    )
-    spans = spans.withColumn("score", span_score(F.col("span"), target, term, query, markers))
-    best = first_by(spans, ["id"], [F.desc("score"), F.col("pos")])
-    strong = F.col("score") >= least
-    return best.select(
-        "id", F.when(strong, F.col("span")).otherwise(F.substring("text", 1, 180)).alias("evidence"),
-        F.when(strong, F.col("score")).otherwise(F.greatest(F.lit(0.0), F.col("score"))).alias("evidence_score"),
+def best_evidence(
+    rows: DataFrame, target: str, term: str, query: str, markers: list[str] | None = None, least: float = 18.0, intent: str = "lookup"
+) -> DataFrame:
+    """For each row (id, text) its best sentence of 4 to 260 characters, the first of equal ones.
+
+    Where none reaches the least score, the context of the term.
+    """
+    spans = rows.select("id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "span")).filter(F.length("span").between(4, 260))
+    spans = spans.withColumn("score", span_score(F.col("span"), target, term, query, markers, intent=intent))
+    best = first_by(spans, ["id"], [F.desc("score"), F.col("pos")]).select("id", "span", "score")
+    strong = F.coalesce(F.col("score") >= least, F.lit(False))
+    context = tx.context_snippet(F.coalesce("text", F.lit("")), F.lit(term or target or query))
+    return rows.select("id", "text").join(best, "id", "left").select(
+        "id", F.when(strong, F.col("span")).otherwise(context).alias("evidence"),
+        F.when(strong, F.col("score")).otherwise(F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0)))).alias("evidence_score"),
         F.when(strong, "sentence").otherwise("context").alias("source"),
     )
 

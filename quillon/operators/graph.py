@@ -84,3 +84,68 @@ def related_terms(posts: DataFrame, concepts: DataFrame, query: str, k: int, mos
     return found.filter(F.col("term") != query).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs")).filter(
         F.col("n_docs") >= least
     ).orderBy(F.desc("n_docs"), "term").limit(k)
+
+
+def shared_subjects(concepts: DataFrame, least: int = 1) -> DataFrame:
+    """Clusters (cluster, subject) in pairs with the subjects that both have, counted by subject first."""
+    own = concepts.groupBy("cluster").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    a = own.select(F.col("cluster").alias("a"), F.col("subjects").alias("sa"))
+    b = own.select(F.col("cluster").alias("b"), F.col("subjects").alias("sb"))
+    keyed = a.withColumn("subject", F.explode("sa")).join(b.withColumn("subject", F.explode("sb")), "subject").filter("a < b")
+    pairs = keyed.select("a", "b", F.array_sort(F.array_intersect("sa", "sb")).alias("shared")).distinct()
+    return pairs.filter(F.size("shared") >= least).select("a", "b", F.array_join("shared", ",").alias("shared"), F.size("shared").alias("n"))
+
+
+def scored_comentions(posts: DataFrame, center: str, total_cap: int = 20, limit: int = 15) -> DataFrame:
+    """Terms that share texts with a center term, scored; posts: term, id, subject, tf.
+
+    overlap: subjects that both have anywhere (two at least); local_hits: shared texts (two at least, or a
+    term of total_cap texts at most). score = 10 x local_hits + 4 x local subjects + overlap - subjects.
+    """
+    center_rows = posts.filter(F.col("term") == center)
+    hits = center_rows.select("id").distinct()
+    center_subjects = F.broadcast(center_rows.select("subject").distinct())
+    local = posts.join(hits, "id", "left_semi").filter(F.col("term") != center).groupBy("term").agg(
+        F.count(F.lit(1)).alias("local_hits"), F.count_distinct("subject").alias("local_subjects")
+    )
+    spread = posts.join(local.select("term"), "term", "left_semi").groupBy("term", "subject").agg(F.count(F.lit(1)).alias("n"))
+    flagged = spread.join(center_subjects.withColumn("common", F.lit(1)), "subject", "left")
+    facts = flagged.groupBy("term").agg(
+        F.count(F.lit(1)).alias("subject_count"), F.sum("n").alias("total_count"), F.coalesce(F.sum("common"), F.lit(0)).alias("overlap"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("common") == 1, F.col("subject")))), ",").alias("shared"),
+    )
+    rows = local.join(facts, "term").filter("overlap >= 2").filter((F.col("local_hits") >= 2) | (F.col("total_count") <= total_cap))
+    score = F.col("local_hits") * 10 + F.col("local_subjects") * 4 + F.col("overlap") - F.col("subject_count")
+    return rows.withColumn("score", score).orderBy(
+        F.desc("score"), F.desc("local_hits"), F.desc("local_subjects"), F.desc("overlap"), "subject_count", "total_count", "term"
+    ).limit(limit)
+
+
+def relation_hints(posts: DataFrame, seeds: list[str], limit: int = 6) -> DataFrame:
+    """anchor, related and shared subjects for up to three seeds that stand in two or more subjects; a pair is told once."""
+    parts = []
+    for i, seed in enumerate(dict.fromkeys(seeds[:3])):
+        spread = posts.filter(F.col("term") == seed).agg(F.count_distinct("subject").alias("n_center"))
+        rows = scored_comentions(posts, seed, limit=max(2 * limit, 6)).join(F.broadcast(spread), F.col("n_center") >= 2)  # one row
+        place = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("local_hits"), "term"))  # over a few rows
+        parts.append(rows.select(F.lit(i).alias("turn"), F.lit(seed).alias("anchor"), F.col("term").alias("related"), "shared", place.alias("place")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    once = Window.partitionBy(F.least("anchor", "related"), F.greatest("anchor", "related")).orderBy("turn", "place")
+    kept = rows.withColumn("rn", F.row_number().over(once)).filter("rn = 1").drop("rn")
+    return kept.orderBy("turn", "place").limit(limit)
+
+
+def overview(clusters: DataFrame, least_subjects: int = 3, weight: int = 3) -> DataFrame:
+    """Edges of the overview graph (kind, source, target, weight) over clusters (cluster, concept, subject).
+
+    Concepts are tied to their clusters (one edge for each member, not one for each pair of members), and
+    concepts of several subjects to these.
+    """
+    members = clusters.groupBy("cluster", "concept").agg(F.lit(weight).cast("long").alias("weight"))
+    held = clusters.groupBy("concept", "subject").agg(F.count(F.lit(1)).alias("weight"))
+    wide = held.groupBy("concept").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_subjects).select("concept")
+    return members.select(F.lit("cluster").alias("kind"), F.col("cluster").alias("source"), F.col("concept").alias("target"), "weight").unionByName(
+        held.join(wide, "concept", "left_semi").select(F.lit("subject").alias("kind"), F.col("concept").alias("source"), F.col("subject").alias("target"), "weight")
+    )

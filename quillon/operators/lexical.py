@@ -115,44 +115,48 @@ def capped_hits(docs: DataFrame, terms: list[str], cap: int) -> DataFrame:
     return sums.select(F.explode(rows).alias("r")).select("r.term", "r.hits")
 
 
+#: Keys of terms up to which rows are checked against all of them in place; with more, both sides meet in a shuffle.
+NEEDLE_KEYS = 20_000
+
+
 def contained_terms(terms: DataFrame, docs: DataFrame, key_words: int = 4) -> DataFrame:
     """Pairs (term_id, id) where the term's text occurs in the row's text.
 
-    Terms and rows meet by the first key_words words of the term (rows offer every window of so many
-    words); what meets is verified by the substring predicate. Terms of fewer words meet by
-    their first characters; terms of one character find nothing.
+    A term's key is a run of key_words of its inner words, or if it has fewer (or none) the characters
+    that it begins with, three at most. Rows offer their runs and grams; what meets is verified by the
+    substring predicate. With up to NEEDLE_KEYS keys, rows drop all others before anything is exploded.
     """
-    def keys(tokens: Column, n: Column) -> Column:
-        def of(ws: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.size(ws) - n)
-            hashed = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, n), " ")))
-            return F.when(F.size(ws) >= n, hashed).otherwise(F.array().cast("array<bigint>"))
-
-        return tx.bound(tokens, of)
-
-    t = terms.select("term_id", F.col("text").alias("needle"), tx.words(F.col("text")).alias("ws")).filter("size(ws) > 0")
     # Inner words only: the first and last word of a term may be the end and the start of longer ones.
-    inner = F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(0)))
-    t = t.withColumn("inner", inner)
-    long_ = t.filter(F.size("inner") >= key_words).select(
-        "term_id", "needle", F.xxhash64(F.array_join(F.slice("inner", 1, key_words), " ")).alias("key")
+    ws = tx.words(F.col("text"))
+    inner = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0)))
+    size = F.least(F.length("text"), F.lit(3))
+    key = F.when(F.size(inner) >= key_words, F.concat(F.lit("w"), F.array_join(F.slice(inner, 1, key_words), " "))).otherwise(
+        F.concat(size.cast("string"), F.substring("text", F.lit(1), size))
     )
-    d = docs.select("id", "text", F.explode(F.array_distinct(keys(tx.words(F.col("text")), F.lit(key_words)))).alias("key"))
-    met = d.select("id", "key").join(long_.select("term_id", "key"), "key").select("id", "term_id").distinct()
-    found = met.join(docs.select("id", "text"), "id").join(t.select("term_id", "needle"), "term_id")
-    long_pairs = found.filter(F.col("text").contains(F.col("needle"))).select("term_id", "id")
-    # Terms of few words may begin and end inside words: they meet by the characters that they begin with.
-    short = t.filter(F.size("inner") < key_words).select("term_id", "needle")
-    pairs = long_pairs
-    for n in (3, 2):
-        of_size = short.filter(F.length("needle") >= 3 if n == 3 else F.length("needle") == 2)
-        offered = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-        near = docs.select("id", F.explode(offered).alias("gram")).join(
-            of_size.select("term_id", F.substring("needle", 1, n).alias("gram")), "gram"
-        )
-        checked = near.join(docs.select("id", "text"), "id").join(of_size, "term_id")
-        pairs = pairs.unionByName(checked.filter(F.col("text").contains(F.col("needle"))).select("term_id", "id"))
-    return pairs
+    needles = terms.filter("text <> ''").select("term_id", F.col("text").alias("needle"), F.xxhash64(key).alias("key"), F.substring(key, 1, 1).alias("kind"))
+    kinds = {r["kind"] for r in needles.select("kind").distinct().collect()}  # four at most
+
+    def runs(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(tokens) - key_words)
+        hashed = F.transform(starts, lambda i: F.xxhash64(F.concat(F.lit("w"), F.array_join(F.slice(tokens, i + 1, key_words), " "))))
+        return F.when(F.size(tokens) >= key_words, hashed).otherwise(F.array().cast("array<bigint>"))
+
+    def grams(n: str) -> Column:
+        found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        return F.transform(found, lambda g: F.xxhash64(F.concat(F.lit(n), g)))
+
+    offered = [tx.bound(tx.words(F.col("text")), runs)] if "w" in kinds else []
+    offered += [grams(n) for n in sorted(kinds - {"w"})]
+    keys = F.array_distinct(F.concat(*offered, F.array().cast("array<bigint>")))
+    wanted = needles.select("key").distinct()
+    if wanted.count() <= NEEDLE_KEYS:
+        some = F.array(*[F.lit(r["key"]) for r in wanted.collect()])
+        near = docs.select("id", "text", F.array_intersect(keys, some).alias("keys")).filter(F.size("keys") > 0)
+        met = near.select("id", "text", F.explode("keys").alias("key")).join(needles.drop("kind"), "key")
+    else:
+        pairs = docs.select("id", F.explode(keys).alias("key")).join(needles.select("term_id", "key").hint("merge"), "key")
+        met = pairs.select("id", "term_id").join(docs.select("id", "text"), "id").join(needles.select("term_id", "needle"), "term_id")
+    return met.filter(F.col("text").contains(F.col("needle"))).select("term_id", "id")
 
 
 def suppress_nested(matches: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,21 +112,28 @@ def sections(lines: DataFrame, group: str, position: str, is_header: Column, tex
     return lines.withColumn("header", F.last(F.when(is_header, F.col(text)), ignorenulls=True).over(w))
 
 
-def merge_blocks(blocks: DataFrame, shortest_repeat: int = 12) -> DataFrame:
-    """Pages (path, page, text) from blocks (path, page, pos, text).
+def merge_blocks(blocks: DataFrame, shortest_repeat: int = 32, least_page: int = 0) -> DataFrame:
+    """Pages (path, page, text) of at least so many characters from blocks (path, page, pos, text).
 
-    A block is dropped if it repeats the one kept before, or if it is short and has been kept already.
-    The fold needs what was kept last, so it runs over the ordered blocks of one page, which is small.
+    Blanks are collapsed; a block goes if it has fewer than two characters, is part of the one kept
+    before, or is shorter than shortest_repeat and has been kept already. The fold needs what was
+    kept last, so it runs over the ordered blocks of one page, in one pass.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda b: F.trim(b["text"]))
-    start = F.array().cast("array<string>")
-    keep = F.aggregate(
-        F.filter(ordered, lambda t: t != ""),
-        start,
-        lambda kept, t: F.when(
-            (F.size(kept) > 0) & (F.lower(F.element_at(kept, -1)) == F.lower(t))
-            | (F.length(t) <= shortest_repeat) & F.array_contains(kept, t),
-            kept,
-        ).otherwise(F.concat(kept, F.array(t))),
-    )
-    return blocks.groupBy("path", "page").agg(F.array_join(keep, "\n").alias("text"))
+
+    def fold(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            kept, seen = [], set()
+            for block in page:
+                text = " ".join((block or "").split())
+                known = text.casefold() in seen and len(text) < shortest_repeat
+                if len(text) >= 2 and not known and not (kept and text in kept[-1]):
+                    kept.append(text)
+                    seen.add(text.casefold())
+            out.append("\n".join(kept))
+        return pd.Series(out, dtype=object)
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda b: b["text"])
+    pages = blocks.groupBy("path", "page").agg(ordered.alias("blocks"))
+    merged = pages.select("path", "page", F.pandas_udf(fold, "string")("blocks").alias("text"))
+    return merged.filter(F.length("text") >= least_page)

@@ -247,19 +247,6 @@ def exam_term_summary(spark, sf):
 
 # Joins, dictionary, registry
 
-@query("SELECT p_partkey AS id, p_name AS headword FROM part WHERE starts_with(p_name, 'part') OR starts_with(p_name, 'Part') ORDER BY length(p_name), p_name, p_partkey LIMIT 25")
-def prefix_headword_lookup(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"))
-    both = dictionary.prefix_lookup(p, "part", 25).unionByName(dictionary.prefix_lookup(p, "Part", 25))
-    return both.orderBy(F.length("headword"), "headword", "id").limit(25)
-
-
-@query("""WITH t AS (SELECT p_partkey AS id, p_name AS headword, CASE WHEN lower(p_name) = 'part 12' THEN 0 WHEN starts_with(lower(p_name), 'part 12') THEN 1 WHEN contains(lower(p_name), '12') AND contains(lower(p_name), 'part 12') THEN 2 END AS tier FROM part)
-    SELECT id, headword, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, length(headword), id LIMIT 30""")
-def tiered_lookup(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"))
-    return dictionary.tiered_lookup(p, "part 12", 30)
-
 
 RANGES = "r AS (SELECT s_nationkey AS book_key, s_suppkey AS range_id, s_acctbal - 400 AS lo, s_acctbal + 400 AS hi FROM supplier), p AS (SELECT c_custkey AS id, c_nationkey AS book_key, c_acctbal AS page FROM customer)"
 
@@ -274,13 +261,13 @@ def _pages_and_ranges(spark, sf):
 
 @query(f"WITH {RANGES} SELECT id, range_id FROM p JOIN r ON p.book_key = r.book_key AND page BETWEEN lo AND hi")
 def interval_page_join(spark, sf):
-    return dictionary.pages_in_ranges(*_pages_and_ranges(spark, sf)).select("id", "range_id")
+    return dictionary.pages_by_bin(*_pages_and_ranges(spark, sf)).select("id", "range_id")
 
 
 @query(f"WITH {RANGES} SELECT range_id, count(id) AS pages, min(id) AS first_page FROM r LEFT JOIN p ON p.book_key = r.book_key AND page BETWEEN lo AND hi GROUP BY range_id")
 def range_page_scan(spark, sf):
     pages, ranges = _pages_and_ranges(spark, sf)
-    hits = dictionary.pages_in_ranges(pages, ranges).groupBy("range_id").agg(F.count("id").alias("pages"), F.min("id").alias("first_page"))
+    hits = dictionary.pages_by_bin(pages, ranges).groupBy("range_id").agg(F.count("id").alias("pages"), F.min("id").alias("first_page"))
     return ranges.select("range_id").join(hits, "range_id", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
 
 
@@ -560,28 +547,6 @@ def score_result(spark, sf):
     return docs(spark, sf).select("id", fusion.relevance(tx.words(F.col("text")), F.col("text"), ["the", "that", "of"], ["with", "and"], F.col("subject") == "en").alias("score"))
 
 
-@query()
-def evidence_best_span(spark, sf):
-    return fusion.best_evidence(docs(spark, sf), "reanti", "tion", "reanti tion", ["is the", "are"])
-
-
-@query()
-def rerank_candidates(spark, sf):
-    d = docs(spark, sf)
-    ev = fusion.best_evidence(d, "reanti", "tion", "reanti tion", ["is the", "are"]).select("id", "evidence_score")
-    rows = query_plan.first_plan_term(d, PLAN).join(ev, "id").select(
-        "id", "text", (168.0 - 10.0 * F.col("priority") + query_plan.basis_bonus(F.col("basis")) + 44.0).alias("base_score"), F.lit(0.0).alias("semantic_score"), "evidence_score",
-        fusion.coverage_bonus("reanti", F.lower("text")).alias("coverage"), fusion.definition_bonus("reanti", F.col("book_key"), F.col("text")).alias("intent_bonus"),
-    )
-    return fusion.rerank(rows).select("id", "pre_score", "final_score")
-
-
-@query()
-def intent_classify(spark, sf):
-    c = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("text").alias("query"))
-    return query_plan.classify(c).groupBy("intent", "precise").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH p AS (SELECT 'the' AS term, doc_id AS id, -n_chars AS rank FROM documents WHERE contains(text, 'the') UNION ALL SELECT 'tion', doc_id, -n_chars FROM documents WHERE contains(text, 'tion')),
     k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY term ORDER BY rank, id) <= 20) SELECT term, id, rank FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, term) = 1""")
 def quota_per_term(spark, sf):
@@ -624,12 +589,6 @@ def cluster_summary(spark, sf):
     return graph.cluster_summary(clusters(spark, sf))
 
 
-@query("""WITH c AS (SELECT DISTINCT n_regionkey AS cluster, n_name AS concept FROM nation) SELECT a.concept AS source, b.concept AS target, count(*) * 3 AS weight FROM c a JOIN c b ON a.cluster = b.cluster AND a.concept < b.concept GROUP BY ALL""")
-def graph_overview(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("cluster"), F.col("n_name").alias("concept"))
-    return graph.clique_edges(n)
-
-
 @query(f"""WITH {POSTS}, h AS (SELECT id FROM posts WHERE term = 'with'), m AS (SELECT term AS target, count(*) AS weight, 2 AS priority FROM posts WHERE id IN (SELECT id FROM h) AND term <> 'with' GROUP BY term HAVING count(*) >= 2),
     s AS (SELECT * FROM (VALUES ('the', 5::BIGINT, 1), ('and', 3::BIGINT, 1)) v(target, weight, priority))
     SELECT target, weight, priority FROM (SELECT * FROM m UNION ALL SELECT * FROM s) QUALIFY row_number() OVER (PARTITION BY target ORDER BY priority) = 1 ORDER BY priority, weight DESC, target LIMIT 15""")

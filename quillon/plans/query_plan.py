@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,22 @@ PRECISE_PATTERNS = [
     r"什么是.+", r".+是什么", r".+的(?:定义|概念|本质|特点|条件|作用|过程|原因)", r".+指什么",
     r".+(?:定律|定理|法则|原理|公式)$", r".+(?:有什么)?区别", r".+的(?:例子|实例)", r".+为什么.+",
 ]
+# What is taken off a target, words that say nothing, and wordings by intent and round (T is the target).
+TRIMMED = [
+    r"^请(?:直接)?(?:根据教材)?(?:回答|解释|说明)?", r"^(?:帮我|请你)?(?:只)?(?:在课本中|在教材中)?(?:找|查|说明|解释)?",
+    r"(?:的定义|的概念|的本质)$", r"(?:是什么|指什么|是什么意思)$", r"^(什么是)",
+]
+BARE_WORDS = ["定义", "概念", "本质", "特点", "条件", "作用", "过程", "原因", "什么是", "是什么"]
+WORDINGS = {
+    "definition": [
+        ["T的定义", "T是什么", "什么是T", "T是", "T概念", "称为T", "才能称为T"],
+        ["T是指", "T通常指", "T称为", "T叫做", "什么样的物质才能称为T"],
+    ],
+    "comparison": [["T区别", "T不同"], ["T联系"]],
+    "example": [["T例子", "T实例"]],
+    "reason": [["T原因", "T为什么"]],
+    "process": [["T过程", "T步骤"]],
+}
 # Bonuses of the ways in which a term got into the plan, and of the channels of a hit.
 BASIS_BONUS = {
     "exact": 54.0, "concept": 50.0, "contained": 46.0, "phrase": 44.0, "alias": 40.0, "expanded": 34.0,
@@ -34,23 +52,95 @@ CHANNEL_BONUS = {"exact": 44.0, "fts": 24.0, "semantic": 18.0, "supplemental": 1
 PLAN_LIMIT = 8
 
 
+def trimmed(target: Column) -> Column:
+    """A target without requests before it, question words around it and punctuation."""
+    out = tx.clean(target)
+    for p in TRIMMED:
+        out = F.regexp_replace(out, p, "")
+    out = F.regexp_replace(out, r"""[「」“”"'？?。！，,：:；;（）()\[\]{}]+""", " ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 def classify(queries: DataFrame) -> DataFrame:
     """Queries (query) with their intent, target and whether they ask for the precise mode."""
     q = tx.compact(F.col("query"))
-    intent, target = F.lit("lookup"), q
-    tail = F.when(q.rlike(r"(?:定律|定理|法则|原理|公式)$") | q.contains("定义") | q.contains("什么是"), "definition").when(
-        q.contains("区别") | q.contains("不同"), "comparison"
-    ).when(q.contains("例子") | q.contains("实例"), "example")
-    intent = F.coalesce(*[F.when(q.rlike(p), name) for name, p in INTENT_PATTERNS], tail, F.lit("lookup"))
-    target = F.coalesce(
-        *[F.when(q.rlike(p), F.regexp_extract(q, p, 1)) for _, p in INTENT_PATTERNS],
-        F.regexp_replace(q, r"的?(?:定义|概念|本质)$|^什么是|是什么$", ""),
-    )
-    precise = F.lit(False)
-    for p in PRECISE_PATTERNS:
-        precise = precise | q.rlike(p)
+    rules = [(q.rlike(p), name, F.regexp_extract(q, p, 1)) for name, p in INTENT_PATTERNS]
+    rules += [
+        (q.contains("定义"), "definition", F.regexp_replace(q, "定义", "")),
+        (q.contains("什么是") | q.endswith("是什么"), "definition", F.regexp_replace(q, "什么是|是什么", "")),
+        (q.rlike(r"(?:定律|定理|法则|原理|公式)$"), "definition", F.col("query")),
+        (q.contains("区别") | q.contains("不同"), "comparison", F.col("query")),
+        (q.contains("例子") | q.contains("实例"), "example", F.col("query")),
+    ]
+    intent = F.coalesce(*[F.when(c, name) for c, name, _ in rules], F.lit("lookup"))
+    target = trimmed(trimmed(F.coalesce(*[F.when(c, t) for c, _, t in rules], F.col("query"))))
+    precise = reduce(lambda a, b: a | b, [q.rlike(p) for p in PRECISE_PATTERNS])
     return queries.select(
-        "query", intent.alias("intent"), F.when(target == "", q).otherwise(target).alias("target"), precise.alias("precise")
+        "query", intent.alias("intent"), F.when(target == "", tx.clean(F.col("query"))).otherwise(target).alias("target"), precise.alias("precise")
+    )
+
+
+def low_signal(term: Column, target: Column) -> Column:
+    """Terms that say nothing by themselves: one character, bare question words, the target with a particle."""
+    t, g = tx.compact(term), tx.compact(target)
+    particle = (t == F.concat(g, F.lit("的"))) | (t == F.concat(F.lit("的"), g)) | (t == F.concat(F.lit("是"), g))
+    return (F.length(t) < 2) | t.isin(BARE_WORDS) | t.rlike("^的(?:定义|概念|本质|特点|条件|作用|过程|原因)$") | (g != "") & particle
+
+
+def _distinct_terms(terms: Column, limit: int) -> Column:
+    """Terms of two or more compact characters, each compact form once, in order, limit at most."""
+    cleaned = F.filter(F.transform(terms, tx.clean), lambda t: F.length(F.regexp_replace(t, r"\s+", "")) >= 2)
+
+    def first_of(ts: Column) -> Column:
+        flat = F.transform(ts, lambda t: F.regexp_replace(t, r"\s+", ""))
+        return F.filter(ts, lambda t, i: F.array_position(flat, F.regexp_replace(t, r"\s+", "")) == i + 1)
+
+    return F.slice(tx.bound(cleaned, first_of), 1, limit)
+
+
+def _filled(templates: list[str], target: Column) -> Column:
+    return F.array(*[F.replace(F.lit(t), F.lit("T"), target) for t in templates])
+
+
+def search_terms(profiles: DataFrame, round_index: int = 0, more: Column | None = None, limit: int = 12) -> DataFrame:
+    """Profiles (query, target, intent) with terms: query, target, the intent's wordings, then more terms (an array) of some signal."""
+    own = F.coalesce(
+        *[F.when(F.col("intent") == name, _filled(rounds[min(round_index, len(rounds) - 1)], F.col("target"))) for name, rounds in WORDINGS.items()],
+        F.array().cast("array<string>"),
+    )
+    extra = F.array().cast("array<string>") if more is None else F.filter(more, lambda t: ~low_signal(t, F.col("target")))
+    return profiles.withColumn("terms", _distinct_terms(F.concat(F.array("query", "target"), own, extra), limit))
+
+
+def semantic_queries(profiles: DataFrame, limit: int = 4) -> DataFrame:
+    """Profiles (query, target, intent, precise, display) with the texts that a dense search is asked."""
+    defines = F.col("precise") & (F.col("intent") == "definition")
+    shown = F.col("precise") & (low_signal(F.col("display"), F.col("target")) | defines & (tx.compact(F.col("display")) == tx.compact(F.col("target"))))
+    none = F.lit("")
+    asked = F.concat(
+        F.array("query", F.when(defines, none).otherwise(F.col("target")), F.when(shown, none).otherwise(F.col("display"))),
+        F.when(defines, _filled(["T是什么", "什么是T", "T是"], F.col("target"))).otherwise(F.array().cast("array<string>")),
+    )
+    return profiles.withColumn("asked", _distinct_terms(asked, limit))
+
+
+def matched_concepts(queries: DataFrame, concepts: DataFrame, longest: int = 6) -> DataFrame:
+    """Queries with the concepts that they name: exact 300, contained 220 + characters; mode concept or direct.
+
+    Queries meet concepts by their phrases, so that no query is compared with the whole catalogue.
+    """
+    words = tx.words(F.col("query"))
+    phrases = queries.select("query", F.explode(tx.phrases(words, longest, " ")).alias("concept"))
+    found = phrases.join(concepts.select("concept").distinct(), "concept")
+    exact = F.col("concept") == F.lower(F.trim("query"))
+    score = F.when(exact, 300).otherwise(220 + F.length("concept"))
+    best = found.groupBy("query").agg(
+        F.max_by("concept", F.struct(score.alias("score"), F.length("concept").alias("n"), "concept")).alias("display"), F.max(score).alias("score"),
+        F.count(F.lit(1)).alias("n_concepts"),
+    )
+    return queries.select("query").join(best, "query", "left").select(
+        "query", F.coalesce("display", F.lower(F.trim("query"))).alias("display"), F.coalesce("score", F.lit(0)).alias("score"),
+        F.coalesce("n_concepts", F.lit(0)).alias("n_concepts"), F.when(F.col("score").isNotNull(), "concept").otherwise("direct").alias("mode"),
     )
 
 

@@ -3,6 +3,7 @@
 import pytest
 from oracle import connection, rows
 
+from quillon.plans import catalogue_corpus  # noqa: F401  (registers its queries)
 from quillon.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
