@@ -319,6 +319,71 @@ def test_licence_families(spark, edge):
     assert all(got[i]["family"] == "none" for i in range(5, len(texts) + len(plain)))
 
 
+def test_licences_inside_long_lines(spark):
+    """A notice in the middle of prose on one line is found whatever the length of the line."""
+    notices = {
+        "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "proprietary": "All rights reserved.",
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    }
+    rows = [(f, n, f"{words(n, n // 2)} {notice} {words(n + 1, n // 2)}") for f, notice in notices.items() for n in (20, 100, 1000)]
+    plain = [words(300 + i, 200) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, _, t in rows] + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["family"], r["confirmed"]) for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [(f, True) for f, _, _ in rows]
+    assert all(got[i] == ("none", False) for i in range(len(rows), len(rows) + len(plain)))
+
+
+ORDINARY = {"the", "of", "and", "this", "in", "to", "a", "on", "is", "for", "with", "by", "at", "that", "are", "be", "or", "as"}
+
+
+def test_licences_of_other_families_are_unknown():
+    """Real wordings of licences that the templates do not have, and of families that a model was not shown."""
+    foreign = [
+        "Licensed under the Boost Software License, Version 1.0.", "Released under the Artistic License 2.0.", "SPDX-License-Identifier: Zlib",
+        "Licensed under the European Union Public Licence", "covered by the Zebra Public License 3", "Released under the SIL Open Font License, Version 1.1.",
+        "Distributed under the Microsoft Public License (Ms-PL).", "This software is distributed under the CeCILL license.",
+    ]
+    model = license_scan.train(ORDINARY)
+    p = model.probabilities(foreign)
+    assert not any(q.max() >= model.least and model.classes[q.argmax()] in license_scan.TEMPLATES for q in p)
+    assert sum(q[model.classes.index("none")] < license_scan.MOST_ORDINARY for q in p) >= 7
+    known = ["Eclipse Public License - v 2.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3", "Released under the MIT License.", "Licensed under the MPL 2.0."]
+    assert [model.classes[q.argmax()] for q in model.probabilities(known)] == ["epl-2.0", "agpl", "mit", "mpl-2.0"]
+    assert license_scan.train(ORDINARY, ("mit", "isc")).probabilities(["MIT License"]).shape == (1, len(license_scan.TEMPLATES))
+
+
+def test_licence_query_is_the_plain_scan(spark):
+    """The registered query against the same model applied in plain Python."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = license_scan.fit(docs)
+    known, templates = set(model.vocabulary), license_scan._templates(model.vocabulary, [c for c in model.classes if c in license_scan.TEMPLATES])
+
+    def of_line(line):
+        tokens, found = license_scan.words(line), []
+        starts = [0] if len(tokens) <= license_scan.WINDOW + license_scan.STEP else range(0, len(tokens) - license_scan.WINDOW + license_scan.STEP, license_scan.STEP)
+        width = len(tokens) if len(starts) == 1 else license_scan.WINDOW
+        for at in starts:
+            part = tokens[at : at + width]
+            grams = known & set(license_scan.ngrams(part))
+            if not grams.intersection(model.cues):
+                continue
+            p = model.probabilities([" ".join(part)])[0]
+            best = model.classes[p.argmax()]
+            if best == "none" or p[model.classes.index("none")] >= license_scan.MOST_ORDINARY:
+                continue
+            sure = p.max() >= model.least and any(license_scan._alike(grams, t, own) for f, t, own in templates if f == best)
+            found.append((not sure, -round(p.max(), 9), best if sure else "unknown"))
+        return min(found, default=None)
+
+    want = {}
+    for k, text in collected(docs):
+        hits = [h for h in map(of_line, set(text.split("\n"))) if h]
+        want[k] = (min(hits)[2] if hits else "none", bool(hits) and not min(hits)[0], len(hits))
+    got = {r["doc_id"]: (r["family"], r["confirmed"], r["n_paragraphs"]) for r in q.op4_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(f != "none" for f, _, _ in want.values()) > 20
+
+
 def test_licence_edges(edge, empty):
     rows = license_scan.scan(edge).collect()
     assert len(rows) == edge.count()
