@@ -77,13 +77,10 @@ def relation_hints(relations: DataFrame, terms: list[str], limit: int = 12) -> D
     ).limit(limit)
 
 
-def related_terms(posts: DataFrame, concepts: DataFrame, query: str, k: int, most_docs: int = 100, least: int = 2) -> DataFrame:
-    """Recognised concepts in the texts that hold a word (the best most_docs of them): how many hold each."""
-    hits = posts.filter(F.col("term") == query).orderBy(F.desc("tf"), "id").limit(most_docs).select("id")
-    found = posts.join(F.broadcast(hits), "id", "left_semi").join(concepts.select("term"), "term", "left_semi")
-    return found.filter(F.col("term") != query).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs")).filter(
-        F.col("n_docs") >= least
-    ).orderBy(F.desc("n_docs"), "term").limit(k)
+def related_terms(posts: DataFrame, concepts: DataFrame, k: int, least: int = 2) -> DataFrame:
+    """Recognised concepts in the postings of a few texts: how many of these hold each."""
+    found = posts.join(concepts.select("term"), "term", "left_semi")
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least).orderBy(F.desc("n_docs"), "term").limit(k)
 
 
 def shared_subjects(concepts: DataFrame, least: int = 1) -> DataFrame:
@@ -121,7 +118,7 @@ def scored_comentions(posts: DataFrame, center: str, total_cap: int = 20, limit:
     ).limit(limit)
 
 
-def relation_hints(posts: DataFrame, seeds: list[str], limit: int = 6) -> DataFrame:
+def seed_hints(posts: DataFrame, seeds: list[str], limit: int = 6) -> DataFrame:
     """anchor, related and shared subjects for up to three seeds that stand in two or more subjects; a pair is told once."""
     parts = []
     for i, seed in enumerate(dict.fromkeys(seeds[:3])):

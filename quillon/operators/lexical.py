@@ -85,6 +85,12 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
+def best_rows(docs: DataFrame, term: str, limit: int) -> DataFrame:
+    """Ids of the rows that hold a word most often; only rows with the literal are cut into words, and no word is exploded."""
+    rows = docs.filter(F.lower("text").contains(term)).select("id", _count_of(tx.words(F.col("text")), term).alias("tf"))
+    return rows.filter("tf > 0").orderBy(F.desc("tf"), "id").limit(limit).select("id")
+
+
 def all_terms(posts: DataFrame, terms: list[str]) -> DataFrame:
     """Ids of rows with every term."""
     return (

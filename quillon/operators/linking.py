@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import selection
+from quillon.session import unused
 
 
 def high_signal(text: Column) -> Column:
@@ -20,9 +21,11 @@ def high_signal(text: Column) -> Column:
 
 def with_fallback(rows: DataFrame, keep: Column, group: list[str]) -> DataFrame:
     """Rows that pass, or all rows of a group where none does."""
-    w = Window.partitionBy(*group)
-    flagged = rows.withColumn("__keep", keep).withColumn("__any", F.max("__keep").over(w))
-    return flagged.filter(F.col("__keep") | ~F.col("__any")).drop("__keep", "__any")
+    passed, some = F.coalesce(keep, F.lit(False)), unused(rows, "some")
+    names = [unused(rows, f"group_{g}") for g in group]
+    groups = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)]).agg(F.max(passed).alias(some))
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names, strict=True)]
+    return rows.join(groups, same).filter(passed | ~F.col(some)).drop(some, *names)
 
 
 def match_concepts(docs: DataFrame, concepts: DataFrame, longest: int = 3, joiner: str = " ") -> DataFrame:

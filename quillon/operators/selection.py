@@ -23,10 +23,13 @@ def merge_groups(groups: list[DataFrame]) -> DataFrame:
 
 
 def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group, with the size of the whole group."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("group_total", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("rn") <= n)
+    """The first n rows of each group, with the size of the whole group.
+
+    Ranks are cut under a group limit and sizes are counted map-side, so no task holds a group.
+    """
+    sizes = rows.groupBy(F.col(group).alias("sized")).agg(F.count(F.lit(1)).alias("group_total"))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rn") <= n)
+    return first.join(sizes, F.col(group).eqNullSafe(F.col("sized"))).drop("sized")
 
 
 def reorder_with_caps(rows: DataFrame, book: str, page: str, page_cap: int, book_cap: int) -> DataFrame:

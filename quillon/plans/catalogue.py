@@ -30,6 +30,8 @@ CONCEPTS = f"{TOKENS}, concepts AS (SELECT term AS concept, subject, count(*) AS
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ORACLES[f.__name__] = sql
@@ -566,9 +568,11 @@ def token_phrases(spark, sf):
 @query(f"""WITH {POSTS}, h AS (SELECT id FROM posts WHERE term = 'with' ORDER BY tf DESC, id LIMIT 100), c AS (SELECT term FROM posts GROUP BY term HAVING count(*) BETWEEN 3 AND 400)
     SELECT term, count(*) AS n_docs FROM posts WHERE id IN (SELECT id FROM h) AND term IN (SELECT term FROM c) AND term <> 'with' GROUP BY term HAVING count(*) >= 2 ORDER BY n_docs DESC, term LIMIT 20""")
 def related_terms(spark, sf):
-    posts = lexical.postings(docs(spark, sf))
-    concepts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(3, 400)).select("term")
-    return graph.related_terms(posts, concepts, "with", 20)
+    d = docs(spark, sf)
+    hits = lexical.best_rows(d, "with", 100)
+    posts = lexical.postings(d.join(F.broadcast(hits), "id", "left_semi")).filter(F.col("term") != "with")
+    df = lexical.postings(d).join(posts.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return graph.related_terms(posts, df.filter(F.col("df").between(3, 400)).select("term"), 20)
 
 
 @query(f"""WITH {POSTS} SELECT a.term AS t1, b.term AS t2, count(*) AS weight FROM posts a JOIN posts b ON a.id = b.id AND a.term < b.term

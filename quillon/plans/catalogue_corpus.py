@@ -435,8 +435,8 @@ def scored_comentions(spark, sf):
       UNION ALL SELECT 1, 'en', term, shared, row_number() OVER (ORDER BY score DESC, local_hits DESC, term) AS place FROM m1 WHERE (SELECT count(DISTINCT subject) FROM m1_c) >= 2 QUALIFY place <= 12),
     o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY least(anchor, related), greatest(anchor, related) ORDER BY turn, place) = 1)
     SELECT turn, anchor, related, shared, CAST(place AS INTEGER) AS place FROM o ORDER BY turn, place LIMIT 6""")
-def relation_hints(spark, sf):
-    return graph.relation_hints(_subject_posts(spark, sf), ["de", "en"], 6)
+def graph_seed_hints(spark, sf):
+    return graph.seed_hints(_subject_posts(spark, sf), ["de", "en"], 6)
 
 
 @query(f"""WITH {CLUSTERS}, h AS (SELECT concept, subject, count(*) AS weight FROM clusters GROUP BY ALL)
