@@ -11,7 +11,7 @@ from quillon.functions import policy
 from quillon.functions import text as tx
 from quillon.operators import analytics, dictionary, etl, fusion, graph, integrity, lexical, linking, logs, selection, vector
 from quillon.plans import query_plan
-from quillon.session import table
+from quillon.session import materialize, table
 from quillon.streaming import trending
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,7 +192,7 @@ def token_doc_freq(spark, sf):
     SELECT id, term, tf, weight FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) <= 5""")
 def tfidf_terms(spark, sf):
     d = docs(spark, sf)
-    posts = lexical.postings(d)
+    posts = materialize(lexical.postings(d), "postings")  # read three times below, made once
     n = d.count()
     idf = analytics.inverse_frequency(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
     w = analytics.weighted_terms(posts, idf).withColumn("weight", F.round("weight", 6))
