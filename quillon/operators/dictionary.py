@@ -177,3 +177,14 @@ def sample_check(found: DataFrame, expected: DataFrame) -> DataFrame:
         "headword", "page",
         F.when(F.col("pages").isNull(), "missing").when(F.array_contains("pages", F.col("page")), "found").otherwise("elsewhere").alias("state"),
     )
+
+
+def on_pages(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Rows whose logical page, or else section, lies in an interval."""
+    return rows.filter(F.coalesce("logical_page", "section").between(low, high))
+
+
+def headword_hits(docs: DataFrame, ranges: DataFrame, headword: str, score: Column, limit: int) -> DataFrame:
+    """Rows (id, book_key, page, text) inside the ranges of their book that hold a headword, the best scored first."""
+    inside = pages_by_bin(docs.filter(tx.has_term(F.col("text"), headword)), ranges).select("id", "book_key", "page", "text").distinct()
+    return inside.withColumn("score", score).orderBy(F.desc("score"), "book_key", "page", "id").limit(limit)

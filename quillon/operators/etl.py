@@ -83,3 +83,15 @@ def flagged_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("id").orderBy("pos")
     return lines.withColumns({"before": F.lag("line").over(w), "after": F.lead("line").over(w)})
+
+
+def conflict_kinds(rows: DataFrame, key: list[str], flag: str, phase: str, label: str) -> DataFrame:
+    """Keys of several rows with what is wrong: shared, mixed flags, mixed phases, unlabelled copies."""
+    facts = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(flag).alias("flags"), F.count_distinct(phase).alias("phases"),
+        F.count_if(F.coalesce(F.col(label), F.lit("")) == "").alias("unlabelled"),
+    ).filter("n > 1")
+    kinds = F.concat_ws(
+        ",", F.lit("shared"), F.when(F.col("flags") > 1, "flags"), F.when(F.col("phases") > 1, "phases"), F.when(F.col("unlabelled") > 1, "unlabelled")
+    )
+    return facts.select(*key, "n", kinds.alias("kinds"))

@@ -75,3 +75,14 @@ def prefix_offsets(pages: DataFrame, group: str, position: str, text: str) -> Da
     """Offset at which each page begins in the joined text of its group."""
     w = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     return pages.withColumn("offset", F.coalesce(F.sum(F.length(text) + 1).over(w), F.lit(0)).cast("long"))
+
+
+def table_digest(df: DataFrame, key: str, value: str, chunk: int = 1000) -> DataFrame:
+    """One SHA-256 over a table in order of an integer key: digests of chunks, then of chunks of these, until one is left.
+
+    Each level is a thousandth of the one before, and no task holds more than a chunk.
+    """
+    level = digest_tree(df, key, value, chunk)
+    while level.count() > 1:
+        level = digest_tree(level.select("chunk", "digest"), "chunk", "digest", chunk)
+    return level.select("digest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import dictionary, exams, fusion, graph, lexical, linking, search, selection, vector
+from quillon.operators import dictionary, etl, exams, fusion, graph, integrity, lexical, linking, search, selection, vector
 from quillon.plans import query_plan
 from quillon.plans.catalogue import CLUSTERS, DOCS, ORACLES, POSTS, _first_vector, clusters, docs, query
 from quillon.session import table
@@ -480,3 +480,95 @@ ORACLES["chat_search_terms"] = r"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) ||
 def english_tokens(spark, sf):
     found = docs(spark, sf).select("id", F.explode(tx.english_tokens(F.col("text"), STOPWORDS)).alias("x"))
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("n_distinct"), F.sum(F.length("x")).alias("chars"))
+
+
+# Records, integrity and small predicates
+
+@query("""WITH a AS (SELECT doc_id // 50 AS c, sha256(string_agg(sha256(CAST(doc_id AS VARCHAR) || ':' || text), chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY 1),
+    b AS (SELECT c // 50 AS c2, sha256(string_agg(sha256(CAST(c AS VARCHAR) || ':' || d), chr(10) ORDER BY c)) AS d FROM a GROUP BY 1) SELECT d AS digest FROM b""")
+def table_digest(spark, sf):
+    return integrity.table_digest(table(spark, sf, "documents"), "doc_id", "text", 50)
+
+
+@query("""WITH g AS (SELECT p_name AS title, count(*) AS n, count(DISTINCT p_brand) AS f, count(DISTINCT p_type) AS p, count(CASE WHEN p_size < 10 THEN 1 END) AS u FROM part GROUP BY p_name HAVING count(*) > 1)
+    SELECT title, n, 'shared' || (CASE WHEN f > 1 THEN ',flags' ELSE '' END) || (CASE WHEN p > 1 THEN ',phases' ELSE '' END) || (CASE WHEN u > 1 THEN ',unlabelled' ELSE '' END) AS kinds FROM g""")
+def conflict_kinds(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("title"), "p_brand", "p_type", F.when(F.col("p_size") >= 10, "x").alias("label"))
+    return etl.conflict_kinds(p, ["title"], "p_brand", "p_type", "label")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS n FROM lineitem WHERE coalesce(CASE WHEN l_linenumber > 1 THEN l_linenumber END, CAST(l_quantity AS INTEGER)) BETWEEN 3 AND 5")
+def logical_interval(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("logical_page"), F.col("l_quantity").cast("int").alias("section")
+    )
+    return dictionary.on_pages(rows, 3, 5).select("id", "n")
+
+
+@query("""WITH r AS (SELECT source AS book_key, CAST(floor(avg(n_chars) / 2) AS BIGINT) AS lo, CAST(floor(avg(n_chars) * 1.5::DOUBLE) AS BIGINT) AS hi FROM documents GROUP BY source),
+    h AS (SELECT doc_id AS id, source AS book_key, n_chars AS page, (length(text) - length(replace(text, 'with', ''))) // 4 AS score FROM documents JOIN r ON r.book_key = source AND n_chars BETWEEN lo AND hi WHERE contains(lower(text), 'with'))
+    SELECT * FROM h ORDER BY score DESC, book_key, page, id LIMIT 60""")
+def headword_hits(spark, sf):
+    d = docs(spark, sf).withColumnRenamed("n_chars", "page")
+    ranges = d.groupBy("book_key").agg(F.floor(F.avg("page") / 2).alias("lo"), F.floor(F.avg("page") * 1.5).alias("hi"))
+    return dictionary.headword_hits(d, ranges, "with", tx.occurrences(F.col("text"), "with"), 60).select("id", "book_key", "page", "score")
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, list_concat(string_split(p_name, ' '), list_concat(string_split(lower(p_type), ' '), string_split(p_name, ' '))) AS l FROM part)
+    SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS terms FROM t""")
+def ordered_distinct(spark, sf):
+    name = F.split("p_name", " ")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.array_distinct(F.concat(name, F.split(F.lower("p_type"), " "), name)), "|").alias("terms"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS detector FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_shipdate, l_linenumber, l_partkey) = 1""")
+def first_best_detector(spark, sf):
+    rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    best = selection.first_by(table(spark, sf, "lineitem"), ["l_orderkey"], [rank, F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey")])
+    return best.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("detector"))
+
+
+@query("""SELECT p_partkey AS id, sha1('[{"key":"brand","value":"' || p_brand || '"},{"key":"name","value":"' || p_name || '"}]') AS entries_hash, sha1('{"brand":"' || p_brand || '","name":"' || p_name || '"}') AS record_hash,
+    'name: ' || p_name || chr(10) || 'brand: ' || p_brand AS shown FROM part""")
+def record_normalise(spark, sf):
+    p = table(spark, sf, "part").select("*", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.lit(" ").alias("empty"))
+    record = F.create_map(F.lit("name"), F.col("name"), F.lit("brand"), F.col("brand"))
+    return p.select(
+        F.col("p_partkey").alias("id"), F.sha1(F.to_json(F.array_sort(F.map_entries(record)))).alias("entries_hash"), etl.record_hash(record).alias("record_hash"),
+        etl.display_text(["name", "empty", "brand"]).alias("shown"),
+    )
+
+
+@query("""WITH t AS (SELECT doc_id AS id, CASE WHEN instr(text, 'and ') > 0 THEN substr(text, instr(text, 'and ')) ELSE text END AS tail FROM documents)
+    SELECT id, CASE WHEN instr(tail, '.') > 1 THEN substr(tail, 1, instr(tail, '.') - 1) ELSE tail END AS clipped FROM t""")
+def clip_text(spark, sf):
+    return docs(spark, sf).select("id", etl.clip(F.col("text"), "and ", ".").alias("clipped"))
+
+
+@query("""WITH f AS (SELECT doc_id AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents), h AS (SELECT *, instr(flat, 'und') AS hit FROM f), w AS (SELECT *, greatest(1, hit - 60) AS st, least(length(flat), hit + 3 + 60) AS en FROM h)
+    SELECT id, CASE WHEN hit > 0 THEN (CASE WHEN st > 1 THEN '…' ELSE '' END) || substr(flat, st, en - st + 1) || (CASE WHEN en < length(flat) THEN '…' ELSE '' END) ELSE substr(flat, 1, 120) END AS snippet FROM w""")
+def context_snippets(spark, sf):
+    return docs(spark, sf).select("id", tx.context_snippet(F.col("text"), F.lit("und"), 120).alias("snippet"))
+
+
+@query(r"""SELECT doc_id AS id, md5(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}\p{N}\p{Pc}一-鿿\s]', '', 'g'), '\s+', '', 'g')) AS compact_digest,
+    regexp_matches(text, '(?i)(^|[^0-9A-Za-z])with([^0-9A-Za-z]|$)') AS bounded, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS cjk FROM documents""")
+def text_forms(spark, sf):
+    t = F.col("text")
+    return docs(spark, sf).select("id", F.md5(tx.compact(t)).alias("compact_digest"), tx.bounded_latin(t, "with").alias("bounded"), tx.contains_cjk(t).alias("cjk"))
+
+
+@query("SELECT doc_id AS id, n_chars FROM documents WHERE lang = 'en' AND source = 'src1'")
+def equality_filters(spark, sf):
+    return lexical.equality_filters(docs(spark, sf), subject="en", book_key="src1", id=None).select("id", "n_chars")
+
+
+@query("""WITH s AS (SELECT doc_id AS id, text, CASE WHEN contains(text, 'the') THEN 'the' ELSE 'zzz' END AS term, source FROM documents)
+    SELECT id FROM s WHERE source <> 'src1' OR (contains(lower(text), 'thenat') OR contains(lower(text), term) AND length(term) >= 2 OR contains(text, '!'))""")
+def guardrail(spark, sf):
+    term = F.when(F.col("text").contains("the"), "the").otherwise("zzz")
+    flat = F.lower("text")
+    source = F.when(F.col("book_key") == "src1", "supplemental").otherwise("primary")
+    strong = F.when(F.col("text").contains("!"), 20.0).otherwise(0.0)
+    return docs(spark, sf).filter(linking.passes_guardrails(source, F.lit("concept"), flat, F.lit("thenat"), term, F.lit("sentence"), strong)).select("id")
