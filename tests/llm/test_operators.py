@@ -97,6 +97,19 @@ def test_winnowing_empty(empty):
     assert winnowing.compare(empty).count() == 0
 
 
+@pytest.mark.parametrize("level", [3, 1, 4096])
+def test_next_documents_over_cut_ranges(spark, monkeypatch, level):
+    """Ranges cut again, with gaps, repeated and missing ids: everyone's next document is that of the sorted list."""
+    monkeypatch.setattr(winnowing, "LEVEL_RANGES", level)
+    r = random.Random(6)
+    ids = [*r.sample(range(10**6), 60), *range(50), 7, 7, 10**9, None]
+    rows = sorted(((k, f"text {i}") for i, k in enumerate(ids)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    docs = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["edited_sha256"]) for x in winnowing.compare(docs, 5).collect()), key=str)
+    want = [(k, hashlib.sha256(winnowing.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(rows)]
+    assert got == sorted(want, key=str)
+
+
 # Mixing
 
 def test_raking_meets_all_margins():
