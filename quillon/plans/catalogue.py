@@ -493,6 +493,13 @@ def knn_per_group(spark, sf):
     return vector.neighbours(v.filter("vec_id % 50 = 0"), v, 3, "label").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""SELECT q.vec_id AS query_id, v.vec_id, round({DOT}, 6) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, v.vec_id) <= 5""")
+def knn_all(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return vector.nearest_in_blocks(v.filter("vec_id % 50 = 0"), v, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 # Planning, fusion, scoring
 
 @query("""SELECT term, primary_hits, extra_hits, CAST((CASE WHEN term = 'thenation' THEN 240 ELSE 0 END) + (CASE WHEN contains('thenation', term) THEN length(term) * 24 + 40
@@ -533,11 +540,11 @@ def hybrid_fusion(spark, sf):
     return fusion.fuse([lex, sem])
 
 
-@query("""WITH r AS (SELECT doc_id AS id, regexp_replace(lower(substr(text, 1, 600)), '\\s+', '', 'g') AS t FROM documents),
+@query("""WITH r AS (SELECT doc_id AS id, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM documents),
     s AS (SELECT id, t, (contains(t, 'th')::INT + contains(t, 'he')::INT + contains(t, 'en')::INT + contains(t, 'na')::INT + contains(t, 'at')::INT) / 5.0::DOUBLE AS big, (contains(t, 't')::INT + contains(t, 'h')::INT + contains(t, 'e')::INT + contains(t, 'n')::INT + contains(t, 'a')::INT) / 5.0::DOUBLE AS ch FROM r)
     SELECT id, round(CASE WHEN t = '' THEN 0.0::DOUBLE ELSE greatest(-18.0::DOUBLE, least(68.0::DOUBLE, (CASE WHEN contains(t, 'thenat') THEN 42 ELSE 0 END) + big * 28 + ch * 18 - (CASE WHEN ch < 0.42 THEN 18 ELSE 0 END))) END, 6) AS bonus FROM s""")
 def coverage_bonus(spark, sf):
-    flat = F.regexp_replace(F.lower(F.substring("text", 1, 600)), r"\s+", "")
+    flat = F.regexp_replace(F.lower("text"), r"\s+", "")
     return docs(spark, sf).select("id", F.round(fusion.coverage_bonus("thenat", flat), 6).alias("bonus"))
 
 
@@ -557,10 +564,12 @@ def quota_per_term(spark, sf):
     return fusion.quota_per_term(d.select(F.explode(found).alias("term"), "id", (-F.col("n_chars")).alias("rank")), 40, 2)
 
 
-@query("""WITH w AS (SELECT doc_id AS id, list_slice(regexp_extract_all(lower(text), '\\p{L}+'), 1, 12) AS w FROM documents), n AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT id, w, i, unnest(range(1, least(3, len(w) - i + 1) + 1)) AS n FROM n)
-    SELECT DISTINCT id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM m""")
+@query("""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents), n AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w), m AS (SELECT id, w, i, unnest(range(1, least(6, len(w) - i + 1) + 1)) AS n FROM n),
+    p AS (SELECT DISTINCT id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM m)
+    SELECT id, count(*) AS n, md5(string_agg(phrase, '|' ORDER BY phrase)) AS digest FROM p GROUP BY id""")
 def token_phrases(spark, sf):
-    return docs(spark, sf).select("id", F.explode(tx.phrases(F.slice(tx.words(F.col("text")), 1, 12), 3, " ")).alias("phrase"))
+    phrases = docs(spark, sf).select("id", tx.phrases(tx.words(F.col("text")), 6, " ").alias("p")).filter(F.size("p") > 0)
+    return phrases.select("id", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("p"), "|")).alias("digest"))
 
 
 # Graphs
@@ -724,10 +733,10 @@ def concept_matches(spark, sf):
     return linking.match_concepts(docs(spark, sf), c)
 
 
-@query(f"""WITH {CLUSTERS}, q AS (SELECT p_partkey AS id, p_type AS concept FROM part WHERE p_partkey % 50 = 0)
+@query(f"""WITH {CLUSTERS}, q AS (SELECT p_partkey AS id, p_type AS concept FROM part)
     SELECT DISTINCT q.id, q.concept, o.concept AS expanded FROM q JOIN clusters c ON c.concept = q.concept JOIN clusters o ON o.cluster = c.cluster WHERE o.concept <> q.concept""")
 def cross_subject_expansion(spark, sf):
-    q = table(spark, sf, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("concept"))
+    q = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("concept"))
     return linking.expand_through_clusters(q, clusters(spark, sf).select("cluster", "concept").distinct())
 
 
@@ -775,10 +784,10 @@ def emphasis_tokens(spark, sf):
     return docs(spark, sf).select("id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ License|License, Version [0-9.]+"), F.lit(0))).alias("mark"))
 
 
-@query("""WITH s AS (SELECT doc_id AS id, string_split(text, chr(10))[2:] AS l FROM documents), u AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) % 3 AS number FROM s)
+@query("""WITH s AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l FROM documents), u AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) % 3 AS number FROM s)
     SELECT id, CAST(number AS BIGINT) AS number, line FROM u QUALIFY row_number() OVER (PARTITION BY id, number ORDER BY length(line) DESC, line) = 1""")
 def longest_sections(spark, sf):
-    lines = docs(spark, sf).select("id", F.posexplode(F.slice(F.split("text", "\n"), 2, 1_000_000)).alias("pos", "text"))
+    lines = docs(spark, sf).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     rows = lines.select("id", ((F.col("pos") + 1) % 3).cast("long").alias("number"), "text")
     return etl.longest_section(rows).withColumnRenamed("text", "line")
 

@@ -95,3 +95,15 @@ def test_sentences_and_poems(spark):
     poem = "床前明月光\n疑是地上霜\n举头望明月\n低头思故乡"
     assert values(spark, [poem, "一句话。\n又一句。\n第三句。\n第四句。"], exams.looks_like_poem(F.col("text"))) == [(True,), (False,)]
     assert values(spark, ["12\n**静夜思**\n床前", "这是一句话。"], exams.heading(F.col("text"))) == [("静夜思",), ("",)]
+
+
+def test_nearest_in_blocks_is_the_nested_loop(spark):
+    from quillon.operators import vector
+
+    points = [(i, [float((i * 7) % 5), float((i * 3) % 4), 1.0]) for i in range(40)]  # many equal scores
+    rows = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    got = vector.nearest_in_blocks(rows.filter("vec_id % 10 = 0"), rows, 4, query_block=2, vector_block=7).collect()
+    for key in (0, 10, 20, 30):
+        scores = sorted((-sum(a * b for a, b in zip(points[key][1], e, strict=True)), i) for i, e in points if i != key)[:4]
+        assert [(x["vec_id"], x["score"]) for x in sorted((x for x in got if x["query_id"] == key), key=lambda x: x["rank"])] == [(i, -v) for v, i in scores]
+    assert vector.nearest_in_blocks(rows.limit(0), rows, 4).count() == 0
