@@ -53,6 +53,13 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.flatnonzero(found).astype(np.int32)
 
 
+def _bits(features: np.ndarray) -> bytes:
+    """A set of n-gram classes as FEATURES bits, so that a row of the sample has 8 kB however long its text is."""
+    found = np.zeros(FEATURES, bool)
+    found[features] = True
+    return np.packbits(found).tobytes()
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Whether a row's label is kept from training."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
@@ -129,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 f = ngrams(text)
                 df[y, f] += 1
                 if take:
-                    picked.append((y, None, None, f.tobytes()))
+                    picked.append((y, None, None, _bits(f)))
             if picked:
                 yield pd.DataFrame(picked, columns=["y", "feature", "n", "features"]).astype({"feature": "Int32", "n": "Int64"})
         for y in (0, 1):
@@ -149,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     picked = counted.filter("features is not null").select("y", "features").orderBy(F.sha2("features", 256)).collect()
     if len({r["y"] for r in picked}) < 2:
         return NEUTRAL
-    rows = [np.frombuffer(r["features"], np.int32) for r in picked]
+    rows = [np.flatnonzero(np.unpackbits(np.frombuffer(r["features"], np.uint8))) for r in picked]
     y = np.array([1.0 if r["y"] else -1.0 for r in picked])
     values = [ratios[f] / (np.linalg.norm(ratios[f]) or 1.0) for f in rows]
     # Fitted on one half to calibrate on the other, then on the whole.
