@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat_format, exact_dedup, language_id, license_scan, mixing, quality, simhash, substring_dedup, winnowing
+from quillon.llm import bpe, chat_format, exact_dedup, language_id, license_scan, mixing, quality, simhash, spelling, substring_dedup, token_counts, winnowing
 from quillon.session import table
 
 
@@ -67,6 +67,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.corpus_words(table(spark, sf_dir, "documents")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", "lang")
     out = language_id.identify_pages(table(spark, sf_dir, "pages"), labelled)
@@ -84,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_counts": op13_token_counts,
     "pages_language_id": pages_language_id,
 }
 
