@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chat_format, exact_dedup, language_id, license_scan, mixing, quality, simhash, spelling, substring_dedup, token_counts, winnowing
+from quillon.llm import bpe, chat_format, exact_dedup, hard_negatives, language_id, license_scan, mixing, quality, simhash, spelling, substring_dedup, token_counts, winnowing
 from quillon.session import table
 
 
@@ -67,6 +67,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.scaled(vectors.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.corpus_words(table(spark, sf_dir, "documents")))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_token_counts": op13_token_counts,
     "pages_language_id": pages_language_id,
@@ -110,4 +117,68 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM k
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+                   list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+        n AS (
+            SELECT p.anchor_id, p.positive_id, s.other_id AS negative_id, p.positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+             AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE bits AS (  -- the table of crc32, from its polynomial
+            SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+            UNION ALL
+            SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        counted AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS id, run, count(*) AS n FROM runs GROUP BY ALL),
+        hexed AS (SELECT id, run, n, hex(encode(id)) AS x FROM counted),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2),
+                    lambda i: ((strpos('0123456789ABCDEF', substr(x, i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, i + 1, 1)) - 1)::BIGINT)),
+                lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+            FROM hexed, crc),
+        edited AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+            FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        cuts AS (  -- what a deleted character leaves of a word, with its place
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+            UNION
+            SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+            UNION
+            SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+        best AS (
+            SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+        forms AS (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form,
+                   CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word),
+        chain AS (
+            SELECT word, word AS root, 0 AS step FROM forms
+            UNION ALL
+            SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+        SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON f.word = e.word
+    """,
 }
