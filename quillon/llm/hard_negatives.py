@@ -177,14 +177,15 @@ def _block(kind: str, width: int, data: bytes, rows: int) -> np.ndarray:
 def _meet(anchors: DataFrame, candidates: DataFrame, broadcast_bytes: int) -> DataFrame:
     """Every tile of anchors beside every tile of candidates (columns c_*)."""
     count, size = anchors.agg(F.count(F.lit(1)), F.sum(F.octet_length("data"))).first()
-    theirs = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns])
-    if (size or 0) <= broadcast_bytes:
-        return theirs.withColumn("part", F.lit(0)).join(F.broadcast(anchors.withColumn("part", F.lit(0))), "part")
-    parts = -(-count // PART_TILES)
-    dealt = F.pmod(F.xxhash64("tile"), F.lit(parts)).cast("int")
-    mine = anchors.withColumn("part", dealt).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = (size or 0) <= broadcast_bytes
+    parts = 1 if whole else -(-count // PART_TILES)
+    mine = anchors.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts)).cast("int"))
+    theirs = candidates.select(*[F.col(c).alias(f"c_{c}") for c in candidates.columns], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    if whole:
+        return theirs.join(F.broadcast(mine), "part")
+    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     theirs = theirs.withColumn("salt", F.pmod(F.xxhash64("c_tile"), F.lit(SALTS)).cast("int"))
-    return theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(mine.hint("merge"), ["part", "salt"])
+    return theirs.join(mine.hint("merge"), ["part", "salt"])
 
 
 HEAP = "tile long, pos int, slot int, anchor_id long, score long, partner long"
