@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import question_links, ranked, vector
+from quillon.operators import query_analysis, question_links, ranked, vector
 from quillon.plans.catalogue import DOT, docs, query
 from quillon.session import table
 
@@ -111,3 +111,57 @@ def page_cross_links(spark, sf):
     pages, chosen, concepts, near = _sides(spark, sf, index)
     clusters = concepts.select(F.substring("concept", 1, 6).alias("cluster"), "concept")
     return question_links.link_pages(pages, chosen, index, concepts, clusters, near)
+
+
+# Query analysis: words of texts, names and kinds of parts as queries; words of five rows or more as the
+# catalogue; kinds of parts as terms whose names and brands are the synonyms.
+
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COMPACT = "regexp_replace({0}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
+
+@query(f"""WITH ws AS (SELECT regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents WHERE doc_id % 50 = 0),
+    asked AS (SELECT DISTINCT query FROM (SELECT unnest([w[1], w[1] || ' ' || w[2], upper(w[1]), reverse(w[1]), substr(w[1], 2, 3)]) AS query FROM ws WHERE len(w) >= 2
+      UNION ALL SELECT unnest([p_name, p_type, p_brand, split_part(p_name, ' ', 1), '??']) FROM part)),
+    rows AS (SELECT query, {_COMPACT.format("query")} AS q FROM asked), qs AS (SELECT DISTINCT q FROM rows WHERE q <> ''),
+    names AS (SELECT term AS concept FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM documents) WHERE length(term) >= 5 GROUP BY term HAVING count(*) >= 5),
+    cm AS (SELECT q, concept AS term, CASE WHEN q = concept THEN 0 WHEN contains(q, concept) THEN 1 WHEN contains(concept, q) THEN 2
+      WHEN contains(lower(q), concept) AND regexp_matches(lower(q), '(^|[^0-9a-z])' || concept || '($|[^0-9a-z])') THEN 3 END AS way FROM qs, names),
+    cs AS (SELECT q, term, ['exact', 'contained', 'expanded', 'phrase'][way + 1] AS match_type, [300, 220, 200, 180][way + 1] + CASE way WHEN 2 THEN length(q) ELSE length(term) END AS score FROM cm WHERE way IS NOT NULL),
+    ct AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, length(term) DESC, term) AS place FROM cs QUALIFY place <= 4),
+    al AS (SELECT term, alias, row_number() OVER (PARTITION BY term ORDER BY kind, alias) AS place FROM (SELECT DISTINCT p_type AS term, 0 AS kind, p_name AS alias FROM part UNION SELECT DISTINCT p_type, 1, p_brand FROM part)),
+    touched AS (SELECT DISTINCT q, term FROM qs, al WHERE contains({_FOLD.format("term")}, {_FOLD.format("q")}) OR contains({_FOLD.format("alias")}, {_FOLD.format("q")})),
+    am AS (SELECT t.q, t.term, list(alias ORDER BY place) FILTER (place <= 8 AND (contains(t.q, {_COMPACT.format("alias")}) OR contains({_COMPACT.format("alias")}, t.q))) AS aliases FROM touched t JOIN al ON al.term = t.term GROUP BY ALL),
+    asc_ AS (SELECT q, term, CASE WHEN coalesce(len(aliases), 0) > 0 THEN 'alias' ELSE 'term' END AS match_type, coalesce(aliases, [])[1:4] AS aliases, CASE WHEN term = q THEN 260 ELSE 210 + 10 * len(aliases) END AS score
+      FROM am WHERE term = q OR coalesce(len(aliases), 0) > 0),
+    at_ AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, length(term) DESC, term) AS place FROM asc_ QUALIFY place <= 4),
+    missed AS (SELECT q FROM qs WHERE q NOT IN (SELECT q FROM ct) AND q NOT IN (SELECT q FROM at_)),
+    parts AS (SELECT q, regexp_extract_all(q, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS p FROM missed),
+    wins AS (SELECT q, q AS term, -9 AS o, 0 AS i FROM missed UNION ALL SELECT q, array_to_string(p[i + 1:i + w], ''), -w, i FROM parts, range(1, 5) r(w), range(0, 60) s(i) WHERE len(p) >= 2 AND w <= len(p) AND i + w <= len(p)),
+    cand AS (SELECT q, term FROM (SELECT q, term, min((o, i)) AS o FROM wins WHERE length(term) >= 2 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY q ORDER BY o) <= 18),
+    hit AS (SELECT q, term, (SELECT count(*) FROM documents WHERE contains({_FOLD.format("coalesce(text, '')")}, {_FOLD.format("term")})) AS a, (SELECT count(*) FROM benchmark WHERE contains({_FOLD.format("coalesce(text, '')")}, {_FOLD.format("term")})) AS b FROM cand),
+    fs AS (SELECT *, a + b AS h, CASE WHEN term = q THEN 240 ELSE 0 END
+      + CASE WHEN contains(q, term) THEN length(term) * 24 + 40 + CASE WHEN starts_with(q, term) THEN 45 ELSE 0 END + CASE WHEN ends_with(q, term) THEN 65 ELSE 0 END + CASE WHEN length(term) >= 4 THEN 30 ELSE 0 END ELSE length(term) * 12 END
+      + least(a + b, 6) * 10 + CASE WHEN b > 0 AND a <= 0 THEN 22 ELSE 0 END + CASE WHEN a + b <= 4 THEN (5 - a - b) * 8 ELSE 0 END - CASE WHEN a + b > 12 THEN least(60, (a + b - 12) * 2) ELSE 0 END AS score FROM hit WHERE a + b > 0),
+    ft AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, h DESC, length(term) DESC, term) AS place FROM fs QUALIFY place <= 8),
+    pl AS (SELECT q, 0 AS g, place, 0 AS s, term, match_type AS basis FROM ct UNION ALL SELECT q, 1, place, 0, {_COMPACT.format("term")}, match_type FROM at_
+      UNION ALL SELECT q, 1, place, s, {_COMPACT.format("aliases[s]")}, 'alias' FROM at_, range(1, 4) r(s) WHERE s <= len(aliases) UNION ALL SELECT q, 2, place, 0, term, 'fallback' FROM ft UNION ALL SELECT q, 3, 0, 0, q, 'query' FROM qs),
+    po AS (SELECT q, term, min((g, place, s)) AS o, arg_min(basis, (g, place, s)) AS basis FROM pl WHERE length(term) >= 2 GROUP BY q, term QUALIFY row_number() OVER (PARTITION BY q ORDER BY min((g, place, s))) <= 8),
+    plans AS (SELECT q, string_agg(term || ':' || basis, '|' ORDER BY o) AS plan FROM po GROUP BY q),
+    cl AS (SELECT q, string_agg(term || ':' || match_type || ':' || score, '|' ORDER BY place) AS line, arg_min(term, place) AS top FROM ct GROUP BY q),
+    ll AS (SELECT q, string_agg(term || ':' || match_type || ':' || score, '|' ORDER BY place) AS line, arg_min(term, place) AS top FROM at_ GROUP BY q),
+    fl AS (SELECT q, string_agg(term || ':' || score, '|' ORDER BY place) AS line, arg_min(term, place) AS top, bool_or(a > 0) AS own, bool_or(b > 0) AS more FROM ft GROUP BY q)
+    SELECT query, CASE WHEN r.q = '' THEN 'invalid' WHEN cl.q IS NOT NULL THEN 'concept' WHEN ll.q IS NOT NULL THEN 'alias' WHEN fl.q IS NOT NULL THEN 'fallback' ELSE 'direct' END AS mode,
+      coalesce(cl.top, ll.top, fl.top, r.q) AS display_term, concat_ws('|', cl.line, ll.line) AS concept_terms, coalesce(fl.line, '') AS fallback_terms, coalesce(plan, '') AS plan, coalesce(NOT own AND more, false) AS used_more_texts
+    FROM rows r LEFT JOIN cl ON cl.q = r.q LEFT JOIN ll ON ll.q = r.q LEFT JOIN fl ON fl.q = r.q LEFT JOIN plans ON plans.q = r.q""")
+def query_analysis_table(spark, sf):
+    d, p = docs(spark, sf), table(spark, sf, "part")
+    w = d.filter("id % 50 = 0").select(tx.words(F.col("text")).alias("w")).filter("size(w) >= 2")
+    own = w.select(F.explode(F.expr("array(w[0], concat(w[0], ' ', w[1]), upper(w[0]), reverse(w[0]), substr(w[0], 2, 3))")).alias("query"))
+    named = p.select(F.explode(F.array("p_name", "p_type", "p_brand", F.substring_index("p_name", " ", 1), F.lit("??"))).alias("query"))
+    words = d.select(F.explode(F.array_distinct(tx.words(F.col("text")))).alias("concept")).filter("length(concept) >= 5")
+    concepts = words.groupBy("concept").count().filter("count >= 5").select("concept")
+    sets = p.groupBy(F.col("p_type").alias("term")).agg(F.sort_array(F.collect_set("p_name")).alias("english"), F.sort_array(F.collect_set("p_brand")).alias("aliases"))
+    synonyms = sets.select("term", F.to_json(F.struct("english", "aliases")).alias("synonyms"))
+    more = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return query_analysis.analyse(own.unionByName(named), concepts, synonyms, d, more)

@@ -160,9 +160,9 @@ def candidate_window(offset: int, limit: int, multiple: int = 4, least: int = 60
     return min(most, max(least, (offset + limit) * multiple))
 
 
-def fallback_scores(terms: DataFrame, query: str) -> DataFrame:
-    """Scores of candidate terms (term, primary_hits, extra_hits) of a query; terms without hits go."""
-    q, t = F.lit(query), F.col("term")
+def fallback_scores(terms: DataFrame, query: str | Column) -> DataFrame:
+    """Scores of candidate terms (term, primary_hits, extra_hits) of a query, or of the query in a column; terms without hits go."""
+    q, t = (F.lit(query) if isinstance(query, str) else query), F.col("term")
     n = F.length(t).cast("long")
     hits = F.col("primary_hits") + F.col("extra_hits")
     inside = q.contains(t)
