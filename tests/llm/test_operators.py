@@ -662,27 +662,76 @@ def test_languages_are_not_capped(spark):
 
 def test_language_posterior_is_the_brute_force_one(spark):
     docs = [(i, words(i, 30) + " the of", "en" if i % 3 else "de", f"h{i % 2}.org") for i in range(40)]
+    docs += [(100 + i, words(100 + i, 9), "xx", f"h{i % 2}.org") for i in range(2)]  # a code without a table
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     models = language_id.fit(frame.select(F.col("doc_id").alias("key"), "text", "lang"), crossed=True)
     folds = {r[0]: r[1] for r in frame.select("doc_id", language_id._fold(F.col("doc_id"))).collect()}
     names = models[0].languages
-    ll = {i: np.array(models[folds[i]].evidence(t)) for i, t, _, _ in docs}
+    assert names == ["de", "en", language_id.OWN, "und"]
+    ll = {i: models[folds[i]].evidence(t, lang == "xx") for i, t, lang, _ in docs}
     soft = {i: np.exp(x - x.max()) / np.exp(x - x.max()).sum() for i, x in ll.items()}
     total = sum(soft.values())
-    base = [(x / total[:-1].sum() + 1e-6) * (1 - language_id.UNKNOWN_PRIOR) for x in total[:-1]]
     kinds = {lang for _, _, lang, _ in docs}
+
+    def prior(k, host):
+        mine = lambda host: sum(soft[i][k] for i, _, _, h in docs if host is None or h == host)
+        whole = lambda host: sum(soft[i][:-1].sum() for i, _, _, h in docs if host is None or h == host)
+        base = (mine(None) / whole(None) + 1e-6) * (1 - language_id.UNKNOWN_PRIOR)
+        suffix = (mine(None) + 20 * base) / (whole(None) + 20)
+        return np.log((mine(host) + 20 * suffix) / (whole(host) + 20))
+
     for r in language_id.identify_documents(frame).collect():
-        mine = [sum(soft[i] for i, _, _, h in docs if h == r["source"]), sum(soft[i] for i, _, _, _ in docs)]
         told = sum(soft[i] for i, _, lang, _ in docs if lang == r["lang"])
         post = []
-        for k, b in enumerate(base):
-            suffix = (mine[1][k] + 20 * b) / (mine[1][:-1].sum() + 20)
-            host = (mine[0][k] + 20 * suffix) / (mine[0][:-1].sum() + 20)
-            post.append(ll[r["doc_id"]][k] + np.log(host) + np.log((told[k] + 1) / (total[k] + len(kinds))))
+        for k, name in enumerate(names[:-1]):
+            itself = 20 if name == r["lang"] or (name == language_id.OWN and r["lang"] == "xx") else 0
+            of_class = told[k] if name == language_id.OWN else total[k]
+            post.append(ll[r["doc_id"]][k] + prior(k, r["source"]) + np.log((told[k] + 1 + itself) / (of_class + len(kinds) + 20)))
         post.append(ll[r["doc_id"]][-1] + np.log(language_id.UNKNOWN_PRIOR) - np.log(len(kinds)))
         p = np.exp(np.array(post) - max(post))
-        assert r["identified"]["language"] == names[int(p.argmax())]
+        best = names[int(p.argmax())]
+        assert r["identified"]["language"] == (r["lang"] if best == language_id.OWN else best)
         assert abs(r["identified"]["posterior"] - p.max() / p.sum()) < 1e-6
+        assert r["identified"]["accepted"] == (best != "und" and p.max() / p.sum() >= 0.5)
+
+
+FOREIGN = {
+    "nl": "Het is vandaag mooi weer en de kinderen spelen buiten in de tuin terwijl hun ouders op het terras zitten en koffie drinken.",
+    "sv": "Det är vackert väder idag och barnen leker ute i trädgården medan deras föräldrar sitter på terrassen och dricker kaffe.",
+    "pl": "Dzisiaj jest piękna pogoda i dzieci bawią się na dworze w ogrodzie, podczas gdy ich rodzice siedzą na tarasie i piją kawę.",
+    "el": "Σήμερα ο καιρός είναι όμορφος και τα παιδιά παίζουν έξω στον κήπο ενώ οι γονείς τους κάθονται στη βεράντα.",
+    "ru": "Сегодня хорошая погода, и дети играют в саду, пока их родители сидят на террасе и пьют кофе с соседями.",
+    "pt": "Hoje o tempo está bonito e as crianças brincam no jardim enquanto os pais tomam café com os vizinhos no terraço.",
+    "th": "วันนี้อากาศดีและเด็ก ๆ เล่นอยู่ในสวนในขณะที่พ่อแม่นั่งดื่มกาแฟ",
+}
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+def test_rare_languages_are_never_taken_for_others(spark, copies):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source")
+    rare = [(10**6 + 10 * i + c, " ".join(t.split()[c:] + t.split()[:c]), lang, f"src{i}") for i, (lang, t) in enumerate(FOREIGN.items()) for c in range(copies)]
+    more = spark.createDataFrame(rare, docs.schema)
+    out = language_id.identify_documents(docs.unionByName(more)).filter("doc_id >= 1000000").select("lang", "identified.*").collect()
+    assert len(out) == len(rare)
+    for r in out:
+        assert r["language"] in (r["lang"], "und") or not r["accepted"], r
+
+
+def test_dirty_codes_do_not_hide_a_language(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("length(text) >= 60").select("doc_id", "text", "lang", "source")
+    dirty = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    real = docs.select("doc_id", F.col("lang").alias("real"))
+    out = language_id.identify_documents(dirty).filter("doc_id % 3 = 0").join(real, "doc_id")
+    right, n = out.agg(F.count_if((F.col("identified.language") == F.col("real")) & F.col("identified.accepted")), F.count(F.lit(1))).first()
+    assert right / n > 0.97
+
+
+def test_page_language_edges(spark):
+    labelled = spark.createDataFrame([], "key long, text string, lang string")
+    pages = spark.createDataFrame([(1, None, None, 1), (2, "http://a.org/x", '<html lang="en"><p>the cat</p></html>', 2), (3, "", "", 3)], "page_id long, url string, html string, text int")
+    got = {r["page_id"]: (r["language"], r["accepted"]) for r in language_id.identify_pages(pages, labelled).collect()}
+    assert set(got) == {1, 2, 3} and not got[1][1] and not got[3][1]
+    assert language_id.identify_pages(pages.limit(0), labelled).collect() == []
 
 
 def test_language_edges(edge, empty):
