@@ -1,7 +1,9 @@
 """Licence scans by a trained paragraph classifier (DataFrame functions only).
 
-Lines are cut into overlapping windows of WINDOW words, so that a notice is found wherever it stands in
-a line and however long that is. The features of a window are sparse word n-grams (words and pairs of
+Texts are cut into blocks at blank lines. Windows of up to WINDOW words are laid over each line of a
+block, overlapping in long ones, so that a notice is found wherever it stands in a line and however
+long that is; and over each line together with those that follow it, so that a wrapped notice is read
+as a whole. Windows over several lines count only if they are confirmed. The features of a window are sparse word n-grams (words and pairs of
 neighbours) out of a vocabulary of licence wordings: words that few documents of the corpus have (counted
 over all of it) and the pairs that hold such a word. Other words are no features, so prose around a
 notice does not weaken it.
@@ -33,7 +35,7 @@ import re
 from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.session import materialize
@@ -175,17 +177,62 @@ def _ngrams(tokens: Column) -> Column:
     return F.array_distinct(F.concat(tokens, pairs))
 
 
-def windows(tokens: Column) -> Column:
-    """Overlapping windows of the words of a line; a line that is hardly longer than one is a window as a whole."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - WINDOW, F.lit(0)) + STEP - 1, F.lit(STEP))
-    return F.when(F.size(tokens) <= WINDOW + STEP, F.array(tokens)).otherwise(F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(WINDOW))))
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id and each distinct non-empty line that it has, with its words."""
-    found = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = docs.select("doc_id", F.explode(found).alias("paragraph")).filter("trim(paragraph) <> ''")
-    return rows.withColumn("tokens", _tokens(F.col("paragraph")))
+def _overlapping(parts: Column) -> Column:
+    """Each part with the next one; a last part stands alone only if it is the only one."""
+    pairs = F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.slice(pairs, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))
+
+
+def _windows(line: Column) -> Column:
+    """Overlapping windows of a line, as texts; a line that is hardly longer than one is a window as a whole."""
+    steps = _all(F.lower(line), f"(?:[a-z0-9]++[^a-z0-9]*+){{1,{STEP}}}")
+    return F.when(F.size(_tokens(line)) <= WINDOW + STEP, F.array(line)).otherwise(_overlapping(steps))
+
+
+def _wrapped(sizes: Column) -> Column:
+    """How many of some lines, of these numbers of words, are needed for a window."""
+
+    def one_more(seen: Column, size: Column) -> Column:
+        full = seen["words"] >= WINDOW
+        return F.struct((seen["words"] + F.when(full, 0).otherwise(size)).alias("words"), (seen["n"] + F.when(full, 0).otherwise(1)).alias("n"))
+
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), one_more, lambda seen: seen["n"])
+
+
+def windows(docs: DataFrame, cues: Column) -> DataFrame:
+    """doc_id, block (digest), lo and hi (lines), line (digest of these), single (on one line) and tokens of all windows with a cue.
+
+    Long blocks and lines are cut by one pass of a pattern each, so the time grows with their length.
+    """
+    cut = F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"))
+    blocks = docs.select("doc_id", F.explode(cut).alias("text")).select("doc_id", F.md5("text").alias("block"), F.trim(F.col("text"), F.lit("\n")).alias("text"))
+    # WINDOW lines at a time, each time with the WINDOW lines after them.
+    groups = _all(F.col("text"), f"(?:[^\\n]++\\n?+){{1,{WINDOW}}}")
+    pairs = F.zip_with(groups, F.slice(groups, F.lit(2), F.size(groups)), lambda a, b: F.struct(a.alias("own"), F.coalesce(b, F.lit("")).alias("next")))
+    some = blocks.select("doc_id", "block", F.posexplode(pairs).alias("group", "lines")).filter(F.arrays_overlap(_tokens(F.col("lines.own")), cues))
+    text = lambda c: F.split(F.trim(c, F.lit("\n")), "\n")
+    both = some.select("doc_id", "block", "group", text(F.col("lines.own")).alias("own"), F.concat(text(F.col("lines.own")), F.filter(text(F.col("lines.next")), lambda x: x != "")).alias("lines"))
+    heads = F.transform("lines", lambda x: F.regexp_extract(F.lower(x), f"^[^a-z0-9]*+((?:[a-z0-9]++[^a-z0-9]*+){{0,{WINDOW}}}+)", 1))
+    both = both.select("doc_id", "block", "group", "own", heads.alias("heads"), F.transform("lines", F.md5).alias("digests"))
+    each = F.transform("own", lambda x, i: F.struct(
+        i.alias("i"), x.alias("text"), F.slice("heads", i + 1, F.lit(WINDOW)).alias("heads"), F.slice("digests", i + 1, F.lit(WINDOW)).alias("digests")
+    ))
+    begun = both.select("doc_id", "block", "group", F.explode(each).alias("s")).select("doc_id", "block", (F.col("group") * WINDOW + F.col("s.i")).alias("lo"), "s.text", "s.heads", "s.digests")
+    begun = begun.filter(F.arrays_overlap(_tokens(F.col("text")), cues))
+    begun = begun.withColumn("n", _wrapped(F.transform("heads", lambda h: F.size(_tokens(h)))))
+    made = lambda text, n, single: F.struct(text.alias("text"), n.alias("n"), F.lit(single).alias("single"))
+    alone = F.transform(_windows(F.col("text")), lambda w: made(w, F.lit(1), True))
+    joined = F.array_join(F.slice("heads", F.lit(1), F.col("n")), " ")
+    every = F.when(F.col("n") > 1, F.concat(alone, F.array(made(joined, F.col("n"), False)))).otherwise(alone)
+    laid = begun.select("doc_id", "block", "lo", "digests", F.explode(every).alias("w"))
+    words_of = F.when(F.col("w.single"), _tokens(F.col("w.text"))).otherwise(F.slice(_tokens(F.col("w.text")), 1, WINDOW))
+    laid = laid.select("doc_id", "block", "lo", "digests", "w.n", "w.single", words_of.alias("tokens")).filter(F.arrays_overlap("tokens", cues))
+    line = F.md5(F.array_join(F.slice("digests", F.lit(1), F.col("n")), ""))
+    return laid.select("doc_id", "block", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"), line.alias("line"), "single", "tokens")
 
 
 class Model:
@@ -322,46 +369,50 @@ def _templates(vocabulary: list[str], families: list[str]) -> list[tuple[str, li
 
 
 def scan_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """Licence lines: doc_id, paragraph, family, probability, similarity and confirmed."""
+    """Findings: doc_id, block, lo and hi (lines of the block), line (digest of these), family, probability, similarity and confirmed."""
     spark = docs.sparkSession
     cues = F.array(*[F.lit(c) for c in model.cues])
-    found = lines(docs).filter(F.arrays_overlap("tokens", cues))
-    found = materialize(found, "licence-lines")
     vocabulary = F.array(*[F.lit(g) for g in model.vocabulary])
-    cut = found.select("paragraph", "tokens").distinct().select("paragraph", F.posexplode(windows(F.col("tokens"))).alias("place", "tokens"))
-    cut = cut.filter(F.arrays_overlap("tokens", cues)).select("paragraph", "place", F.array_intersect(_ngrams(F.col("tokens")), vocabulary).alias("grams"))
-    cut = materialize(cut, "licence-windows")
+    found = windows(docs, cues).withColumn("grams", F.array_intersect(_ngrams(F.col("tokens")), vocabulary)).drop("tokens")
+    found = materialize(found.withColumn("window", F.md5(F.array_join(F.array_sort("grams"), "\n"))), "licence-windows")
+    cut = materialize(found.groupBy("window").agg(F.first("grams").alias("grams")), "licence-grams")
     weights = spark.createDataFrame(
         [(g, [float(v) for v in row]) for g, row in zip(model.vocabulary, model.weights, strict=True)], "gram string, w array<double>"
     )
     k = len(model.classes)
-    hits = cut.select("paragraph", "place", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
-    sums = hits.groupBy("paragraph", "place").agg(F.first("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
+    hits = cut.select("window", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    sums = hits.groupBy("window").agg(F.first("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
     logits = F.array(*[(F.col(f"s{i}") / F.sqrt("n") + float(model.intercepts[i])) / model.temperature for i in range(k)])
     e = F.transform(F.col("z"), lambda v: F.exp(v - F.array_max(F.col("z"))))
     p = F.transform(F.col("e"), lambda v: v / F.aggregate(F.col("e"), F.lit(0.0), lambda a, c: a + c))
     names = F.array(*[F.lit(c) for c in model.classes])
     scored = sums.withColumn("z", logits).withColumn("e", e).withColumn("p", p).select(
-        "paragraph", "place",
+        "window",
         names[F.array_position("p", F.array_max("p")).cast("int") - 1].alias("best"),
         F.array_max("p").alias("probability"),
         F.col("p")[model.classes.index(NONE)].alias("ordinary"),
     ).filter((F.col("best") != NONE) & (F.col("ordinary") < MOST_ORDINARY))
     templates = spark.createDataFrame(_templates(model.vocabulary, [c for c in model.classes if c in TEMPLATES]), "best string, template array<string>, own array<string>")
-    both = scored.join(cut, ["paragraph", "place"]).join(F.broadcast(templates), "best", "left")
+    both = scored.join(cut, "window").join(F.broadcast(templates), "best", "left")
     common = F.size(F.array_intersect("grams", "template"))
     alike = (common / F.size("grams") >= CONFIRM_SHARE) & (common / F.size("template") >= TEMPLATE_SHARE) & F.arrays_overlap("grams", "own")
-    compared = both.groupBy("paragraph", "place", "best", "probability").agg(
+    compared = both.groupBy("window", "best", "probability").agg(
         F.max(F.coalesce(common / F.greatest(F.size("grams"), F.size("template")), F.lit(0.0))).alias("similarity"),
         F.coalesce(F.max(alike), F.lit(False)).alias("alike"),
     )
     sure = (F.col("probability") >= model.least) & F.col("alike")
     named = compared.select(
-        "paragraph", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", sure.alias("confirmed")
+        "window", F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", sure.alias("confirmed")
     )
-    order = F.struct(~F.col("confirmed"), -F.col("probability"), F.col("family"))
-    best = named.groupBy("paragraph").agg(F.min_by(F.struct("family", "probability", "similarity", "confirmed"), order).alias("f")).select("paragraph", "f.*")
-    return found.select("doc_id", "paragraph").join(materialize(best, "licence-families").hint("merge"), "paragraph")
+    met = found.drop("grams").join(materialize(named, "licence-families").hint("merge"), "window").filter("confirmed or single").drop("window")
+    # Windows that share a line belong together.
+    order = Window.partitionBy("doc_id", "block").orderBy("lo", "hi")
+    apart = F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)) < F.col("lo"), F.lit(True))
+    met = met.withColumn("apart", apart).withColumn("island", F.sum(F.col("apart").cast("int")).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    met = met.withColumn("some", F.max("confirmed").over(Window.partitionBy("doc_id", "block", "island"))).filter("confirmed or not some")
+    best = F.struct(-F.col("probability"), F.col("hi") - F.col("lo"), F.col("lo"))
+    kept = met.groupBy("doc_id", "block", "island", "family").agg(F.min_by(F.struct("lo", "hi", "line", "probability", "similarity", "confirmed"), best).alias("f"))
+    return kept.select("doc_id", "block", "family", "f.*")
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -372,7 +423,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.min_by("family", F.struct(~F.col("confirmed"), -F.col("probability"), F.col("family"))).alias("family"),
         F.max("confirmed").alias("confirmed"),
-        F.count(F.lit(1)).alias("n_paragraphs"),
+        F.count_distinct("line", "family").alias("n_paragraphs"),
     ).withColumnRenamed("doc_id", "id")
     return docs.select("doc_id").join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id",

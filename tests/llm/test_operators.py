@@ -4,6 +4,9 @@ import base64
 import collections
 import hashlib
 import random
+import re
+import textwrap
+import time
 
 import numpy as np
 import pandas as pd
@@ -372,31 +375,87 @@ def test_licence_query_is_the_plain_scan(spark):
     model = license_scan.fit(docs)
     known, templates = set(model.vocabulary), license_scan._templates(model.vocabulary, [c for c in model.classes if c in license_scan.TEMPLATES])
 
-    def of_line(line):
-        tokens, found = license_scan.words(line), []
-        starts = [0] if len(tokens) <= license_scan.WINDOW + license_scan.STEP else range(0, len(tokens) - license_scan.WINDOW + license_scan.STEP, license_scan.STEP)
-        width = len(tokens) if len(starts) == 1 else license_scan.WINDOW
-        for at in starts:
-            part = tokens[at : at + width]
-            grams = known & set(license_scan.ngrams(part))
-            if not grams.intersection(model.cues):
+    def judged(part):
+        grams = known & set(license_scan.ngrams(part))
+        if not grams.intersection(model.cues):
+            return None
+        p = model.probabilities([" ".join(part)])[0]
+        best = model.classes[p.argmax()]
+        if best == "none" or p[model.classes.index("none")] >= license_scan.MOST_ORDINARY:
+            return None
+        sure = p.max() >= model.least and any(license_scan._alike(grams, t, own) for f, t, own in templates if f == best)
+        return not sure, -round(p.max(), 9), best if sure else "unknown"
+
+    def of_block(block):
+        """Findings (line text, family, not confirmed, -probability) of the lines of a block."""
+        lines, hits, wide = block.strip("\n").split("\n"), [], license_scan.WINDOW
+        tokens = [license_scan.words(x) for x in lines]
+        for lo, own in enumerate(tokens):
+            if not set(own).intersection(model.cues):
                 continue
-            p = model.probabilities([" ".join(part)])[0]
-            best = model.classes[p.argmax()]
-            if best == "none" or p[model.classes.index("none")] >= license_scan.MOST_ORDINARY:
-                continue
-            sure = p.max() >= model.least and any(license_scan._alike(grams, t, own) for f, t, own in templates if f == best)
-            found.append((not sure, -round(p.max(), 9), best if sure else "unknown"))
-        return min(found, default=None)
+            starts = [0] if len(own) <= wide + license_scan.STEP else range(0, len(own) - wide + license_scan.STEP, license_scan.STEP)
+            width = len(own) if len(starts) == 1 else wide
+            hits += [(lo, lo, h) for at in starts if (h := judged(own[at : at + width]))]
+            taken, hi = list(own), lo
+            while len(taken) < wide and hi + 1 < len(tokens):
+                hi += 1
+                taken += tokens[hi]
+            if hi > lo and len(own) < wide and (h := judged(taken[:wide])) and not h[0]:
+                hits.append((lo, hi, h))
+        islands, out = [], []
+        for hit in sorted(hits):
+            if islands and hit[0] <= max(h[1] for h in islands[-1]):
+                islands[-1].append(hit)
+            else:
+                islands.append([hit])
+        for island in islands:
+            some = [h for h in island if not h[2][0]] or island
+            for family in {h[2][2] for h in some}:
+                lo, hi, (unsure, p, _) = min((h for h in some if h[2][2] == family), key=lambda h: (h[2][1], h[1] - h[0], h[0]))
+                out.append(("\n".join(lines[lo : hi + 1]), family, unsure, p))
+        return out
 
     want = {}
     for k, text in collected(docs):
-        hits = [h for h in map(of_line, set(text.split("\n"))) if h]
-        want[k] = (min(hits)[2] if hits else "none", bool(hits) and not min(hits)[0], len(hits))
+        hits = [h for block in set(re.split(r"\n\s*\n", text)) for h in of_block(block)]
+        best = min(((u, p, f) for _, f, u, p in hits), default=(True, 0, "none"))
+        want[k] = (best[2], not best[0], len({h[:2] for h in hits}))
     got = {r["doc_id"]: (r["family"], r["confirmed"], r["n_paragraphs"]) for r in q.op4_license_scan(spark, "/root/testdata/sf0.01").collect()}
     assert got == want and sum(f != "none" for f, _, _ in want.values()) > 20
 
 
+HEADERS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "cc-by-nc": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+
+
+def test_wrapped_licences_are_one_finding(spark):
+    """Real headers wrapped at several widths, in the middle of a file, with comment signs or without."""
+    rows = []
+    for family, text in HEADERS.items():
+        for width in (25, 40, 78):
+            for sign in ("", "# ", " * "):
+                body = "\n".join(sign + line for line in textwrap.wrap(text, width))
+                rows.append((family, f"{words(width, 20)}\n\n{body}\n\n{words(width + 1, 20)}"))
+    plain = [words(500 + i, 60) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in rows] + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["families"], r["confirmed"]) for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [(f, True) for f, _ in rows]
+
+
+def test_licences_in_one_very_long_line(spark):
+    text = " ".join(HEADERS["mit"] for _ in range(3_000))  # 1.3 MB of licence words on one line
+    start = time.time()
+    many = "\n".join(textwrap.wrap(text, 60))  # and wrapped, without a blank line
+    docs = spark.createDataFrame([(1, text), (2, words(3, 9)), (3, many)], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in license_scan.scan(docs, license_scan.train(ORDINARY)).collect()}
+    assert got == {1: "mit", 2: "none", 3: "mit"} and time.time() - start < 120
+
+
 def test_licence_edges(edge, empty):
     rows = license_scan.scan(edge).collect()
     assert len(rows) == edge.count()
