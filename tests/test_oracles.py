@@ -3,7 +3,7 @@
 import pytest
 from oracle import connection, rows
 
-from quillon.plans import catalogue_corpus, catalogue_links  # noqa: F401  (register their queries)
+from quillon.plans import catalogue_checks, catalogue_corpus, catalogue_links  # noqa: F401  (register their queries)
 from quillon.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
