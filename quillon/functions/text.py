@@ -98,7 +98,7 @@ def sentences(text: Column) -> Column:
     """Sentences cut after closing punctuation, trimmed, empty ones dropped."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     parts = F.split(flat, r"(?<=[。！？!?；;.])\s*")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def evidence_windows(pieces: Column, widest: int = 2, joiner: str = " ") -> Column:

@@ -29,7 +29,7 @@ def nodes(docs: DataFrame, levels: list[str]) -> DataFrame:
     comes before the first heading is the body of a node of level 0 and pos -1. path lists the places from
     the top. Each text is ordered by itself; ids are taken to be unique.
     """
-    trimmed = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     lines = docs.select("id", F.posexplode(trimmed).alias("pos", "line")).withColumn("level", _level(F.col("line"), levels))
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators import outline, page_map, verify
+from quillon.operators import entries, outline, page_map, verify
 from quillon.operators.verify import Rule
 from quillon.plans.catalogue import docs, query
 from quillon.session import table
@@ -92,3 +92,22 @@ _OUTLINE = f"""l AS (SELECT doc_id AS id, list_filter(list_transform(string_spli
     FROM h FULL JOIN b ON b.id = h.id AND b.pos = h.pos LEFT JOIN p ON p.id = h.id AND p.pos = h.pos""")
 def outline_nodes(spark, sf):
     return outline.nodes(docs(spark, sf), LEVELS).drop("path")
+
+
+# Entries: sources are books of documents as pages; the first word of every fifth document of a source heads an
+# entry that is looked for on three pages.
+
+LATIN_ENTRIES = entries.Layout(
+    head_line="^{head}[ .,;].{0,40}$", any_head_line=r"^[A-ZÀ-Þ]\p{L}+[ .,;].{0,80}$", glued="^{head}\\p{L}", spoken=r"^\p{L}{2,}[ ,].*$", spoken_end=r"[.]$",
+    origin=("the ", "les ", "der ", "los "), next_marks=("the ", "les ", "der ", "los ", "and "), phrases=("{head} ", "{head}."), headers=("License", "rights"),
+    longest_line=120, least_entry=300,
+)
+
+
+@query()
+def entry_texts(spark, sf):
+    order = Window.partitionBy("source").orderBy("doc_id")
+    pages = table(spark, sf, "documents").select(F.col("source").alias("book"), F.row_number().over(order).alias("page"), "text", "doc_id")
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), r"(\p{L}+)", 1)
+    targets = pages.filter("page % 5 = 1").select(F.col("doc_id").alias("entry"), "book", head.alias("head"), F.col("page").alias("first"), (F.col("page") + 2).alias("last")).filter("head <> ''")
+    return entries.extract(targets, pages.select("book", "page", "text"), LATIN_ENTRIES)
