@@ -66,3 +66,18 @@ def test_stage_drops_near_copies_beyond_three_bits(spark):
 
 def test_near_copies_of_nothing(spark):
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_blocks_of_a_key_lose_no_link_and_multiply_none(spark):
+    base = words(7, 200)
+    rows = [(i, changed(base, 2, i)) for i in range(60)] + [(100 + i, words(900 + i, 40)) for i in range(5)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], SCHEMA)
+    keys = near_copies._band_keys(docs)
+    for key_rows in (4, 16, 2048):
+        blocks = -(-60 // key_rows)
+        assert sorted(r["doc_id"] for r in near_copies.keep_one(docs, key_rows).collect()) == brute_kept(rows)
+        # Keys that all sixty share: each gives a forest of the blocks and one link for each pair of them at most.
+        shared = near_copies.links(docs, keys, key_rows).distinct().count()
+        assert shared <= near_copies.BANDS * (60 - 1 + blocks * (blocks - 1) // 2)
+    sets = [near_copies.shingles(t) for _, t in rows[:60]]
+    assert len(near_copies.across(sets, [i % 2 for i in range(60)])) == 1
