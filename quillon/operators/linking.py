@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
 from quillon.operators import selection
-from quillon.session import unused
+from quillon.session import materialize, unused
 
 
 def high_signal(text: Column) -> Column:
@@ -103,3 +103,17 @@ def two_rounds(first: DataFrame, second, enough: float = 230.0, two_of_three: fl
     if top and (top[0] >= enough or sum(s >= two_of_three for s in top) >= 2):
         return first
     return selection.first_by(first.unionByName(second()), ["id"], [F.desc("final_score")])
+
+
+def two_rounds_of_many(queries: DataFrame, first: DataFrame, second, enough: float = 230.0, two_of_three: float = 190.0) -> DataFrame:
+    """Candidates (qid, id, final_score) of many queries (qid): a query that the first round leaves too weak gets the second's too.
+
+    second is a function from the queries that go on to their candidates, so that only these are searched
+    again. A query is done if its best candidate has enough, or two of its three best have two_of_three.
+    Of a query's candidates with one id the better one stays.
+    """
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("final_score"), "id"))
+    top = first.withColumn("place", best).filter("place <= 3").groupBy("qid").agg(F.max("final_score").alias("most"), F.count_if(F.col("final_score") >= two_of_three).alias("good"))
+    done = materialize(top.filter((F.col("most") >= enough) | (F.col("good") >= 2)).select("qid"), "done-queries")
+    again = second(queries.join(done, "qid", "left_anti"))
+    return selection.first_by(first.unionByName(again.select(*first.columns)), ["qid", "id"], [F.desc("final_score")])

@@ -603,11 +603,14 @@ def cluster_summary(spark, sf):
 
 
 @query(f"""WITH {POSTS}, h AS (SELECT id FROM posts WHERE term = 'with'), m AS (SELECT term AS target, count(*) AS weight, 2 AS priority FROM posts WHERE id IN (SELECT id FROM h) AND term <> 'with' GROUP BY term HAVING count(*) >= 2),
-    s AS (SELECT * FROM (VALUES ('the', 5::BIGINT, 1), ('and', 3::BIGINT, 1)) v(target, weight, priority))
+    cl AS (SELECT DISTINCT substr(term, 1, 3) AS cluster, term AS concept FROM posts WHERE length(term) >= 4),
+    s AS (SELECT concept AS target, count(DISTINCT cluster) AS weight, 1 AS priority FROM cl WHERE cluster IN (SELECT cluster FROM cl WHERE concept = 'with') AND concept <> 'with' GROUP BY concept)
     SELECT target, weight, priority FROM (SELECT * FROM m UNION ALL SELECT * FROM s) QUALIFY row_number() OVER (PARTITION BY target ORDER BY priority) = 1 ORDER BY priority, weight DESC, target LIMIT 15""")
 def ego_graph_edges(spark, sf):
-    known = spark.createDataFrame([("the", 5), ("and", 3)], "concept string, shared_clusters long")
-    return graph.ego_graph(known, graph.comentions("with", lexical.postings(docs(spark, sf))))
+    """Words that begin alike are a cluster."""
+    posts = materialize(lexical.postings(docs(spark, sf)), "postings")
+    words = posts.filter(F.length("term") >= 4).select(F.substring("term", 1, 3).alias("cluster"), F.col("term").alias("concept"), F.lit("").alias("subject")).distinct()
+    return graph.ego_graph(graph.siblings(words, "with"), graph.comentions("with", posts))
 
 
 RELATIONS = "r AS (SELECT CAST(o_custkey % 60 AS VARCHAR) AS a, CAST(o_orderkey % 60 AS VARCHAR) AS b, o_orderpriority AS kind, o_orderdate AS ts FROM orders)"

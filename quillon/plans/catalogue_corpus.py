@@ -55,17 +55,18 @@ def search_plan(spark, sf):
     return search.plan_rows(docs(spark, sf), SEARCH_PLAN).select("id", F.round("rank", 6).alias("rank"), "channel", "matched_term", "basis")
 
 
-@query(f"""WITH {BASE}, {term_sql('the that', 't0')}, {term_sql('und', 't1')},
+_V0 = "v0 AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"""WITH {BASE}, {term_sql('the that', 't0')}, {term_sql('und', 't1')}, {_V0},
+    dense AS (SELECT vec_id AS id FROM embeddings, v0 ORDER BY list_inner_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 20),
     c AS ((SELECT id, 210 + CASE channel WHEN 'exact' THEN 42 ELSE 24 END AS base_score, 'the that' AS matched_term, channel, 0 AS p FROM t0 ORDER BY rank, CAST(id AS VARCHAR) LIMIT 12)
       UNION ALL (SELECT id, 196 + CASE channel WHEN 'exact' THEN 42 ELSE 24 END, 'und', channel, 1 FROM t1 ORDER BY rank, CAST(id AS VARCHAR) LIMIT 12)
-      UNION ALL SELECT doc_id, 170, 'the that', 'semantic', 2 FROM documents WHERE n_chars BETWEEN 300 AND 320)
+      UNION ALL SELECT id, 170, 'the that', 'semantic', 2 FROM dense)
     SELECT id, CAST(base_score AS DOUBLE) AS base_score, matched_term, channel FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY base_score DESC, p) = 1""")
 def precision_candidates(spark, sf):
-    d = docs(spark, sf)
-    return search.precise_candidates(d, ["the that", "und"], d.filter(F.col("n_chars").between(300, 320)).select("id"))
-
-
-_V0 = "v0 AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+    vectors, q = _first_vector(spark, sf)
+    return search.precise_candidates(docs(spark, sf), ["the that", "und"], vector.top_k(vectors, q, 20).select(F.col("vec_id").alias("id")))
 
 
 @query(f"""WITH {_V0}, s AS (SELECT vec_id, list_inner_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM embeddings, v0),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import query_analysis, question_links, ranked, vector
+from quillon.operators import linking, query_analysis, question_links, ranked, vector
 from quillon.plans.catalogue import DOT, docs, query
-from quillon.session import table
+from quillon.session import materialize, table
 
 # SQL of the full-text scores of tables of terms, in whole millionths.
 IMPACTS = """tokens AS (SELECT doc_id AS id, lang AS subject, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents),
@@ -165,3 +165,25 @@ def query_analysis_table(spark, sf):
     synonyms = sets.select("term", F.to_json(F.struct("english", "aliases")).alias("synonyms"))
     more = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
     return query_analysis.analyse(own.unionByName(named), concepts, synonyms, d, more)
+
+
+# Two rounds: the four weightiest words first; rows go on to twelve words if what they found is weak.
+
+@query(f"""WITH {IMPACTS}, {WEIGHTED},
+    a AS (SELECT qid, i.id, CAST(sum(impact) AS BIGINT) AS final_score FROM wt JOIN imp i ON i.term = wt.term AND i.id <> qid WHERE place <= 4 GROUP BY ALL),
+    r1 AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, id) <= 10),
+    t AS (SELECT qid, max(final_score) AS most, count(*) FILTER (final_score >= 9000000) AS good FROM (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, id) <= 3) GROUP BY qid),
+    todo AS (SELECT DISTINCT qid FROM wt WHERE qid NOT IN (SELECT qid FROM t WHERE most >= 14000000 OR good >= 2)),
+    b AS (SELECT qid, i.id, CAST(sum(impact) AS BIGINT) AS final_score FROM wt JOIN todo USING (qid) JOIN imp i ON i.term = wt.term AND i.id <> qid WHERE place <= 12 GROUP BY ALL),
+    r2 AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, id) <= 10)
+    SELECT qid, id, max(final_score) AS final_score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY qid, id""")
+def two_round_retrieval(spark, sf):
+    index = _index(spark, sf)
+    terms = materialize(ranked.weighted_terms(index, docs(spark, sf).filter("id % 50 = 0"), 12), "weighted-terms")
+
+    def found(asked):
+        return ranked.top_k(index, asked, 10, F.col("id") != F.col("qid")).select("qid", "id", F.col("score").alias("final_score"))
+
+    queries = terms.select("qid").distinct()
+    second = lambda left: found(terms.join(left, "qid", "left_semi"))
+    return linking.two_rounds_of_many(queries, found(terms.filter("place <= 4")), second, 14_000_000, 9_000_000)
