@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators import entries, outline, page_map, verify
+from quillon.operators import entries, occurrences, outline, page_map, verify
 from quillon.operators.verify import Rule
 from quillon.plans.catalogue import docs, query
 from quillon.session import table
@@ -111,3 +111,18 @@ def entry_texts(spark, sf):
     head = F.regexp_extract(F.coalesce("text", F.lit("")), r"(\p{L}+)", 1)
     targets = pages.filter("page % 5 = 1").select(F.col("doc_id").alias("entry"), "book", head.alias("head"), F.col("page").alias("first"), (F.col("page") + 2).alias("last")).filter("head <> ''")
     return entries.extract(targets, pages.select("book", "page", "text"), LATIN_ENTRIES)
+
+
+# Nested occurrences: lines, sentences and clauses of documents as questions, options and items; long words as terms.
+
+CLAUSES = occurrences.Marks(question=r"(?m)^", option=r"\A|(?<=\.)", item=r"\A|(?<=,)", term=r"[^\W\d_]{10,}")
+
+
+@query("""WITH q AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS question_no FROM documents),
+    o AS (SELECT id, question_no, unnest(string_split(s, '.')) AS s, generate_subscripts(string_split(s, '.'), 1) AS option_no FROM q),
+    i AS (SELECT id, question_no, option_no, unnest(string_split(s, ',')) AS s, generate_subscripts(string_split(s, ','), 1) AS item_no FROM o),
+    t AS (SELECT id, question_no, option_no, item_no, regexp_extract_all(s, '\\p{L}{10,}') AS ts FROM i)
+    SELECT id, CAST(question_no AS INTEGER) AS question_no, CAST(option_no AS INTEGER) AS option_no, CAST(item_no AS INTEGER) AS item_no, CAST(unnest(range(1, len(ts) + 1)) AS INTEGER) AS term_no, unnest(ts) AS term FROM t WHERE len(ts) > 0""")
+def nested_occurrences(spark, sf):
+    found = occurrences.occurrences(docs(spark, sf).select("id", "text"), CLAUSES)
+    return found.select("id", "question_no", "option_no", "item_no", "term_no", "term")

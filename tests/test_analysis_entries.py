@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import entries, outline, page_map, query_analysis, ranked, verify
+from quillon.operators import entries, occurrences, outline, page_map, query_analysis, ranked, verify
 from quillon.operators.verify import Rule
 
 
@@ -129,3 +129,18 @@ def test_page_urls(spark):
     rows = spark.createDataFrame([(1, 3), (5, None), (0, 4), (None, 2), (4, 2), (1, 99)], "a int, b int")
     got = [r[0] for r in rows.select(page_map.page_urls(F.lit("x"), F.col("a"), F.col("b"))).collect()]
     assert [len(x) for x in got] == [3, 1, 0, 0, 1, 12] and got[1] == ["x/p5.webp"]
+
+
+def test_occurrences_have_their_whole_path(spark):
+    paper = "卷首 **导言**\n1. 解释加点词\nA. **而**（连词）；<u>何</u>：什么；无\nB. 无\n2、又一题 **之**(代词)\nA．①**其**②**乎**：语气\n3.5 不是题 **若**\n"
+    docs = spark.createDataFrame([(1, paper, "x"), (2, None, "y"), (3, "无", "z")], "id long, text string, term_source string")
+    found = occurrences.occurrences(docs)
+    got = sorted((r["question_no"], r["question"], r["option"], r["item_no"], r["term_no"], r["term"], r["gloss"]) for r in found.collect())
+    assert got == [
+        (0, "", "", 0, 1, "导言", None), (1, "1", "A", 0, 1, "而", "连词"), (1, "1", "A", 1, 1, "何", "什么"), (2, "2", "", 0, 1, "之", "代词"),
+        (2, "2", "A", 0, 1, "其", None), (2, "2", "A", 0, 2, "乎", "语气"), (2, "2", "A", 0, 3, "若", None),
+    ]
+    assert all(r["term"] in paper[r["start"] : r["stop"]] for r in found.collect())
+    assert [(r["term"], r["pair_index"], r["gloss"]) for r in occurrences.translations(found).orderBy("pair_index").collect()] == [
+        ("而", 0, "连词"), ("何", 1, "什么"), ("之", 2, "代词"), ("乎", 3, "语气"),
+    ]
