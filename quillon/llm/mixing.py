@@ -40,8 +40,6 @@ from quillon.session import bounded_batches, materialize, unused
 
 #: Axes of a profile, units in its length, and leading axes that topics are octants of.
 PROFILE, UNIT, AXES = 32, 1000, 3
-#: Words whose hashes a task remembers.
-KNOWN_WORDS = 200_000
 #: Powers of the default targets.
 SOURCE_POWER, LANGUAGE_POWER, TOPIC_POWER = 0.7, 0.7, 0.5
 #: Share of all tokens that a sample is to have.
@@ -55,30 +53,26 @@ DRIVER_CELLS = 50_000
 MARGINS = ("source", "lang", "topic")
 
 
-class _Codes(dict):
-    """Hashes of words of more than five characters; -1 for the others."""
-
-    def __missing__(self, word: str) -> int:
-        code = self[word] = xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) if len(word) > 5 else -1
-        return code
+def _codes(text: str) -> tuple[int, list[int]]:
+    """Number of words of a text, and hashes of those of more than five characters in lower case."""
+    words, low = text.split(), text.lower().encode("utf-8", "surrogatepass").split()
+    if len(low) != len(words):  # white space beyond ASCII
+        low = [w.lower().encode("utf-8", "surrogatepass") for w in words]
+    digest = xxhash.xxh32_intdigest
+    return len(words), [digest(x) for w, x in zip(words, low, strict=True) if len(w) > 5]
 
 
 def _profiles(texts: pd.Series) -> Iterator[tuple[int, np.ndarray | None]]:
     """Number of tokens and profile (integers) of each text; no profile without a long word."""
-    known = _Codes()
     for text in texts:
-        words = (text or "").split()
-        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        codes = codes[codes >= 0]
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        if not len(codes):
-            yield len(words), None
+        n, codes = _codes(text or "")
+        if not codes:
+            yield n, None
             continue
-        bits = np.unpackbits(codes.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1)
+        bits = np.unpackbits(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4), axis=1)
         v = 2.0 * bits.sum(0, dtype=np.int64) - len(codes)
         norm = float(np.linalg.norm(v))
-        yield len(words), np.rint(v * (UNIT / norm)).astype(np.int64) if norm else np.zeros(PROFILE, np.int64)
+        yield n, np.rint(v * (UNIT / norm)).astype(np.int64) if norm else np.zeros(PROFILE, np.int64)
 
 
 def _counts(texts: pd.Series) -> pd.DataFrame:
