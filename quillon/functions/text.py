@@ -225,6 +225,20 @@ def english_tokens(text: Column, stopwords: list[str], acronyms: list[str] = ())
     return F.filter(F.transform(bare, F.lower), lambda w: F.length(w).between(3, 32) & ~w.isin(stopwords))
 
 
+def english_forms(text: Column, stopwords: list[str], acronyms: list[str] = ()) -> Column:
+    """Valid English words of cleaned lines in order, each as a struct of token and surface; the rules of english_tokens()."""
+    found = F.regexp_extract_all(english_lines(text), F.lit(ENGLISH_WORD), F.lit(0))
+    known = list(acronyms)
+
+    def form(w: Column) -> Column:
+        bare = F.regexp_replace(w, r"(?i)'s$", "")
+        token = F.when(F.upper(bare).isin(known), F.upper(bare)).otherwise(F.lower(bare)) if known else F.lower(bare)
+        return F.struct(token.alias("token"), bare.alias("surface"))
+
+    valid = lambda t: F.length(t).between(3, 32) & ~F.lower(t).isin(stopwords)
+    return F.filter(F.transform(found, form), lambda f: (f["token"].isin(known) | valid(f["token"])) if known else valid(f["token"]))
+
+
 def reference_page(text: Column) -> Column:
     """title and page of references such as '《title》第12页' or 'title p. 12'; nulls where there is none."""
     title = F.coalesce(F.nullif(F.regexp_extract(text, "《([^》]+)》", 1), F.lit("")), F.nullif(F.trim(F.regexp_extract(text, r"^(.*?)\s*(?:第|[Pp]{1,2}\.?)\s*\d+", 1)), F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.session import materialize
 
 
 def corpus_stats(docs: DataFrame, exam: Column) -> DataFrame:
@@ -121,6 +122,29 @@ def surface_modes(docs: DataFrame) -> DataFrame:
     )
 
 
+def english_postings(docs: DataFrame, stopwords: list[str], acronyms: list[str] = ()) -> DataFrame:
+    """id, token, surface (as it is written) and n of the valid English words of each text; written once for all statistics."""
+    tokens = docs.select("id", F.explode(tx.english_forms(F.col("text"), stopwords, acronyms)).alias("w")).select("id", "w.token", "w.surface")
+    return materialize(tokens.groupBy("id", "token", "surface").agg(F.count(F.lit(1)).alias("n")), "english-postings")
+
+
+def english_statistics(posts: DataFrame) -> DataFrame:
+    """token, total, docs and display (the most frequent form; ties as in surface_modes) of English postings."""
+    forms = posts.groupBy("token", "surface").agg(F.sum("n").alias("n"))
+    upper = F.col("surface").rlike("[A-Z]").cast("int")
+    shown = forms.groupBy("token").agg(F.sum("n").alias("total"), F.max_by("surface", F.struct("n", upper, F.length("surface"), "surface")).alias("display"))
+    docs = posts.select("token", "id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
+    return shown.join(docs, "token")
+
+
+def english_pairs(posts: DataFrame, statistics: DataFrame, k: int = 100, least: int = 2) -> DataFrame:
+    """a, b and docs: how many texts hold both of two of the k most frequent tokens; k bounds the pairs of a text."""
+    top = statistics.orderBy(F.desc("total"), "token").limit(k).select("token")
+    held = posts.join(F.broadcast(top), "token").groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("ts"))
+    pairs = F.flatten(F.transform("ts", lambda a, i: F.transform(F.slice("ts", i + 2, F.lit(k)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least)
+
+
 def pattern_counts(rows: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
     """For each label how many rows match its pattern; one pass."""
     sums = rows.agg(*[F.count_if(F.col(text).rlike(p)).alias(f"c{i}") for i, p in enumerate(patterns.values())])

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.session import materialize
 
 K1, B = 1.2, 0.75
+#: A-Z in lower case, as ascii_fold() does it.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def equality_filters(df: DataFrame, **wanted: object) -> DataFrame:
@@ -33,8 +36,8 @@ def not_exam(source: Column) -> Column:
 
 
 def substring_search(docs: DataFrame, term: str, limit: int | None = None) -> DataFrame:
-    """Rows whose text holds the term: hits, snippet; best first."""
-    out = docs.filter(F.col("text").contains(term)).select(
+    """Rows whose text holds the term, A-Z in either case: hits as written, snippet; best first."""
+    out = docs.filter(tx.has_term(F.col("text"), term)).select(
         "id", "subject", "book_key",
         tx.occurrences(F.col("text"), term).alias("hits"),
         tx.window_snippet(F.col("text"), term).alias("snippet"),
@@ -49,11 +52,6 @@ def postings(docs: DataFrame) -> DataFrame:
     )
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    """id and the number of words."""
-    return docs.select("id", F.size(tx.words(F.col("text"))).cast("long").alias("dl"))
-
-
 def _count_of(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda w: w == term)).cast("long")
 
@@ -61,14 +59,15 @@ def _count_of(tokens: Column, term: str) -> Column:
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """id and score (lower is better) of rows with any of the terms.
 
-    Only rows that hold a term are tokenised into postings; corpus size and mean length come from
-    one aggregation over all rows.
+    Texts are cut into words once: the length of each row and its counts of the terms are written to the
+    shared scratch folder, and corpus statistics and scores come from there.
     """
     lengths = docs.select("id", tx.words(F.col("text")).alias("ws")).select(
         "id",
         F.size("ws").cast("long").alias("dl"),
         F.array(*[_count_of(F.col("ws"), t) for t in terms]).alias("tfs"),
     )
+    lengths = materialize(lengths, "term-counts")
     stats = lengths.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"),
         *[F.count_if(F.col("tfs")[i] > 0).alias(f"df{i}") for i in range(len(terms))],
@@ -109,14 +108,14 @@ def any_term(posts: DataFrame, terms: list[str]) -> DataFrame:
 
 def facet_counts(docs: DataFrame, term: str, word: str) -> DataFrame:
     """Rows per subject that hold a substring or a word, each counted once."""
-    like = docs.filter(F.col("text").contains(term)).select("id", "subject")
+    like = docs.filter(tx.has_term(F.col("text"), term)).select("id", "subject")
     match = docs.filter(F.array_contains(tx.words(F.col("text")), word)).select("id", "subject")
     return like.union(match).distinct().groupBy("subject").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def capped_hits(docs: DataFrame, terms: list[str], cap: int) -> DataFrame:
-    """For each term the number of rows that hold it, but cap at most; one scan for all terms."""
-    sums = docs.agg(*[F.count_if(F.col("text").contains(t)).alias(f"c{i}") for i, t in enumerate(terms)])
+    """For each term the number of rows that hold it (A-Z in either case), but cap at most; one scan for all terms."""
+    sums = docs.select(tx.ascii_fold(F.col("text")).alias("folded")).agg(*[F.count_if(F.contains("folded", F.lit(t.translate(_LOWER)))).alias(f"c{i}") for i, t in enumerate(terms)])
     rows = F.array(*[F.struct(F.lit(t).alias("term"), F.least(F.col(f"c{i}"), F.lit(cap).cast("long")).alias("hits")) for i, t in enumerate(terms)])
     return sums.select(F.explode(rows).alias("r")).select("r.term", "r.hits")
 
@@ -173,9 +172,3 @@ def suppress_nested(matches: DataFrame) -> DataFrame:
         (matches["id"] == longer["id"]) & (F.col("outer") != F.col("concept")) & F.col("outer").contains(F.col("concept")),
         "left_anti",
     )
-
-
-def dense_after_filter(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """First row of each key in a given order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

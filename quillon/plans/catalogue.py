@@ -22,6 +22,7 @@ TERM, TERMS = "tion", ["the", "tion", "reanti", "heit", "eaux"]
 WORDS = ["the", "that", "und", "les"]
 
 # Common parts of the SQL.
+FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 DOCS = "docs AS (SELECT doc_id AS id, lang AS subject, source AS book_key, n_chars, text FROM documents)"
 TOKENS = "tokens AS (SELECT doc_id AS id, lang AS subject, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents)"
 POSTS = f"{TOKENS}, posts AS (SELECT term, id, count(*) AS tf FROM tokens GROUP BY ALL)"
@@ -75,18 +76,18 @@ CLUSTERS = "clusters AS (SELECT p_brand AS cluster, p_type AS concept, CAST(p_si
 
 @query(f"""WITH {DOCS} SELECT id, subject, book_key, (length(text) - length(replace(text, '{TERM}', ''))) // 4 AS hits,
     replace(substr(text, greatest(1, instr(text, '{TERM}') - 30), 160), '{TERM}', '<mark>{TERM}</mark>') AS snippet
-    FROM docs WHERE contains(text, '{TERM}') ORDER BY hits DESC, id LIMIT 20""")
+    FROM docs WHERE contains({FOLDED}, '{TERM}') ORDER BY hits DESC, id LIMIT 20""")
 def lexical_search(spark, sf):
     return lexical.substring_search(docs(spark, sf), TERM, 20)
 
 
-@query(f"""WITH {DOCS}, {TOKENS}, hits AS (SELECT id, subject FROM docs WHERE contains(text, '{TERM}')
+@query(f"""WITH {DOCS}, {TOKENS}, hits AS (SELECT id, subject FROM docs WHERE contains({FOLDED}, '{TERM}')
     UNION SELECT id, subject FROM tokens WHERE term = 'the') SELECT subject, count(*) AS cnt FROM hits GROUP BY subject""")
 def facet_counts_union(spark, sf):
     return lexical.facet_counts(docs(spark, sf), TERM, "the")
 
 
-@query("SELECT term, CAST(least((SELECT count(*) FROM documents WHERE contains(text, term)), 100) AS BIGINT) AS hits FROM (VALUES "
+@query(f"SELECT term, CAST(least((SELECT count(*) FROM documents WHERE contains({FOLDED}, term)), 100) AS BIGINT) AS hits FROM (VALUES "
        + ", ".join(f"('{t}')" for t in TERMS) + ") t(term)")
 def capped_hit_counts(spark, sf):
     return lexical.capped_hits(docs(spark, sf), TERMS, 100)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
-from quillon.operators import dictionary, etl, exams, fusion, graph, integrity, lexical, linking, search, selection, vector
+from quillon.operators import analytics, dictionary, etl, exams, fusion, graph, integrity, lexical, linking, search, selection, vector
 from quillon.plans import query_plan
 from quillon.plans.catalogue import CLUSTERS, DOCS, ORACLES, POSTS, _first_vector, clusters, docs, query
 from quillon.session import table
@@ -573,3 +573,27 @@ def guardrail(spark, sf):
     source = F.when(F.col("book_key") == "src1", "supplemental").otherwise("primary")
     strong = F.when(F.col("text").contains("!"), 20.0).otherwise(0.0)
     return docs(spark, sf).filter(linking.passes_guardrails(source, F.lit("concept"), flat, F.lit("thenat"), term, F.lit("sentence"), strong)).select("id")
+
+
+_ENGLISH = r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(regexp_replace(text, '\$[^$\n]{0,160}\$|\\[A-Za-z]+', ' ', 'g'), chr(10))) AS line FROM documents),
+    u AS (SELECT id, unnest(regexp_extract_all(line, '[A-Za-z]+(?:[-''][A-Za-z]+)*')) AS w FROM l), s AS (SELECT id, regexp_replace(w, '(?i)''s$', '') AS surface FROM u),
+    t AS (SELECT id, surface, CASE WHEN upper(surface) IN ('THE', 'ING') THEN upper(surface) ELSE lower(surface) END AS token FROM s),
+    p AS (SELECT id, token, surface, count(*) AS n FROM t WHERE token IN ('THE', 'ING') OR (length(token) BETWEEN 3 AND 32 AND lower(token) NOT IN ('the', 'and', 'that', 'with', 'for')) GROUP BY ALL),
+    f AS (SELECT token, surface, sum(n) AS n FROM p GROUP BY ALL),
+    g AS (SELECT token, CAST(sum(n) AS BIGINT) AS total, arg_max(surface, (n, CAST(regexp_matches(surface, '[A-Z]') AS INTEGER), length(surface), surface)) AS display FROM f GROUP BY token)"""
+
+
+def _english(spark, sf):
+    return analytics.english_postings(docs(spark, sf), STOPWORDS, ["THE", "ING"])
+
+
+@query(_ENGLISH + " SELECT token, total, display, docs FROM g JOIN (SELECT token, count(DISTINCT id) AS docs FROM p GROUP BY token) USING (token)")
+def english_word_statistics(spark, sf):
+    return analytics.english_statistics(_english(spark, sf))
+
+
+@query(_ENGLISH + """, k AS (SELECT token FROM g ORDER BY total DESC, token LIMIT 100), h AS (SELECT DISTINCT id, token FROM p JOIN k USING (token))
+    SELECT a.token AS a, b.token AS b, count(*) AS docs FROM h a JOIN h b ON a.id = b.id AND a.token < b.token GROUP BY ALL HAVING count(*) >= 2""")
+def english_word_pairs(spark, sf):
+    posts = _english(spark, sf)
+    return analytics.english_pairs(posts, analytics.english_statistics(posts))
