@@ -50,24 +50,25 @@ def coverage(terms: DataFrame, left: str, right: str, k: int) -> DataFrame:
 
 
 def heatmap(concepts: DataFrame) -> DataFrame:
-    """For each pair of subjects how many concepts they share; zero-filled, the diagonal is the own count."""
-    own = concepts.select("concept", "subject").distinct()
-    a, b = own.withColumnRenamed("subject", "s1"), own.withColumnRenamed("subject", "s2")
-    shared = a.join(b, "concept").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("shared"))
-    # The grid is subjects times subjects: a dimension, not rows of the corpus.
-    s = own.select("subject").distinct()
-    grid = s.select(F.col("subject").alias("s1")).crossJoin(s.select(F.col("subject").alias("s2")))
+    """For each pair of subjects how many concepts they share; zero-filled, the diagonal is the own count.
+
+    A concept's subjects meet in one row and are paired there; subjects are few.
+    """
+    held = concepts.groupBy("concept").agg(F.collect_set("subject").alias("subjects"))
+    pairs = F.flatten(F.transform("subjects", lambda a: F.transform("subjects", lambda b: F.struct(a.alias("s1"), b.alias("s2")))))
+    shared = materialize(held.select(F.explode(pairs).alias("p")).groupBy("p.s1", "p.s2").agg(F.count(F.lit(1)).alias("shared")), "shared-concepts")
+    # The grid is subjects times subjects: a dimension, not rows of the corpus. Each is paired with itself.
+    s = shared.filter("s1 = s2")
+    grid = s.select("s1").crossJoin(s.select("s2"))
     return grid.join(shared, ["s1", "s2"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)).cast("long"))
 
 
 def cross_links(concepts: DataFrame, least: int = 2) -> DataFrame:
-    """Pairs of subjects and the weight of the concepts that link them (the smaller count of each)."""
-    wide = concepts.join(breadth(concepts, least).select("concept"), "concept", "left_semi")
-    a = wide.select("concept", F.col("subject").alias("s1"), F.col("cnt").alias("c1"))
-    b = wide.select("concept", F.col("subject").alias("s2"), F.col("cnt").alias("c2"))
-    return a.join(b, "concept").filter("s1 < s2").groupBy("s1", "s2").agg(
-        F.sum(F.least("c1", "c2")).alias("weight"), F.count(F.lit(1)).alias("n_concepts")
-    )
+    """Pairs of subjects and the weight of the concepts that link them (the smaller count of each); concepts have a row for each subject."""
+    held = concepts.groupBy("concept").agg(F.array_sort(F.collect_list(F.struct("subject", "cnt"))).alias("own")).filter(F.size("own") >= least)
+    rest = lambda i: F.slice("own", i + 2, F.size("own"))
+    pairs = F.flatten(F.transform("own", lambda a, i: F.transform(rest(i), lambda b: F.struct(a["subject"].alias("s1"), b["subject"].alias("s2"), F.least(a["cnt"], b["cnt"]).alias("both")))))
+    return held.select(F.explode(pairs).alias("p")).groupBy("p.s1", "p.s2").agg(F.sum("p.both").alias("weight"), F.count(F.lit(1)).alias("n_concepts"))
 
 
 def doc_frequency(docs: DataFrame) -> DataFrame:

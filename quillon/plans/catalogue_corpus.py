@@ -8,7 +8,7 @@ from quillon.functions import text as tx
 from quillon.operators import analytics, dictionary, etl, exams, fusion, graph, integrity, lexical, linking, search, selection, vector
 from quillon.plans import query_plan
 from quillon.plans.catalogue import CLUSTERS, DOCS, ORACLES, POSTS, _first_vector, clusters, docs, query
-from quillon.session import table
+from quillon.session import materialize, table
 
 # Common parts of the SQL.
 SUBJECT_POSTS = """tokens AS (SELECT doc_id AS id, lang AS subject, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS term FROM documents),
@@ -422,8 +422,9 @@ def comention_sql(center: str, name: str) -> str:
 
 
 def _subject_posts(spark, sf):
-    d = docs(spark, sf)
-    return d.select("id", "subject", F.explode(tx.words(F.col("text"))).alias("term")).groupBy("term", "id", "subject").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings, written once and dealt out by term: every use below reads them again."""
+    words = docs(spark, sf).select("id", "subject", F.explode(tx.words(F.col("text"))).alias("term"))
+    return materialize(words.groupBy("term", "id", "subject").agg(F.count(F.lit(1)).alias("tf")), "postings")
 
 
 @query(f"WITH {SUBJECT_POSTS}, {comention_sql('de', 'm')} SELECT term, local_hits, local_subjects, subject_count, total_count, overlap, shared, score FROM m")
