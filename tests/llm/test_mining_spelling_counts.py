@@ -181,7 +181,8 @@ def test_count_tokens_of_odd_rows(spark, library):
     got = sorted(map(tuple, token_counts.count_tokens(docs).collect()), key=str)
     n = len(library.encode("the cat " * 4000))
     assert n > 4096
-    assert got == sorted([(1, 32000, n, True), (1, 7, 2, False), (None, 2, 2, False), (2, 0, 0, False), (3, 0, 0, False)], key=str)
+    short, accent = len(library.encode("the cat")), len(library.encode("é"))
+    assert got == sorted([(1, 32000, n, True), (1, 7, short, False), (None, 2, accent, False), (2, 0, 0, False), (3, 0, 0, False)], key=str)
     assert token_counts.count_tokens(docs.limit(0)).collect() == []
 
 
