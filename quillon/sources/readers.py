@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,18 +45,43 @@ def json_document(spark: SparkSession, path: str, schema: StructType | str | Non
 
 def ocr_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Text blocks (path, page, pos, text) of all *_content_list.json below a folder, tests excluded."""
-    rows = (
-        spark.read.schema("type string, text string, page_idx int").option("multiLine", True)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json").json(folder)
-        .select("*", F.col("_metadata.file_path").alias("path"))
+    files = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json")
+        .text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    # All blocks of a file are read by one task in order, so the running number is their place.
-    placed = rows.withColumn("pos", F.monotonically_increasing_id())
+    # The place of a block is its index in the file's list.
+    blocks = F.from_json("value", "array<struct<type:string,text:string,page_idx:int>>")
+    placed = files.select("path", F.posexplode(blocks).alias("pos", "b")).select("path", F.col("pos").cast("long").alias("pos"), "b.*")
     return placed.filter(
         (F.col("type") == "text") & (F.col("page_idx") >= 0) & (F.length(F.trim("text")) >= 2) & ~F.col("path").rlike("/test[_/]")
     ).select("path", F.col("page_idx").alias("page"), "pos", "text")
 
 
+def json_lines_with_rejects(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, and the lines that are no JSON of the schema: path, line (text) and how often it occurs.
+
+    Plain and gzip files are read alike. Empty lines are neither.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).filter("line <> ''")
+    parsed = lines.withColumn("row", F.from_json("line", f"{schema}, _rejected string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"}))
+    bad = F.col("row").isNull() | F.col("row._rejected").isNotNull()
+    good = parsed.filter(~bad).select("row.*").drop("_rejected")
+    return good, parsed.filter(bad).groupBy("path", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_readable(spark: SparkSession, sources: list[tuple[str, Callable[[SparkSession, str], DataFrame]]]) -> DataFrame:
+    """The rows of the first of several sources (path, reader) that exists and has a row, whatever its format."""
+    for path, read in sources:
+        try:
+            rows = read(spark, path)
+            if not rows.isEmpty():
+                return rows
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    raise FileNotFoundError(f"none of {[path for path, _ in sources]} has rows")
+
+
 def delimited(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """Delimited text with a header, all columns as strings."""
     return spark.read.option("sep", separator).option("header", True).csv(path)
@@ -72,8 +98,9 @@ def key_values(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.coalesce(parsed, F.col("value")).alias("value"))
 
 
-def spreadsheet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """path, row number and cells (strings) of the first sheet of XLSX files, also inside ZIP archives."""
+def spreadsheet_rows(spark: SparkSession, path: str, sheet_name: str | None = None) -> DataFrame:
+    """path, row number and cells (strings) of a sheet of XLSX files (the first one unless named), also inside ZIP archives."""
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
     space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
     def column(ref: str) -> int:
@@ -82,6 +109,21 @@ def spreadsheet_rows(spark: SparkSession, path: str) -> DataFrame:
             n = 26 * n + ord(ch) - 64
         return n - 1
 
+    def sheet_of(book: zipfile.ZipFile) -> str:
+        """The part of the wanted sheet, or of the first one in the workbook's order; by number where the workbook names none."""
+        names = book.namelist()
+        if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+            targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+            sheets = [(x.get("name"), x.get(link)) for x in ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind(".//m:sheet", space)]
+            for name, ref in sheets:
+                target = targets.get(ref, "").removeprefix("/xl/").removeprefix("/")
+                if sheet_name in (None, name) and f"xl/{target}" in names:
+                    return f"xl/{target}"
+        if sheet_name is not None:
+            raise ValueError(f"no sheet is named {sheet_name}")
+        numbered = [x for x in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)]
+        return min(numbered, key=lambda x: int(re.search(r"\d+", x)[0]))
+
     def rows_of(data: bytes) -> Iterator[tuple[int, list[str]]]:
         book = zipfile.ZipFile(io.BytesIO(data))
         inner = [x for x in book.infolist() if x.filename.endswith(".xlsx")]
@@ -91,7 +133,7 @@ def spreadsheet_rows(spark: SparkSession, path: str) -> DataFrame:
         if "xl/sharedStrings.xml" in book.namelist():
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", space)) for si in root.iterfind("m:si", space)]
-        sheet = min(x for x in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x))
+        sheet = sheet_of(book)
         for i, row in enumerate(ElementTree.fromstring(book.read(sheet)).iterfind(".//m:row", space)):
             cells: list[str] = []
             for c in row.iterfind("m:c", space):
