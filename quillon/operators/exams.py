@@ -94,6 +94,7 @@ def sentence_score(
     sentence: Column, headword: str, hints: list[str], letter: str = CJK, classical: list[str] = CLASSICAL, modern: str = MODERN
 ) -> Column:
     """How well a sentence shows a headword: letters, length, classical and modern wording, and the headword's place."""
+    # All bounds and weights of this sum.
     n = F.regexp_count(sentence, F.lit(letter))
     flat = F.regexp_replace(sentence, r"\s+", "")
     points = lambda condition, w: F.when(condition, w).otherwise(0)
