@@ -19,7 +19,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies stays.
+
+    SimHash groups are held against the real 5-word shingles (similarity 0.8 or more); near copies whose
+    fingerprints differ by more than three bits are found by MinHash bands.
+    """
     return near_copies.keep_one(docs)
 
 

@@ -1,19 +1,25 @@
-"""Near copies by shingle similarity: candidates from MinHash bands, links from the real Jaccard value.
+"""Near copies by SimHash and shingle similarity: links from the real Jaccard value.
 
 Two texts are near copies when their sets of SHINGLE_WORDS-word shingles have a Jaccard similarity of
-at least SIMILARITY. Each distinct text gets BANDS keys of BAND_ROWS minima each; texts that share a
-key are candidates. A pair at similarity 0.8 shares no key with a probability of (1 - 0.8**5)**24,
-about seven in a hundred thousand. No link is taken from the keys alone.
-
-1. Texts that share a key with another one are found from the keys.
-2. These are read once more: their shingle sets are dealt out by key, and the task of a key compares
-   the sets by an inverted index. It emits the links of a spanning forest, so n texts under a key give
-   at most n - 1 rows, and no pairs are listed. A key with more than KEY_ROWS texts or KEY_BYTES of
-   shingles is cut into b blocks; its sets go to every pair of blocks, b times each, so that no task
+at least SIMILARITY. Candidates are the groups of ``simhash.near_duplicates`` (fingerprints that links of
+at most three bits connect) and, for near copies further apart, MinHash bands: each distinct text gets
+BANDS keys of BAND_ROWS minima each, and texts that share a key are candidates. A pair at similarity 0.8
+shares no key with a probability of (1 - 0.8**5)**24, about seven in a hundred thousand. No link is taken
+from fingerprints or keys alone.
+
+1. Distinct texts get their fingerprint and keys; the operator groups the fingerprints.
+2. The texts of a group are read once more: their shingle sets are dealt out by group, and the task of a
+   group compares the sets by an inverted index. It emits the links of a spanning forest, so n texts give
+   at most n - 1 rows, and no pairs are listed. A group with more than KEY_ROWS texts or KEY_BYTES of
+   shingles is cut into chunks, each with the text that names the group. What chunks leave apart, and
+   texts of one group that are not alike, is left to the keys.
+3. Keys whose texts the links have connected already are done with. The texts under the other shared keys
+   are dealt out by key and compared in the same manner. A key with more than KEY_ROWS texts or KEY_BYTES
+   of shingles is cut into b blocks; its sets go to every pair of blocks, b times each, so that no task
    holds more than two blocks and no pair is left out. A block by itself gives the links of its forest,
    and two blocks only links between parts that their own forests leave apart: where all texts are near
    copies these are n - b and b (b - 1) / 2 rows.
-3. Components come from repeated large-star and small-star steps, as in ``simhash``.
+4. Components come from repeated large-star and small-star steps, as in ``simhash``.
 
 Edge cases: a null text counts as empty; texts without words are near copies of each other; with fewer
 than five words the whole sequence is the one shingle. Letters are lowered in ASCII only, as in
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.simhash import components
+from quillon.llm import simhash
 from quillon.session import bounded_batches, materialize, unused
 
 #: Words in a shingle, and the least Jaccard similarity of near copies.
@@ -139,17 +145,18 @@ def _digest() -> Column:
 
 
 def _band_keys(docs: DataFrame) -> DataFrame:
-    """node (the smallest doc_id of a distinct text), its digest and its keys."""
+    """node (the smallest doc_id of a distinct text), its digest, keys, fingerprint and number of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = [shingles(x) for x in b["text"]]
-            yield b[["doc_id", "digest"]].assign(keys=[band_keys(x) for x in own], size=[len(x) for x in own])
+            fps = np.array([simhash.fingerprint(x) for x in b["text"]], np.uint64).astype(np.int64)
+            yield b[["doc_id", "digest"]].assign(keys=[band_keys(x) for x in own], size=[len(x) for x in own], fp=fps)
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), "text").filter("doc_id is not null")
-    found = rows.mapInPandas(run, "doc_id long, digest binary, keys array<long>, size long")
-    return found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    found = rows.mapInPandas(run, "doc_id long, digest binary, keys array<long>, size long, fp long")
+    return found.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("keys", "size", "fp")))
 
 
 def _compared(dealt: DataFrame) -> DataFrame:
@@ -176,12 +183,12 @@ def _compared(dealt: DataFrame) -> DataFrame:
     return placed.mapInPandas(run, "a long, b long")
 
 
-def links(docs: DataFrame, keys: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
-    """Verified links (a, b) of nodes; keys: node, digest and keys of the distinct texts of docs."""
-    each = keys.select("node", "size", F.explode("keys").alias("key"))
-    sizes = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("size")).alias("bytes")).filter("n > 1"), "shared-keys")
-    # The keys of a text under which it meets others, and the number of blocks of each.
-    met = each.join(sizes.hint("merge"), "key").withColumn("blocks", F.ceil(F.greatest(F.col("n") / key_rows, F.col("bytes") / KEY_BYTES)).cast("int"))
+def _verified(docs: DataFrame, keys: DataFrame, met: DataFrame, places: str, label: str) -> DataFrame:
+    """Verified links (a, b) of the nodes under each key.
+
+    met: node, key, blocks (of the key); places: SQL for the pairs of blocks (x, y) that get the node's set,
+    by node, key, blocks and mine (the node's own block).
+    """
     wanted = materialize(met.groupBy("node").agg(F.collect_list(F.struct("key", "blocks")).alias("met")), "near-nodes")
     wanted = wanted.join(keys.select("node", "digest").hint("merge"), "node")
     if wanted.count() <= BROADCAST_ROWS:
@@ -197,15 +204,50 @@ def links(docs: DataFrame, keys: DataFrame, key_rows: int = KEY_ROWS) -> DataFra
     sets = rows.mapInPandas(cut, "node long, met array<struct<key:long,blocks:int>>, own binary")
     dealt = sets.select("node", "own", F.explode("met").alias("m")).select("node", "own", "m.*")
     mine = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("node", "key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "own")
-    return materialize(_compared(dealt), "near-links")
+    dealt = dealt.withColumn("mine", mine).withColumn("at", F.explode(F.expr(places)))
+    return materialize(_compared(dealt.select("node", "key", "at.x", "at.y", "mine", "own")), label)
+
+
+def _blocks(key_rows: int) -> Column:
+    """The number of blocks of a key with n texts and so many bytes of shingles."""
+    return F.ceil(F.greatest(F.col("n") / key_rows, F.col("bytes") / KEY_BYTES, F.lit(1))).cast("int").alias("blocks")
+
+
+def _totals() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), (8 * F.sum("size")).alias("bytes")]
+
+
+def simhash_links(docs: DataFrame, keys: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Verified links (a, b) of nodes whose fingerprints are in one group; keys as for ``links``."""
+    found = simhash.near_duplicates(keys.select(F.col("node").alias("doc_id"), "fp"), prints=lambda rows: rows)
+    groups = found.select(F.col("doc_id").alias("node"), F.col("component_id").alias("key")).distinct()
+    groups = materialize(groups.join(keys.groupBy("node").agg(F.sum("size").alias("size")).hint("merge"), "node"), "simhash-groups")
+    large = groups.groupBy("key").agg(*_totals()).filter("n > 1").select("key", _blocks(key_rows))
+    met = groups.join(large.hint("merge"), "key").select("node", "key", "blocks")
+    # The text that names the group goes to all its chunks, any other one to its own.
+    places = "transform(if(node = key, sequence(0, blocks - 1), array(mine)), i -> named_struct('x', i, 'y', i))"
+    return _verified(docs, keys, met, places, "simhash-links")
+
+
+def links(docs: DataFrame, keys: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Verified links (a, b) of nodes; keys: node, digest, keys, size and fp of the distinct texts of docs."""
+    first = simhash_links(docs, keys, key_rows)
+    joined = materialize(simhash.components(first), "simhash-joined")
+    each = keys.select("node", "size", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").count().filter("count > 1").select("key")
+    met = each.join(materialize(shared, "shared-keys").hint("merge"), "key")
+    met = materialize(met.join(joined.hint("merge"), "node", "left").select("node", "size", "key", F.coalesce("component", "node").alias("part")), "met")
+    # Keys that still meet what is apart, and the number of blocks of each.
+    apart = met.groupBy("key").agg(*_totals(), F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
+    met = met.join(apart.select("key", _blocks(key_rows)).hint("merge"), "key").select("node", "key", "blocks")
+    places = "transform(sequence(0, blocks - 1), i -> named_struct('x', least(mine, i), 'y', greatest(mine, i)))"
+    return first.unionByName(_verified(docs, keys, met, places, "near-links"))
 
 
 def near_copies(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """digest of each distinct text with a doc_id, its node and component_id (the smallest node that links reach)."""
     keys = materialize(_band_keys(docs), "band-keys")
-    comps = components(links(docs, keys, key_rows)).withColumnRenamed("node", "linked")
+    comps = simhash.components(links(docs, keys, key_rows)).withColumnRenamed("node", "linked")
     named = keys.join(comps, F.col("node") == F.col("linked"), "left")
     return materialize(named.select("digest", "node", F.coalesce("component", "node").alias("component_id")), "near-components")
 

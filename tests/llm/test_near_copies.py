@@ -4,6 +4,7 @@ import collections
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import words
 
 from quillon.llm import near_copies, simhash
@@ -81,3 +82,26 @@ def test_blocks_of_a_key_lose_no_link_and_multiply_none(spark):
         assert shared <= near_copies.BANDS * (60 - 1 + blocks * (blocks - 1) // 2)
     sets = [near_copies.shingles(t) for _, t in rows[:60]]
     assert len(near_copies.across(sets, [i % 2 for i in range(60)])) == 1
+
+
+def test_simhash_groups_are_candidates_and_held_against_the_texts(spark):
+    rows = [(0, words(1, 900))]
+    rows += [(1 + i, changed(rows[0][1], 1, i)) for i in range(40)]
+    # Lines that are said again and again make up the fingerprint, but not the set of shingles.
+    rows += [(100 + i, " ".join(words(2, 60).split()[:13] * 200) + " " + words(20 + i, 40)) for i in range(2)]
+    bits = [simhash.fingerprint(t) for _, t in rows]
+    assert (bits[-1] ^ bits[-2]).bit_count() <= 3 and len(brute_kept(rows)) == 3
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], SCHEMA)
+    # No two texts share a key of bands here: what is found is found by fingerprints.
+    keys = near_copies._band_keys(docs).withColumn("keys", F.array("node"))
+    groups = collections.defaultdict(set)
+    for r in simhash.near_duplicates(docs).collect():
+        groups[r["component_id"]].add(r["doc_id"])
+    want = sorted(sorted(g - {100, 101}) for g in groups.values() if len(g - {100, 101}) > 1)
+    assert sum(map(len, want)) > 20
+    for key_rows in (8, 2048):
+        parts = collections.defaultdict(list)
+        for r in simhash.components(near_copies.links(docs, keys, key_rows)).collect():
+            parts[r["component"]].append(r["node"])
+        assert sorted(sorted([c, *ns]) for c, ns in parts.items()) == want
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
