@@ -13,8 +13,8 @@ from fingerprints or keys alone.
    at most n - 1 rows, and no pairs are listed. A group with more than KEY_ROWS texts or KEY_BYTES of
    shingles is cut into chunks, each with the text that names the group. What chunks leave apart, and
    texts of one group that are not alike, is left to the keys.
-3. Keys whose texts the links have connected already are done with. The texts under the other shared keys
-   are dealt out by key and compared in the same manner. A key with more than KEY_ROWS texts or KEY_BYTES
+3. Keys whose texts the links have connected already are done with, and of keys with the same texts only one
+   is compared. The texts under these keys are dealt out by key and compared in the same manner. A key with more than KEY_ROWS texts or KEY_BYTES
    of shingles is cut into b blocks; its sets go to every pair of blocks, b times each, so that no task
    holds more than two blocks and no pair is left out. A block by itself gives the links of its forest,
    and two blocks only links between parts that their own forests leave apart: where all texts are near
@@ -237,9 +237,11 @@ def links(docs: DataFrame, keys: DataFrame, key_rows: int = KEY_ROWS) -> DataFra
     shared = each.groupBy("key").count().filter("count > 1").select("key")
     met = each.join(materialize(shared, "shared-keys").hint("merge"), "key")
     met = materialize(met.join(joined.hint("merge"), "node", "left").select("node", "size", "key", F.coalesce("component", "node").alias("part")), "met")
-    # Keys that still meet what is apart, and the number of blocks of each.
-    apart = met.groupBy("key").agg(*_totals(), F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
-    met = met.join(apart.select("key", _blocks(key_rows)).hint("merge"), "key").select("node", "key", "blocks")
+    # Keys that still meet what is apart; of those with the same nodes (number, ends and hash) one is enough.
+    nodes = [F.min("node").alias("head"), F.max("node").alias("tail"), F.bit_xor(F.xxhash64("node")).alias("hash")]
+    apart = met.groupBy("key").agg(*_totals(), *nodes, F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
+    once = apart.groupBy("n", "head", "tail", "hash").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"))
+    met = met.join(once.select("key", _blocks(key_rows)).hint("merge"), "key").select("node", "key", "blocks")
     places = "transform(sequence(0, blocks - 1), i -> named_struct('x', least(mine, i), 'y', greatest(mine, i)))"
     return first.unionByName(_verified(docs, keys, met, places, "near-links"))
 

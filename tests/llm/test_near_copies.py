@@ -105,3 +105,15 @@ def test_simhash_groups_are_candidates_and_held_against_the_texts(spark):
             parts[r["component"]].append(r["node"])
         assert sorted(sorted([c, *ns]) for c, ns in parts.items()) == want
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+
+
+def test_sets_go_out_once_for_keys_with_the_same_texts(spark, monkeypatch):
+    rows = []
+    for i in range(12):
+        base = words(3000 + i, 240)
+        rows += [(10 * i, base), (10 * i + 1, changed(base, 4, i))]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], SCHEMA)
+    compared, sent = near_copies._compared, []
+    monkeypatch.setattr(near_copies, "_compared", lambda dealt: sent.append(dealt.count()) or compared(dealt))
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == brute_kept(rows) == list(range(0, 120, 10))
+    assert sum(sent) == len(rows)
