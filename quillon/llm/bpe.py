@@ -48,8 +48,8 @@ BATCH_CHARS = 32_000_000
 WORD_ROWS = 50_000
 #: Characters above which a text is cut piece by piece instead of into a list.
 LONG_TEXT = 4_000_000
-#: Bytes of ids or texts after which rows are handed on.
-FLUSH_BYTES = 16_000_000
+#: Bytes of answers, and of the ids of documents, after which rows are handed on.
+FLUSH_BYTES, IDS_BYTES = 16_000_000, 4_000_000
 
 
 def vocabulary_path() -> str:
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BA
                 out.append(ids.astype(np.int32))
                 digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 held += ids.nbytes
-                if held > FLUSH_BYTES:
+                if held > IDS_BYTES:
                     yield frame()
                     keys, out, digests, held = [], [], [], 0
             if keys:

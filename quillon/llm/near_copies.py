@@ -49,6 +49,8 @@ BANDS, BAND_ROWS = 24, 5
 SEED = 42
 #: Texts of one key, or of one block of it, that a task compares, and bytes of their shingles.
 KEY_ROWS, KEY_BYTES = 2048, 128_000_000
+#: Texts of an Arrow batch; the stages after it in the pipeline keep to it as well.
+TEXT_ROWS = 500
 #: Candidates up to which their ids are broadcast; with more the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -153,7 +155,7 @@ def _band_keys(docs: DataFrame) -> DataFrame:
             fps = np.array([simhash.fingerprint(x) for x in b["text"]], np.uint64).astype(np.int64)
             yield b[["doc_id", "digest"]].assign(keys=[band_keys(x) for x in own], size=[len(x) for x in own], fp=fps)
 
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, TEXT_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), "text").filter("doc_id is not null")
     found = rows.mapInPandas(run, "doc_id long, digest binary, keys array<long>, size long, fp long")
     return found.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("keys", "size", "fp")))
