@@ -32,6 +32,7 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import bounded_batches
+from quillon.session import bounded_batches, given_back
 
 #: Characters of the documents that number their words together.
 BATCH_CHARS = 32_000_000
@@ -48,8 +49,8 @@ BATCH_CHARS = 32_000_000
 WORD_ROWS = 50_000
 #: Characters above which a text is cut piece by piece instead of into a list.
 LONG_TEXT = 4_000_000
-#: Bytes of answers, and of the ids of documents, after which rows are handed on.
-FLUSH_BYTES, IDS_BYTES = 16_000_000, 4_000_000
+#: Bytes of answers, of the ids of documents, and of packed documents, after which rows are handed on.
+FLUSH_BYTES, IDS_BYTES, PACKED_BYTES = 16_000_000, 4_000_000, 4_000_000
 
 
 def vocabulary_path() -> str:
@@ -114,20 +115,29 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def _parts(numbers: _Numbers) -> Iterator[list[bytes]]:
+    """The words in order of their numbers, at most WORD_ROWS at once."""
+    words = iter(numbers)
+    while part := [w.encode("utf-8", "surrogatepass") for w in islice(words, WORD_ROWS)]:
+        yield part
+
+
 def _batched(batches: Iterator[pd.DataFrame], batch_chars: int, number: Callable) -> Iterator[tuple]:
-    """(key, words in order of their numbers, doc_ids, what number() made of each text) of each batch of documents."""
+    """(key, numbers of words, doc_ids, what number() made of each text) of each batch of documents."""
     task, numbers, ids, made, held = TaskContext.get().partitionId(), _Numbers(), [], [], 0
 
     def closed() -> tuple:
-        words = [w.encode("utf-8", "surrogatepass") for w in numbers]
-        digest = hashlib.blake2b(b"\0".join(words), digest_size=8, key=task.to_bytes(8))
-        return int.from_bytes(digest.digest(), signed=True), words, ids, made
+        digest = hashlib.blake2b(digest_size=8, key=task.to_bytes(8))
+        for part in _parts(numbers):
+            digest.update(b"\0".join(part) + b"\0")
+        return int.from_bytes(digest.digest(), signed=True), numbers, ids, made
 
     for b in batches:
         for key, text in zip(b["doc_id"], b["text"], strict=True):
             if ids and held + len(text) > batch_chars:
                 yield closed()
-                numbers, ids, made, held = _Numbers(), [], [], 0
+                numbers.clear()
+                ids, made, held = [], [], 0
             ids.append(None if pd.isna(key) else int(key))
             made.append(number(map(numbers.__getitem__, pretokens(text))))
             held += len(text)
@@ -139,12 +149,13 @@ def cut_words(rows: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """batch, number and word of the distinct words of each batch of rows (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, words, _, _ in _batched(batches, batch_chars, lambda numbers: deque(numbers, maxlen=0)):
-            for at in range(0, len(words), WORD_ROWS):
-                part = words[at : at + WORD_ROWS]
+        for key, numbers, _, _ in _batched(batches, batch_chars, lambda numbers: deque(numbers, maxlen=0)):
+            at = 0
+            for part in _parts(numbers):
                 yield pd.DataFrame({"batch": key, "number": np.arange(at, at + len(part), dtype=np.int32), "word": part})
+                at += len(part)
 
-    return rows.mapInPandas(run, "batch long, number int, word binary")
+    return rows.mapInPandas(given_back(run), "batch long, number int, word binary")
 
 
 def cut_documents(rows: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
@@ -152,9 +163,12 @@ def cut_documents(rows: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, _, ids, made in _batched(batches, batch_chars, lambda numbers: _packed(np.fromiter(numbers, np.uint32))):
-            yield pd.DataFrame({"batch": key, "doc_id": pd.array(ids, "Int64"), "packed": made})
+            part = np.cumsum([len(x) for x in made]) // PACKED_BYTES
+            for at in np.split(np.arange(len(made)), np.flatnonzero(np.diff(part)) + 1):
+                own = slice(at[0], at[-1] + 1)
+                yield pd.DataFrame({"batch": key, "doc_id": pd.array(ids[own], "Int64"), "packed": made[own]})
 
-    return rows.mapInPandas(run, "batch long, doc_id long, packed binary")
+    return rows.mapInPandas(given_back(run), "batch long, doc_id long, packed binary")
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -191,7 +205,7 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
         if found:
             yield packs()
 
-    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "batch long, answers binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInPandas(given_back(run), "batch long, answers binary")
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
@@ -249,7 +263,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, batch_chars: int = BA
 
     met = cut_documents(rows, batch_chars).unionByName(answers, allowMissingColumns=True)
     placed = met.repartition("batch").sortWithinPartitions("batch", F.col("packed").isNotNull())
-    return placed.mapInPandas(assemble, "doc_id long, ids array<int>, ids_sha256 string")
+    return placed.mapInPandas(given_back(assemble), "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def token_table(vocabulary: str) -> Column:

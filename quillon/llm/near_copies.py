@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import simhash
-from quillon.session import bounded_batches, materialize, unused
+from quillon.session import bounded_batches, given_back, materialize, unused
 
 #: Words in a shingle, and the least Jaccard similarity of near copies.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -157,7 +157,7 @@ def _band_keys(docs: DataFrame) -> DataFrame:
 
     bounded_batches(docs.sparkSession, TEXT_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), "text").filter("doc_id is not null")
-    found = rows.mapInPandas(run, "doc_id long, digest binary, keys array<long>, size long, fp long")
+    found = rows.mapInPandas(given_back(run), "doc_id long, digest binary, keys array<long>, size long, fp long")
     return found.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("keys", "size", "fp")))
 
 
@@ -182,7 +182,7 @@ def _compared(dealt: DataFrame) -> DataFrame:
         yield done()
 
     placed = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return placed.mapInPandas(run, "a long, b long")
+    return placed.mapInPandas(given_back(run), "a long, b long")
 
 
 def _verified(docs: DataFrame, keys: DataFrame, met: DataFrame, places: str, label: str) -> DataFrame:
@@ -203,7 +203,7 @@ def _verified(docs: DataFrame, keys: DataFrame, met: DataFrame, places: str, lab
         for b in batches:
             yield b[["node", "met"]].assign(own=[shingles(x).astype("<u8").tobytes() for x in b["text"]])
 
-    sets = rows.mapInPandas(cut, "node long, met array<struct<key:long,blocks:int>>, own binary")
+    sets = rows.mapInPandas(given_back(cut), "node long, met array<struct<key:long,blocks:int>>, own binary")
     dealt = sets.select("node", "own", F.explode("met").alias("m")).select("node", "own", "m.*")
     mine = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("at", F.explode(F.expr(places)))
