@@ -52,6 +52,7 @@ def resolve_reference(refs: DataFrame, pages: DataFrame) -> DataFrame:
 
     logical_page counts before section; equal titles before those that begin alike or contain one another.
     """
+    asked = refs.select("title", "page").distinct()
     p = pages.withColumnRenamed("title", "page_title")
     title: Column = (
         F.when(F.col("page_title") == F.col("title"), 100)
@@ -60,11 +61,15 @@ def resolve_reference(refs: DataFrame, pages: DataFrame) -> DataFrame:
         .when(F.col("page_title").contains(F.col("title")), 80)
     )
     # Two equi-joins instead of one on a disjunction, which would compare every page.
-    by_page = refs.join(p, F.col("page") == F.col("logical_page"))
-    by_section = refs.join(p, (F.col("page") == F.col("section")) & ~F.col("page").eqNullSafe(F.col("logical_page")))
+    by_page = asked.join(p, F.col("page") == F.col("logical_page"))
+    by_section = asked.join(p, (F.col("page") == F.col("section")) & ~F.col("page").eqNullSafe(F.col("logical_page")))
     rows = by_page.unionByName(by_section).withColumn("score", title).filter("score is not null")
-    w = Window.partitionBy("ref").orderBy(F.desc("score"), (F.col("page") == F.col("logical_page")).cast("int").desc(), "id")
-    return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("ref", "id", "score")
+    # The least of these is the best page: score, then whether the logical page is told (nulls last), then id (nulls last).
+    place = F.struct((-F.col("score")).alias("less"), F.coalesce((F.col("page") != F.col("logical_page")).cast("int"), F.lit(2)).alias("other"), F.col("id").isNull().alias("unnamed"), "id")
+    best = rows.groupBy("title", "page").agg(F.min(place).alias("best"))
+    # References that ask for the same share one search; each takes the best of what it asks for.
+    own = refs.select("ref", "title", "page").join(best, ["title", "page"])
+    return own.groupBy("ref").agg(F.min("best").alias("best")).select("ref", "best.id", (-F.col("best.less")).alias("score"))
 
 
 def books(primary: DataFrame, extra: DataFrame) -> DataFrame:
