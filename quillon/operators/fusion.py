@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 from quillon.operators.selection import first_by
 from quillon.plans.query_plan import basis_bonus, channel_bonus
+from quillon.session import materialize
 
 
 def lexical_base(priority: Column, basis: Column, channel: Column) -> Column:
@@ -84,11 +86,22 @@ EVIDENCE: dict[str, list[tuple[float, str]]] = {
     "process": [(7.0, m) for m in ("过程", "步骤", "先", "然后", "接着", "最后")],
 }
 
+#: A class of characters that a pattern begins with and that may be empty.
+_EMPTY_START = re.compile(r"^\[\^[^\]]*\]\{0,\d+\}")
+
 
 def rule_points(rules: list[tuple[float, str]], text: Column, target: str) -> Column:
-    """Sum of the weights of the patterns that a text matches; T stands for the target."""
-    said = lambda p: p.replace("T", rf"\Q{target}\E")
-    return sum((F.when(text.rlike(said(p)), w).otherwise(0.0) for w, p in rules), F.lit(0.0))
+    """Sum of the weights of the patterns that a text matches; T stands for the target.
+
+    A run at the start of a pattern that may be empty decides nothing, but would be tried at every place of
+    a text; a pattern with the target is only tried on texts that have it.
+    """
+
+    def holds(pattern: str) -> Column:
+        said = _EMPTY_START.sub("", pattern).replace("T", rf"\Q{target}\E")
+        return text.contains(target) & text.rlike(said) if "T" in pattern else text.rlike(said)
+
+    return sum((F.when(holds(p), w).otherwise(0.0) for w, p in rules), F.lit(0.0))
 
 
 def definition_bonus(target: str, title: Column, text: Column, matched: Column | None = None) -> Column:
@@ -156,6 +169,8 @@ def rerank(candidates: DataFrame, model: Callable[[Column], Column] | None = Non
     """
     pre = F.col("base_score") + F.col("evidence_score") + F.col("coverage") + 24.0 * F.col("semantic_score")
     rows = candidates.withColumn("pre_score", pre)
+    if model is not None:
+        rows = materialize(rows, "candidates")  # read by the model and again for the result
     if model is None:
         scored = rows.withColumn("rerank_score", F.lit(0.0))
     else:
